@@ -123,7 +123,7 @@ def national_total_row(t: Tables) -> DataFrame:
 def load_county_dim(t: Tables) -> DataFrame:
     """Dimension rows by position; those without key or name go."""
     bad = s.county(t).withColumn("key", F.lit(None).cast("string"))
-    return feeds.load_county_dim(s.county(t).unionByName(bad).toDF(*[f"X{n}" for n in range(1, 10)]))
+    return feeds.load_county_dim(reshape.bind_rows(s.county(t), bad).toDF(*[f"X{n}" for n in range(1, 10)]))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardwatch.functions.nulls import strict_sum, sum_or_zero
 from wardwatch.operators.measures import covid_share, occupancy
+from wardwatch.operators.reshape import rbind
 
 
 def resum(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
@@ -31,7 +32,7 @@ def national_total_row(county: DataFrame) -> DataFrame:
         *sums,
         F.try_divide("pop_all", "area").alias("pop_per_km2"),
     )
-    return total.unionByName(county)
+    return rbind(total, county)
 
 
 def daily_totals(icu: DataFrame) -> DataFrame:

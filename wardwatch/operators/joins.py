@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wardwatch.operators.reshape import rbind
+
 
 def join_population(facts: DataFrame, county: DataFrame, key: str = "gemeinde") -> DataFrame:
     """Add the county columns; facts of unknown counties stay."""
@@ -52,5 +54,5 @@ def lagged_regressors(
 def forecast_context(forecast: DataFrame, history: DataFrame, future: DataFrame, columns: list[str],
                      key: str = "series") -> DataFrame:
     """Add the regressors of past and future dates to a forecast."""
-    known = history.select(key, "date", *columns).unionByName(future.select(key, "date", *columns))
+    known = rbind(history.select(key, "date", *columns), future.select(key, "date", *columns))
     return forecast.join(known, [key, "date"], "left")

@@ -15,14 +15,24 @@ COUNTIES_WITHOUT_ICU = [
 ]
 
 
-def bind_rows(*frames: DataFrame) -> DataFrame:
-    """Stack frames by column name; columns a frame lacks are null."""
+def bind_rows(*frames: DataFrame, same_columns: bool = False) -> DataFrame:
+    """Stack frames by column name; columns a frame lacks are null, or an error with ``same_columns``.
+
+    Spark 4.1 may take the partitioning of a union from its inputs although AQE has merged their partitions
+    differently; a later aggregation then skips its shuffle and returns a group twice. The setting turns that off.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     stacked = frames[0]
     for frame in frames[1:]:
-        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+        stacked = stacked.unionByName(frame, allowMissingColumns=not same_columns)
     return stacked
 
 
+def rbind(*frames: DataFrame) -> DataFrame:
+    """Stack frames that have the same columns."""
+    return bind_rows(*frames, same_columns=True)
+
+
 def add_missing_counties(day: DataFrame) -> DataFrame:
     """The day's rows and the counties without intensive care, flagged by ``is_missing``."""
     spark = day.sparkSession

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardwatch.operators.filters import latest_global
+from wardwatch.operators.reshape import rbind
 from wardwatch.sources.reports import REPORT_MEASURES
 
 COLLECTION_SCHEMA = "struct<features array<struct<type string, properties string, geometry string>>>"
@@ -52,4 +53,4 @@ def write_geojson(features: DataFrame, path: str) -> None:
     )
     comma = F.when(F.col("position") > features.agg(F.min("position")).scalar(), F.lit(",")).otherwise(F.lit(""))
     rows = features.select("position", F.concat(comma, F.col("value")).alias("value"))
-    rows.unionByName(ends).orderBy("position").select("value").write.mode("overwrite").text(path)
+    rbind(rows, ends).orderBy("position").select("value").write.mode("overwrite").text(path)

@@ -43,7 +43,7 @@ MAX_BROADCAST_FILES = 100_000
 
 def file_report_stamp(file_name: Column | str) -> Column:
     """Report time in a file name such as ``...-2020-05-01-09-15.csv``; a ``-2`` before ``.csv`` marks a re-upload."""
-    stamp = F.regexp_extract(as_column(file_name), r"(\d{4}-\d{2}-\d{2}-\d{2}-\d{2})(?:-2)?\.csv$", 1)
+    stamp = F.regexp_extract(as_column(file_name), r"(\d{4}-\d{2}-\d{2}-\d{2}-\d{2})(?:-2)?\.csv", 1)
     return F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd-HH-mm"))
 
 
@@ -87,7 +87,7 @@ def parse_report_lines(lines: DataFrame, columns: list[str] = REPORT_COLUMNS) ->
     data = lines.filter(~is_header & (F.trim("value") != "")).join(headers, "file")
     values = data.withColumn("_values", _fields(F.col("value")))
     cells = {c: F.get("_values", F.array_position("_names", c).cast("int") - 1) for c in columns}
-    name = F.element_at(F.split("file", "/"), -1)
+    name = F.regexp_extract("file", r"([^/=]*\d{4}-\d{2}-\d{2}-\d{2}-\d{2}(?:-2)?\.csv)", 1)
     return values.select(
         *[cell.alias(c) for c, cell in cells.items()],
         F.to_date(file_report_stamp(name)).alias("date"),
@@ -109,9 +109,18 @@ def clean_reports(raw: DataFrame) -> DataFrame:
     return resum(df, ["date", "bundesland", "daten_stand", "gemeinde"], REPORT_MEASURES)
 
 
-def write_raw_reports(df: DataFrame, path: str) -> None:
-    """Store report rows as CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def latest_reports(raw: DataFrame) -> DataFrame:
+    """Per day and county key the row of the latest report; a re-upload beats the first upload of its report."""
+    name = F.col("file_name")
+    order = F.struct(file_report_stamp(name), name.endswith("-2.csv"), name)
+    key = F.coalesce("gemeindeschluessel", "kreis")
+    newest = F.max_by(F.struct(*raw.columns), order).alias("_row")
+    return raw.groupBy("date", key.alias("_key")).agg(newest).select("_row.*")
+
+
+def write_raw_reports(df: DataFrame, path: str, report: str = "report", mode: str = "overwrite") -> None:
+    """Store report rows as CSV with a header, one folder per report name."""
+    df.hint("rebalance", report).write.mode(mode).option("header", True).partitionBy(report).csv(path)
 
 
 def new_files_only(offered: DataFrame, stored: DataFrame, column: str = "file_name") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from catalog import standins as s
 from catalog.base import Tables, query
@@ -16,12 +16,13 @@ from wardwatch.streaming.ingest import ingest_reports_stream
 HEADER_CHANGE = "1998-01-01"
 
 
-def report_texts(t: Tables, suffix: str = "", extra_beds: Column | None = None) -> list[DataFrame]:
-    """Report rows as text in the two headers of the feed: up to ``HEADER_CHANGE`` and from then on."""
-    raw = s.icu_reports(t)
-    if extra_beds is not None:
-        raw = raw.withColumn("betten_frei", F.col("betten_frei") + extra_beds)
-    name = F.concat(F.lit("divi-intensivregister-"), F.col("date").cast("string"), F.lit(f"-12-15{suffix}.csv"))
+def report_texts(raw: DataFrame, suffix: str = "''") -> list[DataFrame]:
+    """Report rows as text in the two headers of the feed: up to ``HEADER_CHANGE`` and from then on.
+
+    ``suffix`` is the SQL text of what follows the time in the file name.
+    """
+    name = F.concat(F.lit("divi-intensivregister-"), F.col("date").cast("string"), F.lit("-12-15"),
+                    F.expr(suffix), F.lit(".csv"))
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in ["bundesland", *REPORT_MEASURES]}
     rows = raw.withColumns(text).withColumn("report", name)
     figures = [m for m in REPORT_MEASURES if m != "faelle_covid_aktuell_beatmet"]
@@ -39,17 +40,18 @@ def report_texts(t: Tables, suffix: str = "", extra_beds: Column | None = None)
     return [old, new]
 
 
-def write_reports(t: Tables, path: str, keep: Column | None = None, **options) -> None:
-    for part in report_texts(t, **options):
-        kept = part if keep is None else part.filter(keep)
-        reports.write_raw_reports(kept, path, mode="append")
+def write_reports(raw: DataFrame, path: str, suffix: str = "''") -> None:
+    """Thousands of folders with one small file each: a few listing tasks beat one task per folder."""
+    raw.sparkSession.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", "32")
+    for part in report_texts(raw, suffix):
+        reports.write_raw_reports(part, path, mode="append")
 
 
 @query("SELECT * FROM icu_clean")
 def daily_reports(t: Tables) -> DataFrame:
     """Raw daily files under two headers: written, read by name, cleaned."""
     path = scratch_path(t.spark, "reports")
-    write_reports(t, path)
+    write_reports(s.icu_reports(t), path)
     return reports.clean_reports(reports.read_daily_reports(t.spark, path))
 
 
@@ -57,13 +59,12 @@ def daily_reports(t: Tables) -> DataFrame:
 def report_stream(t: Tables) -> DataFrame:
     """The same files in two drops, with re-uploads that correct wrong first uploads."""
     incoming, store = scratch_path(t.spark, "incoming"), scratch_path(t.spark, "store")
-    day = F.unix_date(F.to_date(F.regexp_extract("report", r"(\d{4}-\d{2}-\d{2})", 1)))
-    wrong, even = day % 10 == 0, day % 2 == 0
-    write_reports(t, incoming, keep=even & ~wrong)
-    write_reports(t, incoming, keep=wrong, extra_beds=F.lit(1000.0))
+    raw = s.icu_reports(t)
+    wrong, even = F.unix_date("date") % 10 == 0, F.unix_date("date") % 2 == 0
+    spoiled = F.when(wrong, F.col("betten_frei") + 1000).otherwise(F.col("betten_frei"))
+    write_reports(raw.filter(even).withColumn("betten_frei", spoiled), incoming)
     ingest_reports_stream(t.spark, incoming, store).awaitTermination()
-    write_reports(t, incoming, keep=~even)
-    write_reports(t, incoming, keep=wrong, suffix="-2")
+    write_reports(raw.filter(~even | wrong), incoming, suffix="CASE WHEN unix_date(date) % 10 = 0 THEN '-2' ELSE '' END")
     ingest_reports_stream(t.spark, incoming, store).awaitTermination()
     return t.spark.read.parquet(f"{store}/icu_reports").drop("month")
 

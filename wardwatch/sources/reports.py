@@ -58,7 +58,7 @@ def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def stream_report_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+def stream_report_lines(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
     """As ``read_report_lines``, for files that arrive over time."""
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
@@ -119,8 +119,13 @@ def latest_reports(raw: DataFrame) -> DataFrame:
 
 
 def write_raw_reports(df: DataFrame, path: str, report: str = "report", mode: str = "overwrite") -> None:
-    """Store report rows as CSV with a header, one folder per report name."""
-    df.hint("rebalance", report).write.mode(mode).option("header", True).partitionBy(report).csv(path)
+    """Store report rows as CSV with a header, one file per report.
+
+    A report is one day of all counties, so it fits one task; the time goes into the number of files, which a
+    fixed number of tasks shares (AQE would merge tasks by their few bytes).
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, 8)
+    df.repartition(tasks, report).write.mode(mode).option("header", True).partitionBy(report).csv(path)
 
 
 def new_files_only(offered: DataFrame, stored: DataFrame, column: str = "file_name") -> DataFrame:

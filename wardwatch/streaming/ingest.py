@@ -19,7 +19,7 @@ MAX_MONTHS_PER_BATCH = 10_000
 
 
 def ingest_reports_stream(
-    spark: SparkSession, incoming: str, store: str, files_per_batch: int = 1000
+    spark: SparkSession, incoming: str, store: str, files_per_batch: int = 10_000
 ) -> StreamingQuery:
     """Take in all report files that are new since the last run, then stop.
 
@@ -42,7 +42,8 @@ def _store_batch(store: str, batch: DataFrame, batch_id: int) -> None:
     """
     spark = batch.sparkSession
     rows = parse_report_lines(batch).withColumn("month", F.date_format("date", "yyyy-MM"))
-    rows.write.mode("overwrite").partitionBy("month").parquet(f"{store}/log/batch={batch_id}")
+    log_path = f"{store}/log/batch={batch_id}"
+    rows.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(log_path)
     schema = ", ".join(f"{c} string" for c in REPORT_COLUMNS)
     schema += ", date date, file_name string, batch long, month string"
     log = spark.read.schema(schema).option("basePath", f"{store}/log").parquet(f"{store}/log")

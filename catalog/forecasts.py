@@ -14,6 +14,7 @@ from wardwatch.functions.dates import restriction_level
 from wardwatch.operators import joins
 from wardwatch.operators.reshape import rbind
 from wardwatch.plans import nightly, views
+from wardwatch.session import settle
 
 SHIFT = 7300
 VARIABLES = ["sum_covid", "sum_intub"]
@@ -169,7 +170,7 @@ def future_dates_by_gap(t: Tables) -> DataFrame:
        LEFT JOIN fc_days d ON d.series = f.series AND d.date + 14 = f.date"""
 )
 def lagged_regressors(t: Tables) -> DataFrame:
-    history = county_history(t)
+    history = settle(county_history(t))
     ahead = ft.future_dates(ft.long_rows(history, VARIABLES))
     return joins.lagged_regressors(ahead, history, ["lockdown_level", "sum_covid"])
 
@@ -189,7 +190,7 @@ def smoothed_level(t: Tables) -> DataFrame:
        FROM fc_calibrated"""
 )
 def calibrate(t: Tables) -> DataFrame:
-    rows = split_rows(t)
+    rows = settle(split_rows(t))
     return rounded(evaluate.calibrate(rows, two_models(rows)), "pred", "residual")
 
 
@@ -198,7 +199,7 @@ def calibrate(t: Tables) -> DataFrame:
               round(smape, 6) AS smape, round(rmse, 6) AS rmse FROM fc_accuracy"""
 )
 def accuracy(t: Tables) -> DataFrame:
-    rows = split_rows(t)
+    rows = settle(split_rows(t))
     scores = evaluate.accuracy(evaluate.calibrate(rows, two_models(rows))).drop("rsq")
     return rounded(scores, "mae", "mape", "mase", "smape", "rmse")
 
@@ -209,7 +210,7 @@ def accuracy(t: Tables) -> DataFrame:
 )
 def accuracy_rsq(t: Tables) -> DataFrame:
     """The share of explained variance, for the model whose forecast is not flat."""
-    rows = split_rows(t)
+    rows = settle(split_rows(t))
     scores = evaluate.accuracy(evaluate.calibrate(rows, two_models(rows))).filter("model_id = 5")
     return rounded(scores.select("series", "variable", "rsq"), "rsq")
 
@@ -219,7 +220,7 @@ def accuracy_rsq(t: Tables) -> DataFrame:
        QUALIFY row_number() OVER (PARTITION BY series, variable ORDER BY mase, model_id) = 1"""
 )
 def best_model(t: Tables) -> DataFrame:
-    rows = split_rows(t)
+    rows = settle(split_rows(t))
     return evaluate.best_model(evaluate.accuracy(evaluate.calibrate(rows, two_models(rows))))
 
 
@@ -234,9 +235,9 @@ _SQL_BEST = """SELECT series, variable, date, round(pred, 6) AS value, round(pre
 
 
 def best_bands(t: Tables) -> DataFrame:
-    rows = split_rows(t)
+    rows = settle(split_rows(t))
     predictions = two_models(rows)
-    calibrated = evaluate.calibrate(rows, predictions)
+    calibrated = settle(evaluate.calibrate(rows, predictions))
     bands = evaluate.with_bands(predictions, calibrated)
     return evaluate.select_best(bands, evaluate.best_model(evaluate.accuracy(calibrated)))
 
@@ -264,7 +265,7 @@ def pivot_forecast_wide(t: Tables) -> DataFrame:
 )
 def forecast_context(t: Tables) -> DataFrame:
     """The forecast next to the regressors of its dates."""
-    history = county_history(t)
+    history = settle(county_history(t))
     columns = ["lockdown_level", "sum_covid"]
     ahead = ft.future_dates(ft.long_rows(history, ["sum_covid"]))
     future = joins.lagged_regressors(ahead, history, columns)
@@ -373,7 +374,7 @@ def forecast_accuracy(t: Tables) -> DataFrame:
 @query()
 def forecast_cleaned(t: Tables) -> DataFrame:
     """Ten steps ahead from outlier-free series."""
-    cleaned = ft.clean_outliers(ft.long_rows(county_history(t), VARIABLES))
+    cleaned = settle(ft.clean_outliers(ft.long_rows(county_history(t), VARIABLES)))
     known = cleaned.select(*ft.KEYS, "date", "lockdown_level", F.col("clean").alias("value"), F.lit(True).alias("is_train"))
     ahead = ft.future_dates_by_gap(known, 11).join(known.select(*ft.KEYS, "date"), [*ft.KEYS, "date"], "left_anti")
     ahead = ahead.select(*ft.KEYS, "date", restriction_level("date").alias("lockdown_level"),

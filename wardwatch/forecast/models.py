@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wardwatch.forecast import solvers
 from wardwatch.forecast.features import KEYS
 from wardwatch.operators.reshape import rbind
-from wardwatch.session import ensure_checkpoint_dir
+from wardwatch.session import settle
 
 ARIMA, ARIMA_BOOSTED, ETS, TREND_SEASONAL, LINEAR, HINGE = 1, 2, 3, 4, 5, 6
 TREND_BOOSTED, FOREST, ARIMA_PLAIN, ELASTIC_NET = 7, 8, 9, 10
@@ -100,9 +100,8 @@ def _fit_trees(rows: DataFrame, label: str, array: str, model) -> DataFrame:
 
     Training reads its rows dozens of times, so they are spread evenly and checkpointed first.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
     tasks = rows.sparkSession.sparkContext.defaultParallelism
-    rows = rows.repartition(tasks, *KEYS, "date").checkpoint()
+    rows = settle(rows.repartition(tasks, *KEYS, "date"))
     vectors = rows.withColumn("x", array_to_vector(array))
     assembler = VectorAssembler(inputCols=["x", "series_mean", "series_sd"], outputCol="features")
     model = model.setLabelCol(label).setFeaturesCol("features")

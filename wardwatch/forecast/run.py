@@ -11,7 +11,7 @@ from wardwatch.forecast.features import KEYS, future_rows, long_rows, model_feat
 from wardwatch.forecast.models import ARIMA, ARIMA_BOOSTED, ETS, HINGE, LINEAR, TREND_SEASONAL, fit_models
 from wardwatch.operators.joins import forecast_context
 from wardwatch.operators.reshape import rbind
-from wardwatch.session import ensure_checkpoint_dir
+from wardwatch.session import settle
 
 NIGHTLY_MODELS = [ARIMA, ARIMA_BOOSTED, ETS, TREND_SEASONAL, LINEAR, HINGE]
 
@@ -39,11 +39,10 @@ def create_forecasts(
 
     The day totals are checkpointed once, so that no model reads the facts again.
     """
-    ensure_checkpoint_dir(history.sparkSession)
-    history = history.checkpoint()
+    history = settle(history)
     rows = long_rows(history, variables)
     split = model_features(time_split(rows, weeks))
-    calibrated = evaluate.calibrate(split, fit_models(split, model_ids)).checkpoint()
+    calibrated = settle(evaluate.calibrate(split, fit_models(split, model_ids)))
     scores = evaluate.accuracy(calibrated)
     best = evaluate.best_model(scores)
     every = model_features(refit_rows(rows, history, days))

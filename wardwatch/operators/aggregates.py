@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardwatch.functions.nulls import strict_sum, sum_or_zero
 from wardwatch.operators.measures import covid_share, occupancy
-from wardwatch.operators.reshape import rbind
 
 
 def resum(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
@@ -22,17 +21,30 @@ def cases_by_age(df: DataFrame) -> DataFrame:
 
 
 def national_total_row(county: DataFrame) -> DataFrame:
-    """The county table with one more row for the whole nation under key "0"."""
+    """The county table with one more row for the whole nation under key "0".
+
+    Grouping sets read the counties once for both; a county is one row, so any of its values is its value.
+    """
     sums = ["area", "pop_all", "pop_male", "pop_female"]
-    total = county.agg(*[strict_sum(c).alias(c) for c in sums]).select(
-        F.lit("0").alias("key"),
-        F.lit("Land").alias("type"),
-        F.lit("Deutschland").alias("name"),
-        F.lit("DE").alias("NUTS3"),
+    texts = ["type", "name", "NUTS3", "pop_per_km2"]
+    rolled = county.groupingSets([[F.col("key")], []], F.col("key")).agg(
+        F.grouping("key").alias("_total"),
+        *[strict_sum(c).alias(c) for c in sums],
+        *[F.min(c).alias(c) for c in texts],
+    )
+    total = F.col("_total") == 1
+
+    def either(nation: Column, column: str) -> Column:
+        return F.when(total, nation).otherwise(F.col(column)).alias(column)
+
+    return rolled.select(
+        either(F.lit("0"), "key"),
+        either(F.lit("Land"), "type"),
+        either(F.lit("Deutschland"), "name"),
+        either(F.lit("DE"), "NUTS3"),
         *sums,
-        F.try_divide("pop_all", "area").alias("pop_per_km2"),
+        either(F.try_divide("pop_all", "area"), "pop_per_km2"),
     )
-    return rbind(total, county)
 
 
 def daily_totals(icu: DataFrame) -> DataFrame:
@@ -143,8 +155,8 @@ def exact_median(df: DataFrame, column: str) -> DataFrame:
     """
     values = df.select(F.col(column).alias("v")).dropna()
     sketch = F.percentile_approx("v", F.array(F.lit(0.4995), F.lit(0.5005)), 10000)
-    bounds = values.agg(F.count(F.lit(1)).alias("n"), sketch.alias("q"))
-    low, high, size = (bounds.select(e).scalar() for e in (F.col("q")[0], F.col("q")[1], F.col("n")))
+    bounds = values.agg(F.struct(F.count(F.lit(1)).alias("n"), sketch.alias("q")).alias("b")).scalar()
+    low, high, size = bounds["q"][0], bounds["q"][1], bounds["n"]
     counts = (
         values.groupBy(F.when(F.col("v") < low, F.lit(None)).otherwise(F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))

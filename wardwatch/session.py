@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -54,6 +54,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), "wardwatch", f"{label}-{uuid.uuid4().hex}")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a frame that several later steps read to the shared folder and go on from there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Let ``DataFrame.checkpoint()`` write to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:

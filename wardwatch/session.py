@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,7 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
+def local_session(cpus: int | str = "*", memory: str = "8g", shared: str | None = None) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own session and settings."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -27,6 +28,8 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
     )
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -44,9 +47,12 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="wardwatch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _temporary_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _temporary_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"wardwatch-{application}-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

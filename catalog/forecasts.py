@@ -40,7 +40,7 @@ def county_history(t: Tables) -> DataFrame:
 
 
 def split_rows(t: Tables) -> DataFrame:
-    return ft.time_split(ft.long_rows(county_history(t), VARIABLES))
+    return ft.time_split(ft.spread(ft.long_rows(county_history(t), VARIABLES)))
 
 
 def two_models(rows: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def model_rows(t: Tables) -> DataFrame:
 
 
 def national_rows(t: Tables) -> DataFrame:
-    return ft.model_features(ft.time_split(ft.long_rows(national_history(t), VARIABLES)))
+    return ft.model_features(ft.time_split(ft.spread(ft.long_rows(national_history(t), VARIABLES))))
 
 
 @query()
@@ -379,7 +379,7 @@ def forecast_cleaned(t: Tables) -> DataFrame:
     ahead = ft.future_dates_by_gap(known, 11).join(known.select(*ft.KEYS, "date"), [*ft.KEYS, "date"], "left_anti")
     ahead = ahead.select(*ft.KEYS, "date", restriction_level("date").alias("lockdown_level"),
                          F.lit(None).cast("double").alias("value"), F.lit(False).alias("is_train"))
-    every = ft.model_features(rbind(known, ahead))
+    every = ft.model_features(ft.spread(rbind(known, ahead)))
     fitted = md.fit_models(every, [md.ARIMA_PLAIN])
     return fitted.join(ahead.select(*ft.KEYS, "date"), [*ft.KEYS, "date"])
 

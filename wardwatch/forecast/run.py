@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from wardwatch.forecast import evaluate
-from wardwatch.forecast.features import KEYS, future_rows, long_rows, model_features, time_split
+from wardwatch.forecast.features import KEYS, future_rows, long_rows, model_features, spread, time_split
 from wardwatch.forecast.models import ARIMA, ARIMA_BOOSTED, ETS, HINGE, LINEAR, TREND_SEASONAL, fit_models
 from wardwatch.operators.joins import forecast_context
 from wardwatch.operators.reshape import rbind
@@ -41,11 +41,11 @@ def create_forecasts(
     """
     history = settle(history)
     rows = long_rows(history, variables)
-    split = model_features(time_split(rows, weeks))
+    split = model_features(time_split(spread(rows), weeks))
     calibrated = settle(evaluate.calibrate(split, fit_models(split, model_ids)))
     scores = evaluate.accuracy(calibrated)
     best = evaluate.best_model(scores)
-    every = model_features(refit_rows(rows, history, days))
+    every = model_features(spread(refit_rows(rows, history, days)))
     refitted = fit_models(every, model_ids).join(every.filter(~F.col("is_train")).select(*KEYS, "date"), [*KEYS, "date"])
     bands = evaluate.select_best(evaluate.with_bands(refitted, calibrated), best)
     return Forecast(bands, scores, best)

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python line of every column expression costs more than planning itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

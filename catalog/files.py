@@ -69,12 +69,6 @@ def report_stream(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{store}/icu_reports").drop("month")
 
 
-CASE_SCHEMA = (
-    "IdBundesland int, IdLandkreis string, Altersgruppe string, AnzahlFall long, AnzahlTodesfall long, "
-    "Meldedatum string, Refdatum string, Datenstand string"
-)
-
-
 @query("SELECT IdBundesland, IdLandkreis, CAST(Refdatum AS TIMESTAMP) AS Refdatum, Altersgruppe, cases, deaths FROM age_daily")
 def typed_csv(t: Tables) -> DataFrame:
     """The case feed as CSV with declared types, cleaned and summed."""
@@ -91,7 +85,7 @@ def typed_csv(t: Tables) -> DataFrame:
         F.date_format("date", "dd.MM.yyyy', 00:00 Uhr'").alias("Datenstand"),
     )
     raw.write.option("header", True).csv(path)
-    rows = feeds.clean_case_rows(feeds.read_typed_csv(t.spark, path, CASE_SCHEMA))
+    rows = feeds.clean_case_rows(feeds.read_typed_csv(t.spark, path, feeds.CASE_SCHEMA))
     rows = rows.withColumn("Refdatum", F.col("Refdatum").cast("timestamp_ntz"))
     return aggregates.cases_by_age(rows)
 

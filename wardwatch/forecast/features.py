@@ -61,8 +61,11 @@ def future_dates_by_gap(rows: DataFrame, steps: int = 10) -> DataFrame:
     )
 
 
-def future_rows(rows: DataFrame, history: DataFrame, days: int = 14) -> DataFrame:
-    """Rows to forecast, with the restriction level in force ``days`` days before."""
+def future_rows(rows: DataFrame, history: DataFrame, days: int = 14, level: int | None = None) -> DataFrame:
+    """Rows to forecast, with the restriction level in force ``days`` days before, or a given constant one."""
+    if level is not None:
+        ahead = future_dates(rows, days).withColumn("lockdown_level", F.lit(level))
+        return ahead.withColumn("value", F.lit(None).cast("double"))
     ahead = lagged_regressors(future_dates(rows, days), history, ["lockdown_level"], days)
     known = F.coalesce("lockdown_level", restriction_level(F.date_sub("date", days)))
     return ahead.select(*KEYS, "date", known.alias("lockdown_level"), F.lit(None).cast("double").alias("value"))

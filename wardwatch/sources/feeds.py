@@ -16,6 +16,10 @@ COUNTY_SCHEMA = (
 VACCINATION_SCHEMA = (
     "Impfdatum string, LandkreisId_Impfort string, Altersgruppe string, Impfschutz int, Anzahl long"
 )
+CASE_SCHEMA = (
+    "IdBundesland int, IdLandkreis string, Altersgruppe string, AnzahlFall long, AnzahlTodesfall long, "
+    "Meldedatum string, Refdatum string, Datenstand string"
+)
 NOWCAST_COLUMNS = [
     "Date",
     "PredictedNew",
@@ -45,7 +49,7 @@ HISTORY_MEASURES = ["AnzFallNeu", "AnzFallVortag", "AnzFallErkrankung", "AnzFall
 
 
 def read_typed_csv(spark: SparkSession, paths: str | list[str], schema: str | T.StructType) -> DataFrame:
-    """CSV files with a header and declared types; column pruning and no inference pass."""
+    """CSV files with a header and declared types, matched by position; no inference pass."""
     return spark.read.schema(schema).option("header", True).csv(paths)
 
 
@@ -90,6 +94,15 @@ def clean_case_rows(raw: DataFrame) -> DataFrame:
     )
 
 
+def age_groups(cleaned: DataFrame, most: int = 1000) -> list[str]:
+    """The age groups of a feed, a handful of labels; more than ``most`` is an error."""
+    label = F.coalesce("Altersgruppe", F.lit("NA")).alias("age")
+    labels = [r["age"] for r in cleaned.select(label).distinct().limit(most + 1).collect()]
+    if len(labels) > most:
+        raise ValueError(f"more than {most} age groups")
+    return sorted(labels)
+
+
 def clean_vaccination(raw: DataFrame) -> DataFrame:
     return raw.select(
         parse_date("Impfdatum").alias("date"),

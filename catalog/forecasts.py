@@ -180,6 +180,22 @@ def fit_trend_line(t: Tables) -> DataFrame:
     return rounded(md.fit_trend_line(split_rows(t)), "pred")
 
 
+@query(
+    """SELECT series, variable, last + CAST(step AS INTEGER) AS date,
+              round(a + b * CAST(last + CAST(step AS INTEGER) - DATE '1970-01-01' AS DOUBLE), 6) AS pred
+       FROM (SELECT series, variable, max(date) AS last, unnest(range(1, 15)) AS step,
+                    regr_intercept(value, CAST(date - DATE '1970-01-01' AS DOUBLE)) AS a,
+                    regr_slope(value, CAST(date - DATE '1970-01-01' AS DOUBLE)) AS b
+             FROM fc_rows GROUP BY 1, 2)"""
+)
+def refit(t: Tables) -> DataFrame:
+    """The line fitted again on all rows, two weeks ahead."""
+    history = settle(county_history(t))
+    every = run.refit_rows(ft.long_rows(history, VARIABLES), history)
+    ahead = every.filter(~F.col("is_train")).select(*ft.KEYS, "date")
+    return rounded(md.fit_trend_line(every).join(ahead, [*ft.KEYS, "date"]).drop("model_id"), "pred")
+
+
 @query("SELECT series, variable, round(level, 6) AS level FROM fc_level")
 def smoothed_level(t: Tables) -> DataFrame:
     return rounded(md.smoothed_level(split_rows(t)), "level")

@@ -265,3 +265,29 @@ def bind_rows(t: Tables) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("l_quantity"), "o_orderstatus"
     )
     return reshape.bind_rows(left, right)
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_returnflag <> 'A' THEN l_partkey END, l_suppkey) AS key
+       FROM lineitem"""
+)
+def coalesce_columns(t: Tables) -> DataFrame:
+    """A column filled from another one, which is dropped."""
+    key = F.when(F.col("l_returnflag") != "A", F.col("l_partkey"))
+    df = t.lineitem.select("l_orderkey", "l_linenumber", key.alias("key"), F.col("l_suppkey").alias("older"))
+    return clean.fill_column(df, "key", "older")
+
+
+@query("SELECT c_custkey AS id, c_nationkey AS nation FROM customer UNION ALL SELECT s_suppkey, s_nationkey FROM supplier")
+def rbind(t: Tables) -> DataFrame:
+    """Frames with the same columns under one another."""
+    return reshape.rbind(
+        t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation")),
+        t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation")),
+    )
+
+
+@query("SELECT gemeinde, date, betten_frei FROM icu_clean ORDER BY gemeinde, date")
+def arrange(t: Tables) -> DataFrame:
+    """Rows in order of county and date: a range-partitioned sort of the final output."""
+    return s.icu_clean(t).select("gemeinde", "date", "betten_frei").orderBy("gemeinde", "date")

@@ -37,6 +37,7 @@ REPORT_MEASURES = [
     "betten_frei_nur_erwachsen",
 ]
 HEADER_MARK = "betten_frei"
+# Fixed value: how report files are named.
 FILE_PREFIX = "divi-intensivregister-"
 MAX_BROADCAST_FILES = 100_000
 

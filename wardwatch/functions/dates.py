@@ -37,7 +37,8 @@ def restriction_level(
 
 
 def date_from_epoch_ms(value: Column | str) -> Column:
-    return F.to_date(F.timestamp_millis(as_column(value)))
+    """The UTC date of a time in milliseconds, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(as_column(value) / 86_400_000).cast("int"))
 
 
 def parse_date(value: Column | str) -> Column:

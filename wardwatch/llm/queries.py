@@ -10,6 +10,8 @@ from wardwatch.llm.mixing import OP6_SQL, op6_source_mix
 from wardwatch.llm.packing import op10_best_fit_packing
 from wardwatch.llm.quality import op5_quality_classifier
 from wardwatch.llm.simhash import op4_simhash
+from wardwatch.llm.tokencount import op7_token_counts
+from wardwatch.llm.warc import op1_warc_salvage
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,7 +21,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op4_simhash, op5_quality_classifier, op6_source_mix, op9_exact_dedup, op10_best_fit_packing, pipeline,
+        op1_warc_salvage, op4_simhash, op5_quality_classifier, op6_source_mix, op7_token_counts, op9_exact_dedup,
+        op10_best_fit_packing, pipeline,
     )
 }
 ORACLES = {"op6_source_mix": OP6_SQL, "op9_exact_dedup": OP9_SQL}

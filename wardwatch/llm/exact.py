@@ -44,7 +44,8 @@ def directory_of(hashes: DataFrame, bucket_keys: int, max_depth: int) -> tuple[D
     """Double the directory until no bucket is overfull, or ``max_depth`` is reached; later keys then stay in the bucket.
 
     Keys are counted once for each slot of the deepest directory; a slot's bucket is the shortest prefix that holds at
-    most ``bucket_keys`` keys. The counts have at most 2 ** ``max_depth`` rows.
+    most ``bucket_keys`` keys. The counts have at most 2 ** ``max_depth`` rows, whatever the input, and ``max_depth`` + 1
+    levels of them are compared.
     """
     cells = stored(hashes.groupBy(slot_of(F.col("h"), max_depth).alias("cell")).agg(F.count(F.lit(1)).alias("keys")), "cells")
     levels = cells.select("cell", "keys", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("level")).withColumn(

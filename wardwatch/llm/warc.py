@@ -303,8 +303,8 @@ def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
                     if rows:
                         yield pd.DataFrame(rows, columns=names)
 
-    each = paths.select("path").repartition("path")
-    return each.mapInPandas(over, FOUND)
+    each = paths.select("path")
+    return each.repartition(max(each.count(), 1)).mapInPandas(over, FOUND)
 
 
 def page_of(record_id: str):
@@ -319,3 +319,15 @@ def op1_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
         page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to")
     )
 
+
+
+OP1_SQL = """
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM hashed)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+    ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM firsts
+"""

@@ -21,7 +21,7 @@ def given():
     rng = random.Random(1)
     rows = [(i, f"http://h/{i}", "".join(rng.choice("ab<é\r\n ") for _ in range(rng.randint(0, 400)))) for i in range(60)]
     rows += [(100 + i, None, "same payload") for i in range(30)]
-    return rows + [(None, None, None), (200, "u\r\nX: y", ""), (201, "", "x" * 3_000_000), (7, "again", "same payload"), (7, "again", "same payload")]
+    return rows + [(None, None, None), (200, "u\r\nX: y", ""), (201, "", "x" * 3_000_000), (300, "again", "same payload"), (300, "again", "same payload")]
 
 
 def digest(payload):

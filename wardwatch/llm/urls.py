@@ -121,7 +121,7 @@ class Filter(NamedTuple):
             return urls.withColumn("bad", F.lit(self.overall))
         rows = self.with_shares(urls)
         made = VectorAssembler(inputCols=self.features, outputCol="f__vector").transform(rows)
-        scored = self.model.transform(made).withColumn("bad", vector_to_array("f__probability")[1])
+        scored = self.model.transform(made).withColumn("bad", vector_to_array("probability")[1])
         return scored.select(*urls.columns, "bad")
 
     def with_shares(self, urls: DataFrame) -> DataFrame:
@@ -145,8 +145,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Filter:
     rows = VectorAssembler(inputCols=features, outputCol="f__vector").transform(plain.with_shares(bounded))
     fitted = stored(rows.select("f__vector", "label").coalesce(1), "labelled-urls")
     trees = GBTClassifier(
-        featuresCol="f__vector", labelCol="label", probabilityCol="f__probability", rawPredictionCol="f__raw", predictionCol="f__label",
-        maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED, maxBins=64,
+        featuresCol="f__vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED, maxBins=64
     )
     return Filter(trees.fit(fitted), suffixes, overall, features)
 

@@ -157,8 +157,8 @@ def _sql() -> str:
 
     def sequences(name: str, breaks: str) -> str:
         return f"""{name} AS (
-  SELECT doc_id, string_agg(code, '' ORDER BY at) AS {name}
-  FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS at
+  SELECT doc_id, string_agg(code, '' ORDER BY place) AS {name}
+  FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place
         FROM (SELECT doc_id, string_split({breaks}, chr(1)) AS parts FROM documents WHERE text IS NOT NULL))
   JOIN (SELECT DISTINCT * FROM (VALUES {known}) AS k(normal, code)) k
     ON k.normal = trim(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))

@@ -67,7 +67,7 @@ def with_ctes(sql: str) -> str:
     visit(sql)
     if not needed:
         return sql
-    heads = ",\n".join(f"{name} AS ({CTES[name]})" for name in needed)
+    heads = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in needed)
     if sql.lstrip().startswith("WITH "):
         return f"WITH {heads},\n{sql.lstrip()[5:]}"
     return f"WITH {heads}\n{sql}"

@@ -141,7 +141,7 @@ def pivot_age_wide(t: Tables) -> DataFrame:
 
 @query("SELECT * FROM vaccination_dense")
 def densify(t: Tables) -> DataFrame:
-    return reshape.densify(s.vaccination_rows(t), s.AGES)
+    return reshape.densify(s.vaccination_rows(t))
 
 
 @query("SELECT * FROM vaccination")

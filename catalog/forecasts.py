@@ -83,7 +83,8 @@ CTES["fc_accuracy"] = """
   SELECT series, variable, model_id, avg(abs(residual)) AS mae, avg(abs(residual) / nullif(abs(actual), 0)) * 100 AS mape,
          avg(abs(residual)) / nullif(avg(naive), 0) AS mase,
          avg(abs(residual) / nullif((abs(actual) + abs(pred)) / 2, 0)) * 100 AS smape,
-         sqrt(avg(residual * residual)) AS rmse
+         sqrt(avg(residual * residual)) AS rmse,
+         pow(covar_pop(actual, pred), 2) / CASE WHEN var_pop(actual) * var_pop(pred) > 1e-12 THEN var_pop(actual) * var_pop(pred) END AS rsq
   FROM (SELECT *, abs(actual - lag(actual) OVER (PARTITION BY series, variable, model_id ORDER BY date)) AS naive
         FROM fc_calibrated)
   GROUP BY 1, 2, 3"""
@@ -212,12 +213,12 @@ def calibrate(t: Tables) -> DataFrame:
 
 @query(
     """SELECT series, variable, model_id, round(mae, 6) AS mae, round(mape, 6) AS mape, round(mase, 6) AS mase,
-              round(smape, 6) AS smape, round(rmse, 6) AS rmse FROM fc_accuracy"""
+              round(smape, 6) AS smape, round(rmse, 6) AS rmse, round(rsq, 6) AS rsq FROM fc_accuracy"""
 )
 def accuracy(t: Tables) -> DataFrame:
     rows = settle(split_rows(t))
-    scores = evaluate.accuracy(evaluate.calibrate(rows, two_models(rows))).drop("rsq")
-    return rounded(scores, "mae", "mape", "mase", "smape", "rmse")
+    scores = evaluate.accuracy(evaluate.calibrate(rows, two_models(rows)))
+    return rounded(scores, "mae", "mape", "mase", "smape", "rmse", "rsq")
 
 
 @query(
@@ -232,12 +233,13 @@ def accuracy_rsq(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT series, variable, model_id FROM fc_accuracy WHERE mase IS NOT NULL
-       QUALIFY row_number() OVER (PARTITION BY series, variable ORDER BY mase, model_id) = 1"""
+    """SELECT series, variable, coalesce(model_id, 0) AS model_id FROM (SELECT DISTINCT series, variable FROM fc_rows) LEFT JOIN fc_accuracy USING (series, variable)
+       QUALIFY row_number() OVER (PARTITION BY series, variable ORDER BY mase NULLS LAST, mae NULLS LAST, model_id) = 1"""
 )
 def best_model(t: Tables) -> DataFrame:
+    """Every series has one."""
     rows = settle(split_rows(t))
-    return evaluate.best_model(evaluate.accuracy(evaluate.calibrate(rows, two_models(rows))))
+    return evaluate.best_model(evaluate.accuracy(evaluate.calibrate(rows, two_models(rows))), rows)
 
 
 _SQL_BEST = """SELECT series, variable, date, round(pred, 6) AS value, round(pred - 1.959963984540054 * sd, 6) AS conf_lo,
@@ -245,8 +247,8 @@ _SQL_BEST = """SELECT series, variable, date, round(pred, 6) AS value, round(pre
        FROM fc_calibrated
        JOIN (SELECT series, variable, model_id, stddev_samp(residual) AS sd FROM fc_calibrated GROUP BY 1, 2, 3)
          USING (series, variable, model_id)
-       JOIN (SELECT series, variable, model_id FROM fc_accuracy WHERE mase IS NOT NULL
-             QUALIFY row_number() OVER (PARTITION BY series, variable ORDER BY mase, model_id) = 1)
+       JOIN (SELECT series, variable, model_id FROM fc_accuracy
+             QUALIFY row_number() OVER (PARTITION BY series, variable ORDER BY mase NULLS LAST, mae NULLS LAST, model_id) = 1)
          USING (series, variable, model_id)"""
 
 
@@ -277,15 +279,28 @@ def pivot_forecast_wide(t: Tables) -> DataFrame:
 
 @query(
     f"""SELECT b.series, b.variable, b.date, b.value, d.lockdown_level, d.sum_covid
-        FROM ({_SQL_BEST}) b LEFT JOIN fc_days d ON d.series = b.series AND d.date = b.date"""
+        FROM ({_SQL_BEST}) b LEFT JOIN fc_days d ON d.series = b.series AND d.date = b.date
+        UNION ALL
+        SELECT f.series, f.variable, f.date, f.value, d.lockdown_level, d.sum_covid
+        FROM (SELECT series, variable, CAST(last + CAST(step AS INTEGER) AS DATE) AS date,
+                round(a + b * CAST(last + CAST(step AS INTEGER) - DATE '1970-01-01' AS DOUBLE), 6) + 0.0 AS value
+              FROM (SELECT series, variable, max(date) AS last, unnest(range(1, 15)) AS step,
+                      regr_intercept(value, CAST(date - DATE '1970-01-01' AS DOUBLE)) AS a,
+                      regr_slope(value, CAST(date - DATE '1970-01-01' AS DOUBLE)) AS b
+                    FROM fc_rows GROUP BY 1, 2)) f
+        LEFT JOIN fc_days d ON d.series = f.series AND d.date + 14 = f.date"""
 )
 def forecast_context(t: Tables) -> DataFrame:
-    """The forecast next to the regressors of its dates."""
+    """The forecast next to the regressors of its dates: the hold-out's best model, then the refitted line ahead."""
     history = settle(county_history(t))
     columns = ["lockdown_level", "sum_covid"]
     ahead = ft.future_dates(ft.long_rows(history, ["sum_covid"]))
     future = joins.lagged_regressors(ahead, history, columns)
-    forecast = best_bands(t).select("series", "variable", "date", F.round("value", 6).alias("value"))
+    every = run.refit_rows(ft.long_rows(history, VARIABLES), history)
+    later = every.filter(~F.col("is_train")).select(*ft.KEYS, "date")
+    line = md.fit_trend_line(every).join(later, [*ft.KEYS, "date"]).select("series", "variable", "date", F.col("pred").alias("value"))
+    past = best_bands(t).select("series", "variable", "date", "value")
+    forecast = rounded(rbind(past, line), "value")
     return joins.forecast_context(forecast, history, future, columns)
 
 
@@ -366,14 +381,13 @@ def fit_trend_boosted(t: Tables) -> DataFrame:
 
 @query()
 def fit_forest(t: Tables) -> DataFrame:
-    return md.fit_models(national_rows(t), [md.FOREST])
+    return md.fit_models(model_rows(t), [md.FOREST])
 
 
 @query()
 def forecast_counties(t: Tables) -> DataFrame:
-    """The chosen per-series model of every county and variable, two weeks ahead."""
-    ids = [md.ARIMA, md.ETS, md.TREND_SEASONAL, md.LINEAR, md.HINGE]
-    return run.create_forecasts(county_history(t), VARIABLES, ids).forecast
+    """The chosen one of all six models for every county and variable, two weeks ahead."""
+    return run.create_forecasts(county_history(t), VARIABLES).forecast
 
 
 @query()
@@ -389,22 +403,80 @@ def forecast_accuracy(t: Tables) -> DataFrame:
 
 @query()
 def forecast_cleaned(t: Tables) -> DataFrame:
-    """Ten steps ahead from outlier-free series."""
+    """Ten steps ahead from outlier-free series, with the 95 % band of the fitted residuals."""
     cleaned = settle(ft.clean_outliers(ft.long_rows(county_history(t), VARIABLES)))
     known = cleaned.select(*ft.KEYS, "date", "lockdown_level", F.col("clean").alias("value"), F.lit(True).alias("is_train"))
     ahead = ft.future_dates_by_gap(known, 11).join(known.select(*ft.KEYS, "date"), [*ft.KEYS, "date"], "left_anti")
     ahead = ahead.select(*ft.KEYS, "date", restriction_level("date").alias("lockdown_level"),
                          F.lit(None).cast("double").alias("value"), F.lit(False).alias("is_train"))
     every = ft.model_features(ft.spread(rbind(known, ahead)))
-    fitted = md.fit_models(every, [md.ARIMA_PLAIN])
-    return fitted.join(ahead.select(*ft.KEYS, "date"), [*ft.KEYS, "date"])
+    fitted = settle(md.fit_models(every, [md.ARIMA_PLAIN]))
+    seen = known.select(*ft.KEYS, "date", F.col("value").alias("actual"))
+    residuals = fitted.join(seen, [*ft.KEYS, "date"]).withColumn("residual", F.col("actual") - F.col("pred"))
+    return evaluate.with_bands(fitted.join(ahead.select(*ft.KEYS, "date"), [*ft.KEYS, "date"]), residuals)
 
 
 @query()
 def germany_icu_with_forecast(t: Tables) -> DataFrame:
     """National patients, new cases and forecast bands on one date axis."""
-    result = run.create_forecasts(national_history(t), VARIABLES, [md.ARIMA, md.ETS, md.LINEAR])
+    result = run.create_forecasts(national_history(t), VARIABLES)
     wide = evaluate.wide_forecast(result.forecast, VARIABLES).drop("series")
     history = s.case_history(t).withColumn("date", F.date_add("date", SHIFT))
     icu = s.icu_clean(t).withColumn("date", F.date_add("date", SHIFT))
     return views.germany_icu_with_forecast(icu, history, wide)
+
+
+# --- what fitted models must satisfy: SQL twins of their rules -----------------------------------
+
+
+def fitted_rows(fitted: DataFrame) -> DataFrame:
+    """Per series and model the number of rows and of finite predictions."""
+    finite = F.col("pred").isNotNull() & ~F.isnan("pred") & (F.abs("pred") < 1e12)
+    return fitted.groupBy(*ft.KEYS, "model_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(finite).alias("n_finite"))
+
+
+def rows_twin(*model_ids: int) -> str:
+    """Every row of every series that has a training row, once for each model."""
+    ids = ", ".join(f"({m})" for m in model_ids)
+    return f"""SELECT series, variable, model_id, n, n AS n_finite FROM
+        (SELECT series, variable, count(*) AS n FROM fc_split GROUP BY 1, 2 HAVING bool_or(is_train)), (VALUES {ids}) AS m(model_id)"""
+
+
+@query(rows_twin(md.ARIMA, md.ETS, md.TREND_SEASONAL, md.LINEAR, md.HINGE, md.ARIMA_PLAIN, md.ELASTIC_NET))
+def fitted_rows_solved(t: Tables) -> DataFrame:
+    """The models that a task fits to one series."""
+    ids = [md.ARIMA, md.ETS, md.TREND_SEASONAL, md.LINEAR, md.HINGE, md.ARIMA_PLAIN, md.ELASTIC_NET]
+    return fitted_rows(md.fit_models(model_rows(t), ids))
+
+
+@query(rows_twin(md.ARIMA_BOOSTED, md.TREND_BOOSTED))
+def fitted_rows_boosted(t: Tables) -> DataFrame:
+    rows = settle(model_rows(t))
+    return fitted_rows(md.fit_models(rows, [md.ARIMA_BOOSTED, md.TREND_BOOSTED]))
+
+
+@query(
+    """SELECT series, variable, count(*) AS n, true AS optimal FROM fc_split
+       GROUP BY 1, 2 HAVING bool_or(is_train)"""
+)
+def linear_is_optimal(t: Tables) -> DataFrame:
+    """The normal equations: training residuals are orthogonal to every regressor."""
+    rows = settle(model_rows(t))
+    both = rows.join(md.fit_models(rows, [md.LINEAR]), [*ft.KEYS, "date"])
+    miss = F.when(F.col("is_train"), F.col("value") - F.col("pred")).otherwise(0.0)
+    size = F.when(F.col("is_train"), F.abs("value") + 1).otherwise(0.0)
+    each = both.select(*ft.KEYS, "date", miss.alias("r"), size.alias("s"), F.posexplode("x_linear").alias("axis", "x"))
+    sums = each.groupBy(*ft.KEYS, "axis").agg(
+        F.count(F.lit(1)).alias("n"), F.abs(F.sum(F.col("r") * F.col("x"))).alias("off"), F.sum(F.col("s") * (F.abs("x") + 1)).alias("scale")
+    )
+    return sums.groupBy(*ft.KEYS).agg(F.max("n").alias("n"), F.min(F.col("off") / F.col("scale") < 1e-9).alias("optimal"))
+
+
+@query(
+    """SELECT series, variable, CAST(last + CAST(step AS INTEGER) AS DATE) AS date, true AS has_value
+       FROM (SELECT series, variable, max(date) AS last, unnest(range(1, 15)) AS step FROM fc_rows GROUP BY 1, 2)"""
+)
+def forecast_counties_dates(t: Tables) -> DataFrame:
+    """Every series has a forecast for each of the fourteen days after its last one."""
+    rows = run.create_forecasts(county_history(t), VARIABLES, [md.ARIMA, md.ETS, md.LINEAR]).forecast
+    return rows.select(*ft.KEYS, "date", (F.col("value").isNotNull() & ~F.isnan("value")).alias("has_value"))

@@ -26,7 +26,7 @@ _ICU_TODAY = "(SELECT * FROM icu_metrics WHERE date = (SELECT max(date) FROM icu
           ON h.gemeinde = i.gemeinde"""
 )
 def county_stats(t: Tables) -> DataFrame:
-    return views.county_stats(s.icu_metrics(t), s.case_history(t))
+    return views.county_stats(s.icu_metrics(t), s.case_history(t), None, s.report_days(t), s.case_days(t))
 
 
 @query(
@@ -136,4 +136,4 @@ def county_per_100k(t: Tables) -> DataFrame:
           ('09473', 'Landkreis Coburg'), ('09573', 'Landkreis Fürth')) m(g, n)"""
 )
 def map_today(t: Tables) -> DataFrame:
-    return views.map_today(s.icu_metrics(t))
+    return views.map_today(s.icu_metrics(t), s.report_days(t))

@@ -153,6 +153,11 @@ CTES["case_events"] = """
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
 
 
+def case_days(t: Tables) -> DataFrame:
+    """The days of all cases, from one column."""
+    return t.orders.select(F.to_date("o_orderdate").alias("date"))
+
+
 def history_daily(t: Tables) -> DataFrame:
     """Cleaned history: one row per county and day with counts and the running total."""
     daily = case_events(t).groupBy(
@@ -286,6 +291,11 @@ def icu_reports(t: Tables) -> DataFrame:
     )
 
 
+def report_days(t: Tables) -> DataFrame:
+    """The days of all reports, from one column."""
+    return t.lineitem.select(F.to_date("l_shipdate").alias("date"))
+
+
 def icu_clean(t: Tables) -> DataFrame:
     """Reports with merged keys, summed again."""
     raw = icu_reports(t)
@@ -361,7 +371,7 @@ def vaccination_rows(t: Tables) -> DataFrame:
 
 
 def vaccination(t: Tables) -> DataFrame:
-    return nightly.vaccination(vaccination_rows(t), AGES)
+    return nightly.vaccination(vaccination_rows(t))
 
 
 CTES["vaccination_rows"] = f"""

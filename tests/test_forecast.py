@@ -67,9 +67,34 @@ def test_accuracy_equals_brute_force(spark):
 
 
 def test_best_model_skips_four_and_breaks_ties(spark):
-    rows = [("s", "v", 4, 0.1), ("s", "v", 6, 0.5), ("s", "v", 5, 0.5), ("s", "v", 1, None), ("t", "v", 2, 0.9)]
-    df = spark.createDataFrame(rows, "series string, variable string, model_id int, mase double")
-    assert {r.series: r.model_id for r in evaluate.best_model(df).collect()} == {"s": 5, "t": 2}
+    rows = [("s", "v", 4, 0.1, 1.0), ("s", "v", 6, 0.5, 1.0), ("s", "v", 5, 0.5, 1.0), ("s", "v", 1, None, 0.0),
+            ("t", "v", 2, 0.9, 1.0), ("flat", "v", 1, None, 0.2), ("flat", "v", 2, None, 0.1), ("flat", "v", 3, None, None)]
+    df = spark.createDataFrame(rows, "series string, variable string, model_id int, mase double, mae double")
+    assert {r.series: r.model_id for r in evaluate.best_model(df).collect()} == {"s": 5, "t": 2, "flat": 2}
+    every = spark.createDataFrame([("s", "v"), ("new", "v"), ("new", "v")], "series string, variable string")
+    assert {r.series: r.model_id for r in evaluate.best_model(df, every).collect()} == {"s": 5, "new": evaluate.LAST_VALUE}
+
+
+def test_every_series_has_a_forecast(spark):
+    """Constant, ten days, one row, and one that stands still in its test span."""
+    given = {"long": range(100), "constant": [4] * 100, "ten": range(10), "one": [7], "still": [*range(60), *[0] * 40]}
+    frames = [series(spark, v, name).withColumnRenamed("value", "v") for name, v in given.items()]
+    history = frames[0]
+    for frame in frames[1:]:
+        history = history.union(frame)
+    result = run.create_forecasts(history.drop("variable"), ["v"])
+    rows = result.forecast.collect()
+    assert {n: sum(r.series == n for r in rows) for n in given} == dict.fromkeys(given, 14)
+    assert all(r.value is not None and np.isfinite(r.value) for r in rows)
+    assert {r.value for r in rows if r.series == "one"} == {7.0} and {r.conf_lo for r in rows if r.series == "one"} == {None}
+    assert result.best.count() == len(given)
+
+
+def test_fits_are_sent_only_what_they_read(spark):
+    rows = ft.model_features(ft.time_split(series(spark, range(60))))
+    plan = md.fit_solved(rows, [md.ETS])._jdf.queryExecution().optimizedPlan().toString()
+    python = plan[plan.index("FlatMapGroupsInPandas") :].splitlines()[1]
+    assert "x_linear" not in python and "x_trend" not in python and "x_hinge" not in python and "x_fourier" not in python
 
 
 def test_smoothing_fold_equals_a_loop(spark):

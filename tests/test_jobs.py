@@ -5,7 +5,7 @@ import json
 
 from wardwatch.forecast.models import ETS, LINEAR
 from wardwatch.plans import views
-from wardwatch.plans.jobs import Feeds, load_cases, load_icu
+from wardwatch.plans.jobs import Feeds, load_cases, load_hospitals, load_icu
 from wardwatch.sources.tables import read_table
 
 DAYS = [dt.date(2021, 1, 1) + dt.timedelta(days=n) for n in range(80)]
@@ -66,3 +66,16 @@ def test_both_jobs(spark, tmp_path):
     assert json.loads(text)["features"][0]["properties"]["betten_belegt"] == 89.0
     card = views.county_stats(read_table(spark, root, "icu_daily"), read_table(spark, root, "case_history"), "01001").collect()
     assert "Einwohner: 1.000<br />" in card[0].card and "Betten(frei/gesamt): 5/94" in card[0].card
+
+
+def test_hospital_job(spark, tmp_path):
+    site = {"krankenhausStandort": {"id": "7", "plz": "1", "position": {"latitude": 50.5, "longitude": 8.0}},
+            "maxBettenStatusEinschaetzungLowCare": "BEGRENZT", "meldebereiche": [{"meldebereichId": "u1"}, {"meldebereichId": "u2"}]}
+    (tmp_path / "sites.json").write_text(json.dumps(site) + "\n" + json.dumps({"krankenhausStandort": {"id": "8", "plz": "9"}}))
+    (tmp_path / "zips.csv").write_text("zipcode,community_code,line\n1,01001,1\n1,01002,2\n")
+    load_hospitals(spark, str(tmp_path / "sites.json"), str(tmp_path / "zips.csv"), str(tmp_path / "out"))
+    sites = {r.id: r for r in read_table(spark, str(tmp_path / "out"), "hospital_sites").collect()}
+    assert (sites["7"].community_code, sites["7"].maxBettenStatusEinschaetzungLowCare) == ("01001", "Begrenzt")
+    assert sites["8"].community_code is None
+    units = read_table(spark, str(tmp_path / "out"), "hospital_units")
+    assert sorted((r.id, r.unitId) for r in units.collect() if r.unitId) == [("7", "u1"), ("7", "u2")] and units.count() == 3

@@ -4,6 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from wardwatch.functions import dates, keys, nulls, text
 from wardwatch.operators import aggregates, clean, filters, measures, reshape, windows
 
@@ -143,17 +145,23 @@ def test_state_names_by_number(spark):
     ]
 
 
-def test_densify_fills_every_age_and_fails_on_unknown_ones(spark):
+def test_densify_fills_every_age_however_many_there_are(spark):
     rows = [(day(0), "k", 1, "12-17", 3), (day(0), "k", 1, "60+", 2), (day(1), "k", 1, "60+", 1)]
     df = spark.createDataFrame(rows, "date date, IdLandkreis string, vcCount int, Altersgruppe string, count long")
-    got = {(r.date, r.Altersgruppe): r["count"] for r in reshape.densify(df, ["12-17", "60+"]).collect()}
+    got = {(r.date, r.Altersgruppe): r["count"] for r in reshape.densify(df).collect()}
     assert got == {(day(0), "12-17"): 3, (day(0), "60+"): 2, (day(1), "12-17"): 0, (day(1), "60+"): 1}
-    try:
-        reshape.densify(df, ["60+"]).collect()
-    except Exception as error:
-        assert "age group not listed" in str(error)
-    else:
-        raise AssertionError("an unlisted age group must not vanish")
+    many = [(day(0), "k", 1, f"age {n}", n) for n in range(1500)] + [(day(1), "k", 1, None, 7)]
+    dense = reshape.densify(spark.createDataFrame(many, df.schema))
+    assert dense.count() == 2 * 1501 and dense.filter("Altersgruppe = 'NA'").agg({"count": "sum"}).first()[0] == 7
+
+
+def test_doses_widen_by_what_occurs_and_unlisted_ones_fail(spark):
+    rows = [(day(0), "k", n, "12-17", n, 10 * n) for n in (1, 4)]
+    df = spark.createDataFrame(rows, "date date, IdLandkreis string, vcCount int, Altersgruppe string, count long, cum_count long")
+    row = reshape.pivot_dose_wide(df).first()
+    assert (row.count_Vac4, row.cum_count_Vac1) == (4, 10)
+    with pytest.raises(Exception, match="dose not listed"):
+        reshape.pivot_dose_wide(df, [1, 2, 3]).collect()
 
 
 def test_median_equals_brute_force(spark):

@@ -4,6 +4,8 @@ import datetime as dt
 import json
 from pathlib import Path
 
+import pytest
+
 from wardwatch.functions.nulls import strict_sum
 from wardwatch.plans import nightly, views
 from wardwatch.sources import feeds, geo, pages, reports, sites, tables
@@ -46,11 +48,40 @@ def test_reports_with_two_headers_are_read_by_name(spark, tmp_path):
 
 
 def test_commas_and_quotes_inside_quotes(spark):
-    lines = [("f-2021-05-01-12-15.csv", 'betten_frei,kreis,daten_stand'), ("f-2021-05-01-12-15.csv", '3,"a, ""b""",NA')]
-    row = reports.parse_report_lines(spark.createDataFrame(lines, "file string, value string")).collect()[0]
+    files = [("f-2021-05-01-12-15.csv", 'betten_frei,kreis,daten_stand\r\n\r\n3,"a, ""b""",NA\n')]
+    row = reports.parse_reports(spark.createDataFrame(files, "file string, value string")).collect()[0]
     assert (row.betten_frei, row.kreis, row.daten_stand, row.betten_belegt) == ("3", 'a, "b"', None, None)
 
 
+def test_headers_without_a_mark_are_headers_and_files_without_one_fail(spark):
+    def parse(*texts):
+        files = [(f"f-2021-05-0{n}-12-15.csv", t) for n, t in enumerate(texts, 1)]
+        return reports.parse_reports(spark.createDataFrame(files, "file string, value string"))
+
+    rows = parse("kreis,betten_belegt\n01001,4\n", "kreis,betten_frei\nbetten_frei,5\n", "").collect()
+    assert sorted((r.kreis, r.betten_belegt, r.betten_frei) for r in rows) == [("01001", "4", None), ("betten_frei", None, "5")]
+    with pytest.raises(Exception, match="no header in"):
+        parse("1,2\n3,4\n").collect()
+
+
+def test_stream_equals_batch_on_the_same_folder(spark, tmp_path):
+    """Re-uploads with and without a padded key, a file without a date, one without bed counts."""
+    incoming, store = tmp_path / "incoming", str(tmp_path / "store")
+    write_new(incoming, free=99)
+    ingest_reports_stream(spark, str(incoming), store).awaitTermination()
+    write_old(incoming)
+    (incoming / "divi-intensivregister-2021-05-01-12-15-2.csv").write_text(
+        "gemeindeschluessel,bundesland,betten_frei,daten_stand\n01001,1,6,2021-05-01 12:15:00\n")
+    (incoming / "undated.csv").write_text("gemeindeschluessel,bundesland,betten_frei,daten_stand\n01002,1,3,NA\n")
+    (incoming / "divi-intensivregister-2021-06-01-12-15.csv").write_text("kreis,bundesland,daten_stand\n01003,1,2021-06-01 12:15:00\n")
+    ingest_reports_stream(spark, str(incoming), store).awaitTermination()
+    stored = spark.read.parquet(f"{store}/icu_reports").drop("month")
+    batch = reports.clean_reports(reports.latest_reports(reports.read_daily_reports(spark, str(incoming))))
+    assert as_set(stored) == as_set(batch)
+    beds = {(str(r.date), r.gemeinde): r.betten_frei for r in batch.collect()}
+    assert beds["2021-05-01", "01001"] == 6 and beds["None", "01002"] == 3 and beds["2021-06-01", "01003"] is None
+
+
 def test_stream_in_two_drops_equals_batch_and_the_reupload_wins(spark, tmp_path):
     incoming, store = tmp_path / "incoming", str(tmp_path / "store")
     write_new(incoming, free=99)
@@ -144,6 +175,20 @@ def test_geojson_parts_join_to_valid_json(spark, tmp_path):
     assert "betten_frei" not in result[1]["properties"] and result[2]["geometry"]["coordinates"] == [2, 1]
 
 
+def test_two_collections_and_two_stamps_give_valid_json_and_one_feature_each(spark, tmp_path):
+    for n in (1, 2):
+        feature = {"type": "Feature", "properties": {"RS": "01001"}, "geometry": None}
+        (tmp_path / f"{n}.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature, feature]}))
+    measures = ", ".join(f"{m} double" for m in reports.REPORT_MEASURES)
+    day = dt.date(2021, 1, 2)
+    icu = spark.createDataFrame([(day, "01001", "09:00", *[1.0] * 8), (day, "01001", "12:00", *[2.0] * 8)],
+                                f"date date, gemeinde string, daten_stand string, {measures}")
+    enriched = geo.enrich_features(geo.read_features(spark, str(tmp_path / "*.geojson")), icu)
+    geo.write_geojson(geo.feature_json(enriched), str(tmp_path / "out"))
+    joined = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert [f["properties"]["betten_frei"] for f in json.loads(joined)["features"]] == [2.0] * 4
+
+
 def test_stored_tables_prune_months(spark, tmp_path):
     df = spark.createDataFrame([(dt.date(2021, m, 1), m) for m in range(1, 13)], "date date, v int")
     tables.write_table(df, str(tmp_path), "facts", month_of="date")
@@ -152,6 +197,15 @@ def test_stored_tables_prune_months(spark, tmp_path):
     assert "month" in back._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_a_date_filter_prunes_months_and_the_newest_month_is_found(spark, tmp_path):
+    df = spark.createDataFrame([(dt.date(2021, m, d), m) for m in range(1, 13) for d in (1, 20)], "date date, v int")
+    tables.write_table(df, str(tmp_path), "facts", month_of="date", sort_by=("date",))
+    back = tables.read_table(spark, str(tmp_path), "facts", days=("date", "2021-03-10", "2021-05-01"))
+    assert sorted(r.v for r in back.collect()) == [3, 4, 4, 5]
+    assert "month" in back._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert [r.v for r in tables.newest_month(spark, str(tmp_path), "facts").collect()] == [12, 12]
+
+
 def test_nightly_tables_from_feeds(spark, tables, tmp_path):
     from catalog import standins as s
 

@@ -10,6 +10,7 @@ from wardwatch.operators.reshape import pivot_forecast_wide
 # Fixed value: two-sided 95 % quantile of the normal distribution.
 Z95 = 1.959963984540054
 EXCLUDED_MODELS = (4,)
+LAST_VALUE = 0  # the model of a series that no other can be scored on
 
 
 def calibrate(rows: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -39,10 +40,21 @@ def accuracy(calibrated: DataFrame) -> DataFrame:
     )
 
 
-def best_model(scores: DataFrame, excluded: tuple[int, ...] = EXCLUDED_MODELS) -> DataFrame:
-    """The model with the smallest mase per series; the lower number wins a tie."""
-    kept = scores.filter(~F.col("model_id").isin(list(excluded))).dropna(subset=["mase"])
-    return kept.groupBy(*KEYS).agg(F.min_by("model_id", F.struct("mase", "model_id")).alias("model_id"))
+def best_model(
+    scores: DataFrame, series: DataFrame | None = None, excluded: tuple[int, ...] = EXCLUDED_MODELS
+) -> DataFrame:
+    """The model with the smallest mase per series, then mae (both null last), then number.
+
+    mase is null where the series does not move in its test span. ``series`` has the keys of all series: one without
+    any score, such as one shorter than the test span, gets the model that repeats the last value.
+    """
+    kept = scores.filter(~F.col("model_id").isin(list(excluded)))
+    order = F.struct(F.col("mase").isNull(), "mase", F.col("mae").isNull(), "mae", "model_id")
+    best = kept.groupBy(*KEYS).agg(F.min_by("model_id", order).alias("model_id"))
+    if series is None:
+        return best
+    every = series.select(*KEYS).distinct()
+    return every.join(best, KEYS, "left").withColumn("model_id", F.coalesce("model_id", F.lit(LAST_VALUE)))
 
 
 def with_bands(predictions: DataFrame, calibrated: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardwatch.forecast import solvers
+from wardwatch.forecast.evaluate import LAST_VALUE
 from wardwatch.forecast.features import KEYS
 from wardwatch.operators.reshape import rbind
 from wardwatch.session import settle
@@ -55,7 +56,14 @@ def _ets(train: pd.DataFrame, rest: pd.DataFrame) -> np.ndarray:
     return np.concatenate(solvers.smoothing(train["value"].to_numpy(), len(rest)))
 
 
+def _last_value(train: pd.DataFrame, rest: pd.DataFrame) -> np.ndarray:
+    """Each day repeats the day before; the days after the last known one repeat it."""
+    y = train["value"].to_numpy()
+    return np.concatenate([y[:1], y[:-1], np.full(len(rest), y[-1])])
+
+
 SOLVED: dict[int, Fit] = {
+    LAST_VALUE: _last_value,
     ARIMA: _arima(with_level=True),
     ARIMA_PLAIN: _arima(with_level=False),
     ETS: _ets,
@@ -66,8 +74,22 @@ SOLVED: dict[int, Fit] = {
 }
 
 
+# The regressors that a model reads; no others are sent to its task.
+ARRAYS = {
+    ARIMA: "x_linear", TREND_SEASONAL: "x_trend", LINEAR: "x_linear", HINGE: "x_hinge", ELASTIC_NET: "x_fourier",
+}
+
+
+def _needed(rows: DataFrame, model_ids: list[int], *more: str) -> DataFrame:
+    arrays = dict.fromkeys(ARRAYS[m] for m in model_ids if m in ARRAYS)
+    return rows.select(*KEYS, "date", "value", "is_train", *more, *arrays)
+
+
 def fit_solved(rows: DataFrame, model_ids: list[int]) -> DataFrame:
-    """Fit the given per-series models; one shuffle by series serves them all."""
+    """Fit the given per-series models; one shuffle by series serves them all.
+
+    A series without a training row has no fitted values; ``best_model`` names its model.
+    """
 
     def fit_series(series: pd.DataFrame) -> pd.DataFrame:
         series = series.sort_values("date")
@@ -80,7 +102,33 @@ def fit_solved(rows: DataFrame, model_ids: list[int]) -> DataFrame:
             ["series", "variable", "model_id", "date", "pred"]
         ]
 
-    return rows.groupBy(*KEYS).applyInPandas(fit_series, SCHEMA)
+    return _needed(rows, model_ids).groupBy(*KEYS).applyInPandas(fit_series, SCHEMA)
+
+
+def fit_chosen(rows: DataFrame, model_ids: list[int]) -> DataFrame:
+    """Predictions for the rows that are no training rows, by the one model that ``model_id`` names for the series.
+
+    ``model_ids`` are the models that may occur. Boosted models are trained on the series that chose them.
+    """
+    solved = [m for m in model_ids if m in SOLVED]
+
+    def fit_series(series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values("date")
+        known = series["is_train"].to_numpy(dtype=bool)
+        train, rest = series[known], series[~known]
+        model = int(series["model_id"].iloc[0])
+        pred = SOLVED[model](train, rest)[len(train) :]
+        return rest[["series", "variable", "model_id", "date"]].assign(pred=pred)
+
+    mine = rows.filter(F.col("model_id").isin(solved))
+    frames = [_needed(mine, solved, "model_id").groupBy(*KEYS).applyInPandas(fit_series, SCHEMA)]
+    ahead = F.col("is_train") == F.lit(False)
+    for model in (m for m in model_ids if m in OTHERS):
+        own = settle(rows.filter(F.col("model_id") == model).drop("model_id"))
+        if not own.isEmpty():
+            dates = own.filter(ahead).select(*KEYS, "date")
+            frames.append(OTHERS[model](own).join(dates, [*KEYS, "date"]).select(*KEYS, "model_id", "date", "pred"))
+    return rbind(*frames)
 
 
 def _with_scale(rows: DataFrame) -> DataFrame:
@@ -134,12 +182,22 @@ def fit_forest(rows: DataFrame, trees: int = 500, depth: int = 8) -> DataFrame:
     return fitted.select(*KEYS, F.lit(FOREST).alias("model_id"), "date", F.col("prediction").alias("pred"))
 
 
+OTHERS = {ARIMA_BOOSTED: fit_arima_boosted, TREND_BOOSTED: fit_trend_boosted, FOREST: fit_forest}
+BASES = {ARIMA_BOOSTED: ARIMA, TREND_BOOSTED: TREND_SEASONAL}
+
+
 def fit_models(rows: DataFrame, model_ids: list[int]) -> DataFrame:
-    """All given models as one long table."""
+    """All given models as one long table. A boosted model takes its base from the solved ones, if it is among them."""
     solved = [m for m in model_ids if m in SOLVED]
+    shared = {m: b for m, b in BASES.items() if m in model_ids and b in solved}
     frames = [fit_solved(rows, solved)] if solved else []
-    others = {ARIMA_BOOSTED: fit_arima_boosted, TREND_BOOSTED: fit_trend_boosted, FOREST: fit_forest}
-    frames += [others[m](rows) for m in model_ids if m in others]
+    if shared:
+        frames[0] = settle(frames[0])
+    for model in (m for m in model_ids if m in OTHERS):
+        if model in shared:
+            frames.append(boost_residuals(rows, frames[0].filter(F.col("model_id") == shared[model]), model))
+        else:
+            frames.append(OTHERS[model](rows))
     return rbind(*frames)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardwatch.forecast import evaluate
 from wardwatch.forecast.features import KEYS, future_rows, long_rows, model_features, spread, time_split
-from wardwatch.forecast.models import ARIMA, ARIMA_BOOSTED, ETS, HINGE, LINEAR, TREND_SEASONAL, fit_models
+from wardwatch.forecast.models import ARIMA, ARIMA_BOOSTED, ETS, HINGE, LINEAR, TREND_SEASONAL, fit_chosen, fit_models
 from wardwatch.operators.joins import forecast_context
 from wardwatch.operators.reshape import rbind
 from wardwatch.session import settle
@@ -37,18 +37,18 @@ def create_forecasts(
 ) -> Forecast:
     """Fit, score on the last ``weeks`` weeks, refit on all rows and forecast ``days`` days with the best model.
 
-    The day totals are checkpointed once, so that no model reads the facts again.
+    Every series has a forecast, and only its chosen model is fitted again. The day totals are checkpointed once, so that no model reads the facts again.
     """
     history = settle(history)
     rows = long_rows(history, variables)
-    split = model_features(time_split(spread(rows), weeks))
+    split = settle(model_features(time_split(spread(rows), weeks)))
     calibrated = settle(evaluate.calibrate(split, fit_models(split, model_ids)))
     scores = evaluate.accuracy(calibrated)
-    best = evaluate.best_model(scores)
-    every = model_features(spread(refit_rows(rows, history, days)))
-    refitted = fit_models(every, model_ids).join(every.filter(~F.col("is_train")).select(*KEYS, "date"), [*KEYS, "date"])
-    bands = evaluate.select_best(evaluate.with_bands(refitted, calibrated), best)
-    return Forecast(bands, scores, best)
+    best = settle(evaluate.best_model(scores, rows))
+    chosen = refit_rows(rows, history, days).join(best, KEYS)
+    every = model_features(spread(chosen))
+    refitted = fit_chosen(every, [evaluate.LAST_VALUE, *model_ids])
+    return Forecast(evaluate.with_bands(refitted, calibrated), scores, best)
 
 
 def forecast_with_context(forecast: DataFrame, history: DataFrame, rows: DataFrame, days: int = 14) -> DataFrame:

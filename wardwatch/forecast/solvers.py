@@ -13,24 +13,25 @@ def least_squares(x: np.ndarray, y: np.ndarray, ridge: float = 0.0) -> np.ndarra
     return np.linalg.lstsq(x, y, rcond=None)[0]
 
 
-def elastic_net(x: np.ndarray, y: np.ndarray, penalty: float, mixture: float, rounds: int = 200) -> np.ndarray:
+def elastic_net(x: np.ndarray, y: np.ndarray, penalty: float, mixture: float) -> np.ndarray:
     """Coordinate descent on standardised columns; the first column is the intercept and stays free.
 
-    Works on the products of columns, so a round costs nothing per row.
+    Works on the products of columns, so a round costs nothing per row. Rounds go on until no coefficient moves by
+    1e-9 of the target's spread; the quadratic part of the penalty makes that certain, so ``mixture`` is below 1.
     """
     mean, spread = x.mean(axis=0), x.std(axis=0)
     usable = spread > 1e-12
     spread = np.where(usable, spread, 1.0)
     z, centre = (x - mean) / spread, y.mean()
     gram, moment = z.T @ z / len(y), z.T @ (y - centre) / len(y)
-    beta = np.zeros(x.shape[1])
-    for _ in range(rounds):
+    beta, still = np.zeros(x.shape[1]), 1e-9 * max(y.std(), 1e-12)
+    while True:
         before = beta.copy()
         for j in np.flatnonzero(usable):
             pull = moment[j] - gram[j] @ beta + gram[j, j] * beta[j]
             shrunk = np.sign(pull) * max(abs(pull) - penalty * mixture, 0.0)
             beta[j] = shrunk / (gram[j, j] + penalty * (1 - mixture))
-        if np.abs(beta - before).max(initial=0.0) < 1e-9:
+        if np.abs(beta - before).max(initial=0.0) <= still:
             break
     coefficients = beta / spread
     coefficients[0] = centre - coefficients[1:] @ mean[1:]
@@ -45,10 +46,12 @@ def _lags(z: np.ndarray, x: np.ndarray, order: int, start: int) -> np.ndarray:
 def autoregression(y: np.ndarray, x: np.ndarray, ahead: np.ndarray, most: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Fitted values and forecast of an autoregression with regressors ``x`` (known ahead as ``ahead``).
 
-    Differences the series once if that lowers its spread; the order comes from the corrected AIC.
+    Differences the series once if that lowers its spread; the order comes from the corrected AIC, from 0 to ``most``
+    or, for a short series, to what a quarter of its rows can tell apart.
     """
-    if len(y) < 4 * most:
-        return np.full(len(y), y.mean()), np.full(len(ahead), y[-1])
+    most = min(most, max(len(y) // 4 - 1, 0))
+    if len(y) < 3:
+        return y.astype(float), np.full(len(ahead), y[-1])
     differ = np.diff(y).std() < y.std()
     z = np.diff(y) if differ else y
     every = np.vstack([x, ahead])

@@ -19,7 +19,12 @@ RESTRICTIONS = [
 ]
 RESTRICTION_AFTERWARDS = 1
 # The shorter list of the analysis notebook.
-NOTEBOOK_RESTRICTIONS = RESTRICTIONS[:4]
+NOTEBOOK_RESTRICTIONS = [
+    ("2020-03-23", 0),
+    ("2020-05-03", 3),
+    ("2020-11-02", 1),
+    ("2020-12-16", 2),
+]
 NOTEBOOK_AFTERWARDS = 3
 
 

@@ -7,9 +7,13 @@ from pyspark.sql import Column, functions as F
 from wardwatch.functions.nulls import as_column
 
 # Official county keys that the feeds report in parts or under a former key.
-BERLIN_BOROUGHS = {"11000": [f"110{n:02d}" for n in range(1, 13)]}
+BERLIN_BOROUGHS = {
+    "11000": [
+        "11001", "11002", "11003", "11004", "11005", "11006", "11007", "11008", "11009", "11010", "11011", "11012",
+    ]
+}
 BAVARIAN_MERGERS = {"09463": ["09473"], "09563": ["09573"]}
-HAMBURG_PARTS = {"02000": [f"02{n}00" for n in range(1, 8)]}
+HAMBURG_PARTS = {"02000": ["02100", "02200", "02300", "02400", "02500", "02600", "02700"]}
 
 
 def pad_county_key(key: Column | str) -> Column:

@@ -162,13 +162,31 @@ def exact_median(df: DataFrame, column: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("c"))
         .filter(F.col("v").isNull() | (F.col("v") <= high))
     )
-    return _middle(counts, size).select(F.col("m").alias(column))
+    slice_of = F.coalesce(F.least(F.floor((F.col("v") - low) / (high - low) * SLICES), F.lit(SLICES - 1)), F.lit(0))
+    part = F.when(F.col("v").isNull(), -1).when(low == high, 0).otherwise(slice_of).cast("int")
+    return _middle(counts.withColumn("part", part), size).select(F.col("m").alias(column))
+
+
+SLICES = 1000  # of the bracket; running counts start anew in each
 
 
 def _middle(counts: DataFrame, size: Column) -> DataFrame:
-    """Mean of the one or two middle values of (value, count) rows; null values come first."""
-    upto = F.sum("c").over(Window.orderBy(F.col("v").asc_nulls_first()))
-    ranked = counts.select("v", upto.alias("upto"), (upto - F.col("c")).alias("before"))
+    """Mean of the one or two middle values of (value, count, part) rows; null values come first.
+
+    Parts are slices of the value range. Their totals, one row for each slice, say where a slice's running count begins,
+    so no task sees more than a slice.
+    """
+    totals = counts.groupBy("part").agg(F.sum("c").alias("n"))
+    known = totals.agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("known"))
+
+    def first_of(slice_: Column, number: Column) -> Column:
+        before = F.slice("known", F.lit(1), number)
+        start = F.aggregate(before, F.lit(0).cast("long"), lambda total, p: total + p["n"])
+        return F.struct(slice_["part"].alias("part"), start.alias("start"))
+
+    starts = known.select(F.inline(F.transform("known", first_of)))
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy(F.col("v").asc_nulls_first())) + F.col("start")
+    ranked = counts.join(starts, "part").select("v", upto.alias("upto"), (upto - F.col("c")).alias("before"))
     lower, upper = F.floor((size + 1) / 2), F.floor(size / 2) + 1
     hit = ((F.col("before") < lower) & (lower <= F.col("upto"))) | (
         (F.col("before") < upper) & (upper <= F.col("upto"))

@@ -67,15 +67,32 @@ def strict_sum_where(condition, value: str):
     return F.when((hits > 0) & (nulls == 0), F.sum(F.when(condition, F.col(value))))
 
 
-def densify(df: DataFrame, ages: list[str]) -> DataFrame:
-    """Give every day, county and dose a row for each age group, with count 0 where none was reported."""
+def densify(df: DataFrame) -> DataFrame:
+    """Give every day, county and dose a row for each age group of the table, with count 0 where none was reported.
+
+    The labels come as one array from an aggregate of the same table, however many there are. A sum with a null in it
+    counts as 0 like a missing group.
+    """
     keys = ["date", "IdLandkreis", "vcCount"]
-    wide = pivot_age_wide(df, ages, keys).fillna(0, subset=ages)
-    return wide.unpivot(keys, ages, "Altersgruppe", "count")
+    age = F.coalesce("Altersgruppe", F.lit("NA")).alias("Altersgruppe")
+    sums = df.groupBy(*keys, age).agg(strict_sum("count").alias("count"))
+    labels = df.agg(F.array_sort(F.collect_set(age)).alias("labels")).scalar()
+    known = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("Altersgruppe", "count"))).alias("known"))
+    every = known.select(*keys, "known", F.explode(labels).alias("Altersgruppe"))
+    return every.select(*keys, "Altersgruppe", F.coalesce(F.element_at("known", F.col("Altersgruppe")), F.lit(0)).alias("count"))
 
 
-def pivot_dose_wide(df: DataFrame, doses: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Counts and running counts of each dose as ``count_Vac<n>`` and ``cum_count_Vac<n>``."""
+def pivot_dose_wide(df: DataFrame, doses: list[int] | None = None) -> DataFrame:
+    """Counts and running counts of each dose as ``count_Vac<n>`` and ``cum_count_Vac<n>``.
+
+    ``doses`` are those that occur, unless given; then a row with another dose fails the query.
+    """
+    if doses is None:
+        doses = sorted(r[0] for r in df.select("vcCount").dropna().distinct().collect())
+    else:
+        known = F.col("vcCount").isin(list(doses))
+        unlisted = F.raise_error(F.concat(F.lit("dose not listed: "), F.col("vcCount").cast("string")))
+        df = df.withColumn("vcCount", F.when(known | F.col("vcCount").isNull(), F.col("vcCount")).otherwise(unlisted.cast("int")))
     wide = (
         df.groupBy("date", "IdLandkreis", "Altersgruppe")
         .pivot("vcCount", list(doses))

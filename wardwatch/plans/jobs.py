@@ -8,10 +8,10 @@ from pyspark.sql import SparkSession
 
 from wardwatch.forecast.evaluate import wide_forecast
 from wardwatch.forecast.run import NIGHTLY_MODELS, create_forecasts
-from wardwatch.operators.aggregates import national_total_row
-from wardwatch.plans import nightly
-from wardwatch.sources import feeds, geo
-from wardwatch.sources.reports import clean_reports, read_daily_reports
+from wardwatch.operators.aggregates import distinct_first, national_total_row
+from wardwatch.plans import nightly, views
+from wardwatch.sources import feeds, geo, sites as st
+from wardwatch.sources.reports import clean_reports, latest_reports, read_daily_reports
 from wardwatch.sources.tables import read_table, write_table
 
 VARIABLES = ["sum_covid", "sum_intub"]
@@ -45,14 +45,14 @@ def load_cases(spark: SparkSession, paths: Feeds, root: str) -> None:
         root,
         history,
         ages,
-        nightly.vaccination(doses, feeds.age_groups(doses)),
+        nightly.vaccination(doses),
         feeds.read_decimal_comma_csv(spark, paths.nowcast),
     )
 
 
 def load_icu(spark: SparkSession, paths: Feeds, root: str, model_ids: list[int] = NIGHTLY_MODELS) -> None:
     """ICU table, county names, forecast with its accuracy, and the enriched map."""
-    cleaned = clean_reports(read_daily_reports(spark, paths.reports))
+    cleaned = clean_reports(latest_reports(read_daily_reports(spark, paths.reports)))
     nightly.store_icu(root, nightly.icu_daily(cleaned, _county(spark, paths), read_table(spark, root, "case_history")))
     stored = read_table(spark, root, "icu_daily")
     result = create_forecasts(nightly.forecast_input(stored), VARIABLES, model_ids)
@@ -61,3 +61,19 @@ def load_icu(spark: SparkSession, paths: Feeds, root: str, model_ids: list[int]
     if paths.features is not None:
         enriched = geo.enrich_features(geo.read_features(spark, paths.features), stored)
         geo.write_geojson(geo.feature_json(enriched), f"{root}/map_geojson")
+
+
+ZIP_SCHEMA = "zipcode string, community_code string, line long"
+
+
+def load_hospitals(spark: SparkSession, sites: str, zips: str, root: str, zip_schema: str = ZIP_SCHEMA) -> None:
+    """Postcodes, hospital sites with their county and availability, and their reporting units.
+
+    ``sites`` are JSON files with one site a line, ``zips`` CSV files whose first row of a postcode counts.
+    """
+    rows = feeds.load_zip_dim(spark, zips, zip_schema)
+    write_table(distinct_first(rows, "zipcode", ["line"]), root, "zips")
+    raw = st.read_sites(spark, sites)
+    located = views.located_sites(st.flatten_sites(raw), read_table(spark, root, "zips").select("zipcode", "community_code"))
+    write_table(located, root, "hospital_sites")
+    write_table(st.explode_units(raw), root, "hospital_units")

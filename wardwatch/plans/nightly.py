@@ -39,10 +39,10 @@ def case_age(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def vaccination(cleaned: DataFrame, ages: list[str]) -> DataFrame:
+def vaccination(cleaned: DataFrame) -> DataFrame:
     """Counts of every age group per day, county and dose, with running totals."""
     keys = ["IdLandkreis", "Altersgruppe", "vcCount"]
-    return add_running_totals(densify(cleaned, ages), keys, "date", {"count": "cum_count"})
+    return add_running_totals(densify(cleaned), keys, "date", {"count": "cum_count"})
 
 
 def icu_metrics(cleaned: DataFrame, county: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def county_forecast_input(icu: DataFrame) -> DataFrame:
 def store_cases(root: str, history: DataFrame, ages: DataFrame, doses: DataFrame, nowcast: DataFrame) -> None:
     """Write the tables of the case load. Run before ``store_icu``, which joins the stored history."""
     write_table(ages, root, "case_age", month_of="Refdatum")
-    write_table(history, root, "case_history", month_of="date")
+    write_table(history, root, "case_history", month_of="date", sort_by=("gemeinde", "date"))
     write_table(doses, root, "vaccination", month_of="date")
     write_table(nowcast, root, "nowcast_r")
 
@@ -109,5 +109,5 @@ def store_cases(root: str, history: DataFrame, ages: DataFrame, doses: DataFrame
 def store_icu(root: str, icu: DataFrame) -> None:
     """Write the tables of the ICU load; names come from the stored facts, not from a second run of the plan."""
     spark = icu.sparkSession
-    write_table(icu, root, "icu_daily", month_of="date")
+    write_table(icu, root, "icu_daily", month_of="date", sort_by=("gemeinde", "date"))
     write_table(county_names(spark.read.parquet(f"{root}/icu_daily")), root, "county_names")

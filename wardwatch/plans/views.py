@@ -24,10 +24,15 @@ from wardwatch.operators.windows import add_running_totals, pct_change, per_seri
 from wardwatch.sources.sites import STATUS_COLUMNS, section_details
 
 
-def county_stats(icu: DataFrame, history: DataFrame, county: str | None = None) -> DataFrame:
-    """The stats card of a county: newest report and newest case figures as text."""
-    beds = for_counties(latest_global(icu), county)
-    cases = for_counties(latest_global(history), county).select(
+def county_stats(
+    icu: DataFrame, history: DataFrame, county: str | None = None, icu_days: DataFrame | None = None, history_days: DataFrame | None = None
+) -> DataFrame:
+    """The stats card of a county: newest report and newest case figures as text.
+
+    ``icu_days`` and ``history_days`` may have the same last dates and be cheaper to read (see ``latest_global``).
+    """
+    beds = for_counties(latest_global(icu, dates=icu_days), county)
+    cases = for_counties(latest_global(history, dates=history_days), county).select(
         "gemeinde",
         F.col("Incidence_7d_per_100k").alias("incidence"),
         F.col("date").alias("case_date"),
@@ -148,10 +153,10 @@ def county_per_100k(icu: DataFrame, county: str | None = None) -> DataFrame:
     return for_counties(icu, county).select("gemeinde", "date", "covid_per_100k", "covid_per_100k_intubated")
 
 
-def map_today(icu: DataFrame) -> DataFrame:
+def map_today(icu: DataFrame, icu_days: DataFrame | None = None) -> DataFrame:
     """Newest figures per county with hover text, and the counties without intensive care."""
     day = add_missing_counties(
-        latest_global(icu).select(
+        latest_global(icu, dates=icu_days).select(
             "gemeinde", "bundesland", "name", "type", "anzahl_standorte", "anzahl_meldebereiche",
             "betten_frei", "betten_belegt", "auslastung", "pct_covid",
         )

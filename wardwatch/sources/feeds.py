@@ -94,15 +94,6 @@ def clean_case_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def age_groups(cleaned: DataFrame, most: int = 1000) -> list[str]:
-    """The age groups of a feed, a handful of labels; more than ``most`` is an error."""
-    label = F.coalesce("Altersgruppe", F.lit("NA")).alias("age")
-    labels = [r["age"] for r in cleaned.select(label).distinct().limit(most + 1).collect()]
-    if len(labels) > most:
-        raise ValueError(f"more than {most} age groups")
-    return sorted(labels)
-
-
 def clean_vaccination(raw: DataFrame) -> DataFrame:
     return raw.select(
         parse_date("Impfdatum").alias("date"),

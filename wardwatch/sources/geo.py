@@ -15,14 +15,25 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Features of GeoJSON files, one collection per file, with their position. Properties and geometry stay text."""
     collections = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", COLLECTION_SCHEMA)
-    return collections.select(F.posexplode(parsed["features"]).alias("position", "f")).select("position", "f.*")
+    named = collections.select(F.col("_metadata.file_path").alias("file"), F.posexplode(parsed["features"]).alias("position", "f"))
+    return named.select("file", "position", "f.*")
 
 
 def enrich_features(features: DataFrame, icu: DataFrame) -> DataFrame:
-    """Add the newest bed figures of its county to each feature; features of unknown counties stay."""
-    latest = latest_global(icu).select(F.col("gemeinde").alias("_rs"), *REPORT_MEASURES)
+    """Add the newest bed figures of its county to each feature; features of unknown counties stay.
+
+    Where a county has several report stamps on the last day, the newest one counts, so each feature stays one row.
+    """
+    stamp = F.col("daten_stand") if "daten_stand" in icu.columns else F.lit(None).cast("string")
+    figures = F.max_by(F.struct(*REPORT_MEASURES), F.struct(stamp.isNotNull(), stamp)).alias("_figures")
+    latest = latest_global(icu).groupBy(F.col("gemeinde").alias("_rs")).agg(figures).select("_rs", "_figures.*")
     joined = features.join(latest, F.get_json_object("properties", "$.RS") == F.col("_rs"), "left")
-    return joined.select("position", "properties", "geometry", *REPORT_MEASURES)
+    return joined.select(*_place(features), "properties", "geometry", *REPORT_MEASURES)
+
+
+def _place(features: DataFrame) -> list[str]:
+    """What orders features: the file, if known, and the position in it."""
+    return [c for c in ("file", "position") if c in features.columns]
 
 
 def feature_json(df: DataFrame, measures: list[str] = REPORT_MEASURES) -> DataFrame:
@@ -34,7 +45,7 @@ def feature_json(df: DataFrame, measures: list[str] = REPORT_MEASURES) -> DataFr
     separator = F.when((F.col("properties") == "{}") | (figures == "{}"), F.lit("")).otherwise(F.lit(","))
     bag = F.concat(F.expr("left(properties, length(properties) - 1)"), separator, F.substr(figures, F.lit(2)))
     return df.select(
-        "position",
+        *_place(df),
         F.concat(
             F.lit('{"type":"Feature","properties":'), bag,
             F.lit(',"geometry":'), F.coalesce("geometry", F.lit("null")), F.lit("}"),
@@ -45,12 +56,15 @@ def feature_json(df: DataFrame, measures: list[str] = REPORT_MEASURES) -> DataFr
 def write_geojson(features: DataFrame, path: str) -> None:
     """Write one feature collection as text parts that form valid JSON when joined in name order.
 
-    Opening, features and closing are rows of a range-partitioned sort, so no task holds the whole collection.
+    Features of several files follow each other by file and position; these two tell all features apart. Opening, features and closing are rows of a range-partitioned sort, so no task holds the whole collection.
     """
     spark = features.sparkSession
-    ends = spark.createDataFrame(
-        [(-1, '{"type":"FeatureCollection","features":['), (2**31 - 1, "]}")], "position int, value string"
-    )
-    comma = F.when(F.col("position") > features.agg(F.min("position")).scalar(), F.lit(",")).otherwise(F.lit(""))
-    rows = features.select("position", F.concat(comma, F.col("value")).alias("value"))
-    rbind(rows, ends).orderBy("position").select("value").write.mode("overwrite").text(path)
+    place = F.struct(F.lit(1).alias("part"), *_place(features))
+    kind = features.select(place.alias("p")).schema["p"].dataType.simpleString()
+    ends = spark.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2, "]}")], "part int, value string")
+    blank = [F.lit(None).cast(features.schema[c].dataType).alias(c) for c in _place(features)]
+    ends = ends.select(F.struct("part", *blank).cast(kind).alias("place"), "value")
+    first = features.agg(F.min(place)).scalar()
+    comma = F.when(place > first, F.lit(",")).otherwise(F.lit(""))
+    rows = features.select(place.alias("place"), F.concat(comma, F.col("value")).alias("value"))
+    rbind(rows, ends).orderBy("place").select("value").write.mode("overwrite").text(path)

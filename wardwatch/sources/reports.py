@@ -36,10 +36,8 @@ REPORT_MEASURES = [
     "betten_belegt_nur_erwachsen",
     "betten_frei_nur_erwachsen",
 ]
-HEADER_MARK = "betten_frei"
 # Fixed value: how report files are named.
 FILE_PREFIX = "divi-intensivregister-"
-MAX_BROADCAST_FILES = 100_000
 
 
 def file_report_stamp(file_name: Column | str) -> Column:
@@ -54,16 +52,16 @@ def latest_report_stamp(df: DataFrame, stamp: str = "daten_stand") -> DataFrame:
     return df.agg(F.date_format(newest, "yyyy-MM-dd-HH-mm").alias("stamp"))
 
 
-def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines of report files with the name of their file."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+def read_report_files(spark: SparkSession, path: str) -> DataFrame:
+    """Report files, one row each: all counties of one day, a few dozen kilobytes."""
+    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def stream_report_lines(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
-    """As ``read_report_lines``, for files that arrive over time."""
+def stream_report_files(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
+    """As ``read_report_files``, for files that arrive over time."""
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-        .text(path)
+        .text(path, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("file"))
     )
 
@@ -75,18 +73,21 @@ def _fields(line: Column) -> Column:
     return F.transform(plain, lambda x: F.nullif(F.replace(x, F.lit('""'), F.lit('"')), F.lit("NA")))
 
 
-def parse_report_lines(lines: DataFrame, columns: list[str] = REPORT_COLUMNS) -> DataFrame:
-    """All columns as text, matched by name to the header of the line's own file, plus the file's date.
+def parse_reports(files: DataFrame, columns: list[str] = REPORT_COLUMNS) -> DataFrame:
+    """All columns as text, matched by name to the header of the row's own file, plus the file's date.
 
-    A file's header is its line that holds ``HEADER_MARK``; no driver loop over files is needed. Headers are
-    broadcast as long as their number, which is that of the files, stays below ``MAX_BROADCAST_FILES``.
+    A file's header is its first line that is not blank. It must name at least one of the columns: a file without a
+    header fails the query, so that no row is lost unseen.
     """
-    is_header = F.col("value").contains(HEADER_MARK)
-    headers = lines.filter(is_header).select("file", _fields(F.col("value")).alias("_names")).distinct()
-    if headers.limit(MAX_BROADCAST_FILES + 1).count() <= MAX_BROADCAST_FILES:
-        headers = F.broadcast(headers)
-    data = lines.filter(~is_header & (F.trim("value") != "")).join(headers, "file")
-    values = data.withColumn("_values", _fields(F.col("value")))
+    lines = F.filter(F.split("value", r"\r?\n|\r"), lambda line: F.trim(line) != "")
+    split = files.select("file", lines.alias("_lines")).filter(F.size("_lines") > 0)
+    names = _fields(F.get("_lines", F.lit(0)))
+    missing = F.raise_error(F.concat(F.lit("no header in "), F.col("file"))).cast("array<string>")
+    headed = split.withColumn("_names", names).withColumn(
+        "_names", F.when(F.arrays_overlap("_names", F.array(*map(F.lit, columns))), F.col("_names")).otherwise(missing)
+    )
+    rows = headed.select("file", "_names", F.explode(F.slice("_lines", F.lit(2), F.size("_lines"))).alias("value"))
+    values = rows.withColumn("_values", _fields(F.col("value")))
     cells = {c: F.get("_values", F.array_position("_names", c).cast("int") - 1) for c in columns}
     name = F.regexp_extract("file", r"([^/=]*\d{4}-\d{2}-\d{2}-\d{2}-\d{2}(?:-2)?\.csv)", 1)
     return values.select(
@@ -97,7 +98,7 @@ def parse_report_lines(lines: DataFrame, columns: list[str] = REPORT_COLUMNS) ->
 
 
 def read_daily_reports(spark: SparkSession, path: str) -> DataFrame:
-    return parse_report_lines(read_report_lines(spark, path))
+    return parse_reports(read_report_files(spark, path))
 
 
 def clean_reports(raw: DataFrame) -> DataFrame:
@@ -111,10 +112,14 @@ def clean_reports(raw: DataFrame) -> DataFrame:
 
 
 def latest_reports(raw: DataFrame) -> DataFrame:
-    """Per day and county key the row of the latest report; a re-upload beats the first upload of its report."""
+    """Per day and county key the row of the latest report; a re-upload beats the first upload of its report.
+
+    Batch and stream both take this step. Keys are compared as they are stored, padded, so ``5334`` and ``05334`` are one
+    county. Files of the same day are versions of one report here, not parts to be added up.
+    """
     name = F.col("file_name")
     order = F.struct(file_report_stamp(name), name.endswith("-2.csv"), name)
-    key = F.coalesce("gemeindeschluessel", "kreis")
+    key = F.coalesce(pad_report_key("gemeindeschluessel"), "kreis")
     newest = F.max_by(F.struct(*raw.columns), order).alias("_row")
     return raw.groupBy("date", key.alias("_key")).agg(newest).select("_row.*")
 

@@ -5,21 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def write_table(df: DataFrame, root: str, name: str, month_of: str | None = None) -> None:
+def write_table(
+    df: DataFrame, root: str, name: str, month_of: str | None = None, sort_by: tuple[str, ...] = ()
+) -> None:
     """Overwrite a stored table; ``month_of`` names the date column whose month partitions a fact table.
 
-    The rebalance hint gives each month whole files and lets AQE split a month that is too big for one task.
+    The rebalance hint gives each month whole files and lets AQE split a month that is too big for one task. Rows are
+    sorted by ``sort_by`` within a file, so that a filter on it skips most of the file's row groups.
     """
     if month_of is None:
         df.write.mode("overwrite").parquet(f"{root}/{name}")
         return
     monthly = df.withColumn("month", F.date_format(month_of, "yyyy-MM"))
-    monthly.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{root}/{name}")
+    monthly = monthly.hint("rebalance", "month").sortWithinPartitions("month", *sort_by)
+    monthly.write.mode("overwrite").partitionBy("month").parquet(f"{root}/{name}")
 
 
-def read_table(spark: SparkSession, root: str, name: str, since: str | None = None) -> DataFrame:
-    """A stored table; ``since`` (``yyyy-MM``) skips the month partitions before it."""
+def read_table(
+    spark: SparkSession, root: str, name: str, since: str | None = None, days: tuple[str, str, str] | None = None
+) -> DataFrame:
+    """A stored table; ``since`` (``yyyy-MM``) skips the month partitions before it.
+
+    ``days`` is a date column with the first and last day wanted; only the month partitions between them are read.
+    """
     df = spark.read.parquet(f"{root}/{name}")
     if since is not None:
         df = df.filter(F.col("month") >= since)
+    if days is not None:
+        column, first, last = days
+        df = df.filter(F.col("month").between(first[:7], last[:7]) & F.col(column).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     return df.drop("month")
+
+
+def newest_month(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The rows of a fact table's last month; the month is found from the partitions, without reading a column."""
+    df = spark.read.parquet(f"{root}/{name}")
+    return df.filter(F.col("month") == df.agg(F.max("month")).scalar()).drop("month")

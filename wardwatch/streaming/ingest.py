@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardwatch.sources.reports import (
     REPORT_COLUMNS,
     clean_reports,
     latest_reports,
-    parse_report_lines,
-    stream_report_lines,
+    parse_reports,
+    stream_report_files,
 )
 
-MAX_MONTHS_PER_BATCH = 10_000
-
+UNDATED = "undated"
 
 def ingest_reports_stream(
     spark: SparkSession, incoming: str, store: str, files_per_batch: int = 10_000
@@ -26,9 +25,9 @@ def ingest_reports_stream(
     The stream's checkpoint knows which files were seen. ``store`` holds a log of report rows per batch and
     the cleaned table ``icu_reports`` by month; a later report of the same day and county wins.
     """
-    lines = stream_report_lines(spark, incoming, files_per_batch)
+    files = stream_report_files(spark, incoming, files_per_batch)
     return (
-        lines.writeStream.foreachBatch(partial(_store_batch, store))
+        files.writeStream.foreachBatch(partial(_store_batch, store))
         .option("checkpointLocation", f"{store}/_progress")
         .trigger(availableNow=True)
         .start()
@@ -38,23 +37,22 @@ def ingest_reports_stream(
 def _store_batch(store: str, batch: DataFrame, batch_id: int) -> None:
     """Write the batch to the log, then rebuild the months it touches from the log.
 
+    Rows of files whose name has no date form a month of their own. The touched months are a join, not a list on the
+    driver, so there may be any number of them; Spark prunes the log's folders by it.
     Both steps replace what an earlier try of the same batch left, so a batch may run again at any time.
     """
     spark = batch.sparkSession
-    rows = parse_report_lines(batch).withColumn("month", F.date_format("date", "yyyy-MM"))
+    rows = parse_reports(batch).withColumn("month", _month())
     log_path = f"{store}/log/batch={batch_id}"
     rows.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(log_path)
     schema = ", ".join(f"{c} string" for c in REPORT_COLUMNS)
     schema += ", date date, file_name string, batch long, month string"
     log = spark.read.schema(schema).option("basePath", f"{store}/log").parquet(f"{store}/log")
-    touched = log.filter(F.col("batch") == batch_id).select("month").distinct().limit(MAX_MONTHS_PER_BATCH + 1)
-    months = [r["month"] for r in touched.collect()]
-    if len(months) > MAX_MONTHS_PER_BATCH:
-        raise ValueError("one batch touches too many months; lower files_per_batch")
-    if not months:
+    touched = log.filter(F.col("batch") == batch_id).select("month").distinct()
+    if touched.isEmpty():
         return
-    current = latest_reports(log.filter(F.col("month").isin(months)).drop("batch", "month"))
-    cleaned = clean_reports(current).withColumn("month", F.date_format("date", "yyyy-MM"))
+    current = latest_reports(log.join(touched, "month", "left_semi").drop("batch", "month"))
+    cleaned = clean_reports(current).withColumn("month", _month())
     (
         cleaned.hint("rebalance", "month")
         .write.mode("overwrite")
@@ -62,3 +60,7 @@ def _store_batch(store: str, batch: DataFrame, batch_id: int) -> None:
         .partitionBy("month")
         .parquet(f"{store}/icu_reports")
     )
+
+
+def _month() -> Column:
+    return F.coalesce(F.date_format("date", "yyyy-MM"), F.lit(UNDATED))

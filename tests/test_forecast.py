@@ -150,3 +150,22 @@ def test_boosting_changes_a_patterned_residual(spark):
     base = md.fit_solved(rows, [md.ARIMA])
     boosted = md.boost_residuals(rows, base, md.ARIMA_BOOSTED, rounds=3, depth=3)
     assert boosted.count() == 120 and boosted.filter("pred IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("rows,penalty", [(5, 0.01), (60, 0.001), (400, 0.1), (400, 50.0)])
+def test_elastic_net_meets_the_conditions_of_the_optimum(rows, penalty):
+    rng = np.random.default_rng(rows)
+    day = np.arange(rows)
+    x = np.column_stack([np.ones(rows), day, day**2, np.sin(day / 9), np.zeros(rows), *[(day % 7 == k) for k in range(6)],
+                         *[np.maximum(day - k, 0) for k in range(0, rows, max(rows // 6, 1))]]).astype(float)
+    y = 5 + np.cos(day / 9) * 3 + rng.normal(size=rows)
+    beta = solvers.elastic_net(x, y, penalty, 0.5)
+    spread = x.std(axis=0)
+    moving = spread > 1e-12
+    z = (x - x.mean(axis=0)) / np.where(moving, spread, 1.0)
+    scaled = np.where(moving, beta * spread, 0.0)
+    pull = z.T @ (y - y.mean() - z @ scaled) / rows - penalty / 2 * scaled
+    used = moving & (scaled != 0)
+    assert np.allclose(pull[used], penalty / 2 * np.sign(scaled[used]), atol=1e-7)
+    assert (np.abs(pull[moving & ~used]) <= penalty / 2 + 1e-7).all()
+    assert (x @ beta).mean() == pytest.approx(y.mean())

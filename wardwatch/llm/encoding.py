@@ -9,9 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMO_CHUNKS = 600_000  # a worker remembers so many chunks twice over: a full memo replaces the one before it
+MEMO_CHUNKS = 350_000  # a worker remembers so many chunks twice over: a full memo replaces the one before it
 TOGETHER = 500_000  # characters of the texts that are looked up at once
 LONG_CHUNK = 64  # longer chunks are not remembered
+STOPS = ".,;:!?"  # one of them after a letter is a token of its own
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 UNSAFE = b""  # stands for the ids of a chunk at which a text can't be cut
 
 
@@ -63,6 +65,7 @@ class Encoder:
             # A byte-level token has one character for each byte; added tokens stand for their own text.
             sizes = {i: len(token) for token, i in spec["model"]["vocab"].items()}
             sizes |= {t["id"]: len(t["content"].encode()) for t in spec.get("added_tokens") or []}
+            self.stops = dict(zip(STOPS, self.whole(list(STOPS))))
             self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)])
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -107,10 +110,18 @@ class Encoder:
             self.memo, self.older = {}, self.memo
         made = {c: self.older[c] for c in chunks if c in self.older}
         new = [c for c in chunks if c not in made]
+        stems = {c: c[:-1] for c in new if c[-1:] in self.stops and c[-2:-1] in LETTERS}
+        known = {s: ids for s in set(stems.values()) if (ids := self.memo.get(s) or self.older.get(s) or made.get(s))}
         made.update(dict.fromkeys(new, UNSAFE))
-        if sound := [c for c in new if c and not c[0].isspace()]:
-            made.update(zip(sound, self.cut(self.whole([" " + " ".join(sound)])[0], sound)))
-        self.memo.update((c, ids) for c, ids in made.items() if len(c) <= LONG_CHUNK)
+        wanted = dict.fromkeys(stems.get(c, c) for c in new)
+        if sound := [c for c in wanted if c and not c[0].isspace() and c not in known]:
+            known.update(zip(sound, self.cut(self.whole([" " + " ".join(sound)])[0], sound)))
+        for c in new:
+            if c in stems:
+                made[c] = known[stems[c]] + self.stops[c[-1]] if stems[c] in known else UNSAFE
+            elif c in known:
+                made[c] = known[c]
+        self.memo.update((c, ids) for c, ids in {**known, **made}.items() if len(c) <= LONG_CHUNK)
         return made
 
 

@@ -299,3 +299,31 @@ def test_every_rule_uses_known_identifiers_and_every_sentence_has_a_trigger():
     assert all(set(ids) <= known for _, ids in licences.RULES)
     assert json.dumps(licences.triggers(licences.SENTENCES))
     assert all(re.search(licences.triggers(licences.SENTENCES), s) for _, s in licences.SENTENCES)
+
+
+def licences_of(spark, texts):
+    found = licences.licences(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    return {(r["doc_id"], r["rule"]): (r["licence"], r["times"], r["n_known"]) for r in found}
+
+
+@pytest.mark.parametrize("join", [" ", "\n"])  # as lines, and wrapped
+def test_every_sentence_and_every_rule_of_the_table_is_found(spark, join):
+    by_name = {}
+    for name, text in licences.SENTENCES:
+        by_name.setdefault(name, []).append(join.join(text.split(" ")) + ".")
+    texts = [text for name in by_name for text in by_name[name]]
+    rules = [(n, text) for n, (_, ids) in enumerate(licences.RULES) if len(ids) == 1 for text in by_name[ids[0]]]
+    rules += [(n, "\n\n".join(by_name[i][0] for i in ids)) for n, (_, ids) in enumerate(licences.RULES) if len(ids) > 1]
+    found = licences_of(spark, [text for _, text in rules])
+    assert found == {(i, n): (licences.RULES[n][0], 1, len(licences.RULES[n][1])) for i, (n, _) in enumerate(rules)}
+    single = [(name.upper(), [name]) for name in by_name]
+    frame = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: (r["licence"], r["n_known"]) for r in licences.licences(frame, rules=single).collect()}
+    assert got == dict(enumerate((name.upper(), 1) for name in by_name for _ in by_name[name]))
+
+
+def test_incomplete_sentences_are_not_known(spark):
+    gpl = dict(licences.SENTENCES)["gpl-free"]
+    head, tail = gpl.split(": ")
+    found = licences_of(spark, [f"{head}:\nnot at all.\n{tail}", "2.0", f"All rights reserved.\n2.0\n{tail}", f"x\n\n# {head}:\n\n# {tail}.\n2.0"])
+    assert found == {(2, 18): ("all-rights-reserved", 1, 1), (3, 9): ("GPL-3.0-or-later", 1, 1)}

@@ -73,6 +73,7 @@ RULES = [
 ENDS = r"(?<=[.;:!?])[\x20\x09-\x0D]+|[\r\n]+"  # sentences of lines
 WRAPPED = r"(?<=[.;:!?])[\x20\x09-\x0D]+|(?:\r?\n[\x20\x09]*){2,}"  # sentences over the lines of a paragraph
 OTHER = r"[^\p{L}\p{N}]+"
+UNKNOWN = "."  # a piece of no known sentence
 
 
 def normal(text: str) -> str:
@@ -95,25 +96,40 @@ def code_of(identifiers: list[str]) -> dict[str, str]:
     return {name: chr(0x4E00 + i) for i, name in enumerate(dict.fromkeys(identifiers))}
 
 
-def known_codes(text: Column, cut: str, table_of: Column) -> Column:
-    """``(at, code)`` of the known sentences of a text; ``at`` orders them."""
-    parts = F.transform(F.split(text, cut), lambda s, i: F.struct(i.alias("at"), F.element_at(table_of, normalised(s)).alias("code")))
-    return F.filter(parts, lambda p: p["code"].isNotNull())
+def pieces_and_sentences(sentences: list[tuple[str, str]]) -> tuple[dict[str, str], list[tuple[str, str]], str]:
+    """Codes of normalised pieces; ``(pieces, code)`` of sentences that a cut breaks; the codes that only such pieces have.
+
+    A sentence with a break of its own never is one piece of a text: it is known where its pieces follow each other.
+    """
+    codes = code_of([name for name, _ in sentences])
+    cut = [(codes[name], [n for part in re.split(ENDS, text) if (n := normal(part))]) for name, text in sentences]
+    pieces = {"": ""} | {parts[0]: code for code, parts in cut if len(parts) == 1}
+    own = [part for part in dict.fromkeys(p for _, parts in cut for p in parts) if part not in pieces]
+    pieces |= {part: chr(0x5E00 + i) for i, part in enumerate(own)}
+    broken = [("".join(pieces[p] for p in parts), code) for code, parts in cut if len(parts) > 1]
+    return pieces, sorted(broken, key=lambda b: -len(b[0])), "".join(pieces[p] for p in own)
 
 
 def found_sequences(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES) -> DataFrame:
     """``doc_id, lines, wrapped``: the codes of each text's known sentences by lines and by paragraphs."""
-    codes = code_of([name for name, _ in sentences])
-    pairs = {normal(text): codes[name] for name, text in sentences}
-    table_of = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    pieces, broken, own = pieces_and_sentences(sentences)
+    table_of = F.create_map(*[F.lit(x) for pair in pieces.items() for x in pair])
     some = docs.select("doc_id", text_or_empty().alias("text")).where(F.col("text").rlike(triggers(sentences)))
 
     def sequence(cut: str) -> Column:
-        return F.array_join(F.transform(known_codes(F.col("text"), cut, table_of), lambda p: p["code"]), "")
+        each = F.transform(F.split("text", cut), lambda s: F.coalesce(F.element_at(table_of, normalised(s)), F.lit(UNKNOWN)))
+        return sentences_of(F.array_join(each, ""), broken, own)
 
     return some.select("doc_id", sequence(ENDS).alias("lines"), sequence(WRAPPED).alias("wrapped"))
 
 
+def sentences_of(sequence: Column, broken: list[tuple[str, str]], own: str) -> Column:
+    """The codes of known sentences in a sequence of pieces; what is left of unknown and incomplete ones goes."""
+    for want, code in broken:
+        sequence = F.replace(sequence, F.lit(want), F.lit(code))
+    return F.translate(sequence, UNKNOWN + own, "")
+
+
 def matched(sequence: Column, sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> Column:
     """``(licence, rule, times)`` of the rules that match, in their order. Sentences that a rule took are not matched again."""
     codes = code_of([name for name, _ in sentences])

@@ -327,3 +327,13 @@ def test_incomplete_sentences_are_not_known(spark):
     head, tail = gpl.split(": ")
     found = licences_of(spark, [f"{head}:\nnot at all.\n{tail}", "2.0", f"All rights reserved.\n2.0\n{tail}", f"x\n\n# {head}:\n\n# {tail}.\n2.0"])
     assert found == {(2, 18): ("all-rights-reserved", 1, 1), (3, 9): ("GPL-3.0-or-later", 1, 1)}
+
+
+def test_sentences_of_lines_and_of_paragraphs_count_together(spark):
+    by_name = dict(licences.SENTENCES)
+    wrapped = [re.sub(r"((?:\S+ ){7}\S+) ", r"\1\n", by_name[i]) + "." for i in ("mit-grant", "mit-condition")]
+    grant = "\n\n".join(wrapped)
+    texts = [f"Licensed under CC BY 4.0\npage footer\n\n{grant}", f"{grant}\n\npage\nAll rights reserved\nfooter\n\n{grant}",
+             'Licensed under the Apache License, Version 2.0\n(the "License")']
+    assert licences_of(spark, texts) == {
+        (0, 2): ("MIT", 1, 3), (0, 14): ("CC-BY-4.0", 1, 3), (1, 2): ("MIT", 2, 5), (1, 18): ("all-rights-reserved", 1, 5), (2, 7): ("Apache-2.0", 1, 1)}

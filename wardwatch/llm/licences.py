@@ -111,16 +111,23 @@ def pieces_and_sentences(sentences: list[tuple[str, str]]) -> tuple[dict[str, st
 
 
 def found_sequences(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES) -> DataFrame:
-    """``doc_id, lines, wrapped``: the codes of each text's known sentences by lines and by paragraphs."""
+    """``doc_id, sequence``: the codes of each text's known sentences, in the order of the text.
+
+    Each break of paragraphs is one of lines too. So a piece of a paragraph that is no known sentence is cut into its
+    lines in its place, and no span counts twice.
+    """
     pieces, broken, own = pieces_and_sentences(sentences)
     table_of = F.create_map(*[F.lit(x) for pair in pieces.items() for x in pair])
     some = docs.select("doc_id", text_or_empty().alias("text")).where(F.col("text").rlike(triggers(sentences)))
 
-    def sequence(cut: str) -> Column:
-        each = F.transform(F.split("text", cut), lambda s: F.coalesce(F.element_at(table_of, normalised(s)), F.lit(UNKNOWN)))
-        return sentences_of(F.array_join(each, ""), broken, own)
+    def known(piece: Column) -> Column:
+        return F.element_at(table_of, normalised(piece))
 
-    return some.select("doc_id", sequence(ENDS).alias("lines"), sequence(WRAPPED).alias("wrapped"))
+    def lines(piece: Column) -> Column:
+        return F.array_join(F.transform(F.split(piece, ENDS), lambda s: F.coalesce(known(s), F.lit(UNKNOWN))), "")
+
+    each = F.transform(F.split("text", WRAPPED), lambda s: F.coalesce(known(s), lines(s)))
+    return some.select("doc_id", sentences_of(F.array_join(each, ""), broken, own).alias("sequence"))
 
 
 def sentences_of(sequence: Column, broken: list[tuple[str, str]], own: str) -> Column:
@@ -151,12 +158,9 @@ def matched(sequence: Column, sentences: list[tuple[str, str]] = SENTENCES, rule
 def licences(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """``doc_id, licence, rule, times, n_known``: a row for each licence rule that matches in a document.
 
-    The reading (lines or paragraphs) with more known sentences counts, lines if equal. Null and empty texts have no
-    rows; repeated rows have theirs each.
+    Sentences of lines and of paragraphs both count. Null and empty texts have no rows; repeated rows have theirs each.
     """
-    found = found_sequences(docs, sentences).withColumn(
-        "sequence", F.when(F.length("wrapped") > F.length("lines"), F.col("wrapped")).otherwise(F.col("lines"))
-    )
+    found = found_sequences(docs, sentences)
     return found.where("sequence <> ''").select(
         "doc_id", F.length("sequence").cast("long").alias("n_known"), F.inline(matched(F.col("sequence"), sentences, rules))
     ).select("doc_id", "licence", F.col("rule").cast("long").alias("rule"), F.col("times").cast("long").alias("times"), "n_known")

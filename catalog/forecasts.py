@@ -381,17 +381,13 @@ def fit_trend_boosted(t: Tables) -> DataFrame:
 
 @query()
 def fit_forest(t: Tables) -> DataFrame:
-    return md.fit_models(national_rows(t), [md.FOREST])
+    return md.fit_models(model_rows(t), [md.FOREST])
 
 
 @query()
 def forecast_counties(t: Tables) -> DataFrame:
-    """The chosen per-series model of every county and variable, two weeks ahead.
-
-    Boosted trees over all counties take minutes here; the national forecast has all six models.
-    """
-    ids = [md.ARIMA, md.ETS, md.TREND_SEASONAL, md.LINEAR, md.HINGE]
-    return run.create_forecasts(county_history(t), VARIABLES, ids).forecast
+    """The chosen one of all six models for every county and variable, two weeks ahead."""
+    return run.create_forecasts(county_history(t), VARIABLES).forecast
 
 
 @query()
@@ -453,6 +449,12 @@ def fitted_rows_solved(t: Tables) -> DataFrame:
     return fitted_rows(md.fit_models(model_rows(t), ids))
 
 
+@query(rows_twin(md.ARIMA_BOOSTED, md.TREND_BOOSTED))
+def fitted_rows_boosted(t: Tables) -> DataFrame:
+    rows = settle(model_rows(t))
+    return fitted_rows(md.fit_models(rows, [md.ARIMA_BOOSTED, md.TREND_BOOSTED]))
+
+
 @query(
     """SELECT series, variable, count(*) AS n, true AS optimal FROM fc_split
        GROUP BY 1, 2 HAVING bool_or(is_train)"""
@@ -476,5 +478,5 @@ def linear_is_optimal(t: Tables) -> DataFrame:
 )
 def forecast_counties_dates(t: Tables) -> DataFrame:
     """Every series has a forecast for each of the fourteen days after its last one."""
-    rows = run.create_forecasts(county_history(t), VARIABLES, [md.ARIMA, md.ETS, md.LINEAR]).forecast
+    rows = run.create_forecasts(county_history(t), VARIABLES).forecast
     return rows.select(*ft.KEYS, "date", (F.col("value").isNotNull() & ~F.isnan("value")).alias("has_value"))

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import forecasts
+from catalog.base import REGISTRY
 from wardwatch.forecast import evaluate, features as ft, models as md, run, solvers
 
 START = dt.date(2020, 1, 1)
@@ -169,3 +171,24 @@ def test_elastic_net_meets_the_conditions_of_the_optimum(rows, penalty):
     assert np.allclose(pull[used], penalty / 2 * np.sign(scaled[used]), atol=1e-7)
     assert (np.abs(pull[moving & ~used]) <= penalty / 2 + 1e-7).all()
     assert (x @ beta).mean() == pytest.approx(y.mean())
+
+
+def test_county_queries_use_all_nightly_models_and_all_counties(spark, monkeypatch):
+    asked = []
+
+    def forecast(history, variables, model_ids=run.NIGHTLY_MODELS):
+        asked.append(set(model_ids))
+        return run.Forecast(history.limit(0).select(*[F.lit(None).alias(c) for c in ("series", "variable", "date")], F.lit(0.0).alias("value")), None, None)
+
+    def fit(rows, model_ids):
+        fitted.append((rows.select("series").distinct().count(), model_ids))
+        return rows
+
+    fitted = []
+    monkeypatch.setattr(forecasts.run, "create_forecasts", forecast)
+    monkeypatch.setattr(forecasts.md, "fit_models", fit)
+    for name in ("forecast_counties", "forecast_counties_dates", "fit_forest"):
+        REGISTRY[name].run(spark, "/root/testdata/sf0.001")
+    assert asked == [set(run.NIGHTLY_MODELS)] * 2
+    assert fitted[0][0] > 1 and fitted[0][1] == [md.FOREST]
+    assert "fitted_rows_boosted" in REGISTRY and REGISTRY["fitted_rows_boosted"].sql

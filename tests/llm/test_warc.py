@@ -127,3 +127,20 @@ def test_files_of_lost_attempts_are_not_read(spark, tmp_path):
     [path] = glob.glob(str(tmp_path / "w" / "*.warc.gz"))
     (tmp_path / "w" / "part-lost.warc.gz").write_bytes(open(path, "rb").read())
     assert warc.read_archives(manifest).count() == 1
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_urls_of_any_length(spark, tmp_path, compress):
+    rows = [(1, "http://h/" + "x" * 100_000, "page"), (2, "http://h/" + "é" * 3_000_000, "page"), (3, "u", "other")]
+    rows += [(9 + n, "x" * (warc.HEADER - 330 + n), "") for n in range(30)]  # the blank line across the end of a step
+    found = warc.read_archives(warc.write_archives(pages_of(spark, rows), str(tmp_path / "w"), compress=compress)).collect()
+    assert {(r["kind"], r["record_id"], r["target"]) for r in found} == {("record", warc.ID.format(i), url) for i, url, _ in rows}
+
+
+def test_a_header_without_end_is_a_gap(spark, tmp_path):
+    endless = b"WARC/1.1\r\nWARC-Type: response\r\n" + b"no colon\r\n" * 20_000
+    path = tmp_path / "endless"
+    path.write_bytes(endless + members(1, False)[0] + b"WARC/1.1\r\nX: " + b"y" * 200_000)
+    found, gaps = read(spark, path)
+    assert found == ids([0]) and [n for _, n, _ in gaps] == [len(endless), 200_013]
+    assert [reason for *_, reason in gaps] == ["header line", "header end"]

@@ -26,7 +26,7 @@ from wardwatch.session import scratch_path
 
 SEGMENT = 64 << 20  # bytes after which a task begins a new file
 PIECE = 1 << 20  # bytes read or inflated at once
-HEADER = 1 << 16  # a longer record header fails
+HEADER = 1 << 16  # bytes of a record read at first; more as long as its header goes on
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -203,11 +203,15 @@ def body(headers: dict[str, str], block: bytes) -> bytes:
 def parse(read, at: int) -> Record:
     """The record at a place of anything that ``read(at, count)`` gives bytes of."""
     head = read(at, HEADER)
-    if not head.startswith(VERSION):
+    if not re.match(rb"WARC/1\.\d\r\n", head):
         raise Failed("version line")
-    split = head.find(b"\r\n\r\n")
-    if split < 0:
-        raise Failed("header end")
+    while (split := head.find(b"\r\n\r\n")) < 0:
+        if not all(re.match(rb"[^:]*[^:\s][^:]*:", line) for line in head.split(b"\r\n")[1:-1]):
+            raise Failed("header line")
+        more = read(at + len(head), len(head))
+        if not more:
+            raise Failed("header end")
+        head += more
     headers = parse_header(head[:split])
     size, start = int(headers["content-length"]), at + split + 4
     block = read(start, size + 4)

@@ -144,3 +144,46 @@ def test_a_header_without_end_is_a_gap(spark, tmp_path):
     found, gaps = read(spark, path)
     assert found == ids([0]) and [n for _, n, _ in gaps] == [len(endless), 200_013]
     assert [reason for *_, reason in gaps] == ["header line", "header end"]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+@pytest.mark.parametrize("plain_next", [True, False])
+def test_damage_in_a_member_of_several_records(spark, tmp_path, level, plain_next):
+    parts = members(8, False)
+    after = members(9, not plain_next)[8]
+    starts = [sum(map(len, parts[:i])) for i in range(9)]
+
+    def damaged(*places):
+        data = bytearray(b"".join(parts))
+        for place in places:
+            data[place] ^= 0x55
+        return bytes(data)
+
+    path = tmp_path / "inside"  # the member itself is intact; its first record has no version line
+    member = gzip.compress(damaged(starts[0], starts[3] + len(parts[3]) // 2, starts[7] + 200), level)
+    path.write_bytes(member + after)
+    found, gaps = read(spark, path)
+    assert found == ids([1, 2, 4, 5, 6, 8])
+    assert [(o, n) for o, n, _ in gaps] == [(0, len(member))] * 3
+    assert f"bytes {starts[3]} to {starts[4]} of the member" in gaps[1][2]
+
+    path = tmp_path / "checksum"
+    member = bytearray(gzip.compress(b"".join(parts), level))
+    member[-6] ^= 0x55
+    path.write_bytes(bytes(member) + after)
+    found, gaps = read(spark, path)
+    assert found == ids(range(9)) and [(o, n) for o, n, _ in gaps] == [(0, len(member))]
+
+    path = tmp_path / "cut"
+    member = gzip.compress(b"".join(parts), level)
+    path.write_bytes(member[: len(member) * 2 // 3] + after)
+    found, gaps = read(spark, path)
+    assert len(found) == len(set(found)) and found[:3] == ids(range(3)) and ids([7])[0] not in found and found[-1] == ids([8])[0]
+    assert gaps[0][0] == 0 and gaps[0][1] >= len(member) * 2 // 3  # a stored block goes on into the next record
+
+    path = tmp_path / "data"
+    member = bytearray(member)
+    member[len(member) // 2] ^= 0x55
+    path.write_bytes(bytes(member) + after)
+    found, gaps = read(spark, path)
+    assert len(found) == len(set(found)) and found[:2] == ids(range(2)) and ids([8])[0] in found and gaps

@@ -221,43 +221,102 @@ def parse(read, at: int) -> Record:
     return Record(headers, block[:size], start + size + 4)
 
 
-def inflate(window: Window, at: int) -> tuple[bytes, int]:
-    """A member's content and its end. The member fails at once if it does not begin with a version line."""
-    unpack, out, place, step = zlib.decompressobj(31), bytearray(), at, 1 << 12
-    while not unpack.eof:
+class Member(NamedTuple):
+    data: bytes
+    end: int  # in the file
+    failure: str | None  # why it ends there, if it is not its own end
+
+
+def inflate(window: Window, at: int, most: int | None = None) -> Member:
+    """A member's content, as far as it can be inflated and until it has ``most`` bytes."""
+    unpack, out, place, step, failure = zlib.decompressobj(31), bytearray(), at, 1 << 12, None
+    while not unpack.eof and (most is None or len(out) < most):
         data = window.some(place, step)
-        step = min(2 * step, PIECE)
         if not data:
-            raise Failed("member cut short")
+            failure = "member cut short"
+            break
+        before = unpack.copy()
         try:
-            out += unpack.decompress(data)
+            more = unpack.decompress(data)
         except zlib.error:
-            raise Failed("member checksum or data") from None
+            more = None
+        if more is None or most is not None and len(out) + len(more) > most and len(data) > 1:  # too far: halve the step
+            unpack, step = before, len(data) // 2
+            if step:
+                continue
+            failure = "member checksum or data"
+            break
+        out += more
         place += len(data)
-        if not VERSION.startswith(bytes(out[: len(VERSION)])):
-            raise Failed("no record in member")
-    return bytes(out), place - len(unpack.unused_data)
+        step = min(2 * step, PIECE)
+    return Member(bytes(out), place - len(unpack.unused_data), failure)
+
+
+def records_in(data: bytes, doubtful: bool) -> tuple[list[Record], list[tuple[int, int, str]]]:
+    """The records of inflated bytes that pass, and ``start, length, reason`` of the gaps between them.
+
+    Of doubtful bytes only records with a block digest can pass.
+    """
+    records, gaps, at, gap, why = [], [], 0, None, ""
+    while at < len(data):
+        try:
+            record = parse(lambda i, n: data[i : i + n], at)
+            if doubtful and not record.headers.get("warc-block-digest", "").startswith("sha1:"):
+                raise Failed("no digest in a damaged member")
+        except Failed as failure:
+            if gap is None:
+                gap, why = at, str(failure)
+            at = data.find(VERSION, at + 1)
+            at = len(data) if at < 0 else at
+            continue
+        if gap is not None:
+            gaps.append((gap, at - gap, why))
+            gap = None
+        records.append(record)
+        at = record.end
+    if gap is not None:
+        gaps.append((gap, len(data) - gap, why))
+    return records, gaps
+
+
+class Found(NamedTuple):
+    records: list[Record]
+    gaps: list[str]  # inside a member
+    end: int  # of the member or record; of the last record that passed, if the member fails
+    failure: str | None
 
 
-def records_at(window: Window, at: int) -> tuple[list[Record], int]:
-    """The records of the member or plain record at a place, and where it ends."""
+def records_at(window: Window, at: int) -> Found:
+    """The records of the member or plain record at a place. It fails if it has bytes and no record in them passes."""
     if window.read(at, min(3, window.size - at)) != MEMBER:
         record = parse(lambda i, n: window.read(i, max(0, min(n, window.size - i))), at)
-        return [record], record.end
-    data, end = inflate(window, at)
-    records, inner = [], 0
-    while inner < len(data):
-        records.append(parse(lambda i, n: data[i : i + n], inner))
-        inner = records[-1].end
-    return records, end
+        return Found([record], [], record.end, None)
+    data, end, failure = inflate(window, at)
+    records, gaps = records_in(data, failure == "member checksum or data")
+    if not records and (failure or gaps):
+        raise Failed(failure or f"no record in member: {gaps[0][2]}")
+    if failure:
+        end = inflate(window, at, records[-1].end).end
+    return Found(records, [f"{why}, bytes {start} to {start + n} of the member" for start, n, why in gaps], end, failure)
 
 
 def salvage(window: Window) -> Iterator[tuple[str, int, int, str | None, Record | None]]:
-    """``kind, offset, length, reason, record`` of a file, without holes: each byte belongs to a record or a gap."""
-    at, gap, why = 0, None, None
+    """``kind, offset, length, reason, record`` of a file, without holes: each byte belongs to a record or a gap.
+
+    The records of a member and the gaps between them have the place of the member. A member that fails is a gap up
+    to the next place that passes; the records in it that pass have that place too.
+    """
+    at, gap, why, held = 0, None, None, None
+
+    def rows(offset: int, end: int, found: Found) -> Iterator[tuple[str, int, int, str | None, Record | None]]:
+        for reason in found.gaps:
+            yield "gap", offset, end - offset, reason, None
+        for record in found.records:
+            yield "record", offset, end - offset, None, record
+
     while at < window.size:
         try:
-            records, end = records_at(window, at)
+            found = records_at(window, at)
         except Failed as failure:
             if gap is None:
                 gap, why = at, str(failure)
@@ -265,12 +324,19 @@ def salvage(window: Window) -> Iterator[tuple[str, int, int, str | None, Record
             continue
         if gap is not None:
             yield "gap", gap, at - gap, why, None
-            gap = None
-        for record in records:
-            yield "record", at, end - at, None, record
-        at = end
+            if held is not None:
+                yield from rows(gap, at, held)
+            gap = held = None
+        if found.failure:
+            gap, why, held = at, found.failure, found
+            at = window.find(found.end)
+            continue
+        yield from rows(at, found.end, found)
+        at = found.end
     if gap is not None:
         yield "gap", gap, window.size - gap, why, None
+        if held is not None:
+            yield from rows(gap, window.size, held)
 
 
 def found_row(path: str, kind: str, offset: int, length: int, reason: str | None, record: Record | None, payloads: bool) -> tuple:

@@ -337,3 +337,19 @@ def test_sentences_of_lines_and_of_paragraphs_count_together(spark):
              'Licensed under the Apache License, Version 2.0\n(the "License")']
     assert licences_of(spark, texts) == {
         (0, 2): ("MIT", 1, 3), (0, 14): ("CC-BY-4.0", 1, 3), (1, 2): ("MIT", 2, 5), (1, 18): ("all-rights-reserved", 1, 5), (2, 7): ("Apache-2.0", 1, 1)}
+
+
+@pytest.mark.parametrize(("histogram", "best"), [
+    ({400: 12_000, 300: 12_000}, 9_000), ({400: 11_000, 300: 13_000}, 8_750), ({512: 9_000, 307: 9_000, 205: 9_000}, 9_000), ({390: 5_000, 350: 5_000, 284: 5_000}, 5_000)])
+def test_few_frequent_lengths_are_packed_close_to_the_bound(histogram, best):
+    recipe, total, seen = packing.plan(histogram), 0, {}
+    for length, rows in recipe.groupby("length"):
+        ends = [*rows["rank"][1:], histogram[length]]
+        for rank, end, sequence, offset in zip(rows["rank"], ends, rows["sequence"], rows["offset"]):
+            for i in range(end - rank):
+                seen.setdefault(sequence + i, []).append((offset, length))
+    assert sorted(seen) == list(range(len(seen))) and sum(map(len, seen.values())) == sum(histogram.values())
+    for pieces in seen.values():
+        pieces.sort()
+        assert all(o + n <= following for (o, n), (following, _) in zip(pieces, [*pieces[1:], (packing.LENGTH, 0)]))
+    assert best <= len(seen) <= 1.02 * best

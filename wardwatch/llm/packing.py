@@ -26,7 +26,7 @@ from wardwatch.llm.encoding import encoder
 LENGTH = 1024
 END = 2  # id after each document
 GROUPS = 64  # of equal cardinality
-SMALL = 0.4  # pieces up to this part of a sequence are small
+SMALL = (0.4, 0.2, 0.1)  # pieces up to this part of a sequence are small; the one with the fewest sequences counts
 COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, at long"
 
 
@@ -108,6 +108,9 @@ class Bins:
             bisect.insort(self.rooms, room)
         self.by_room[room].append((count, content))
 
+    def total(self) -> int:
+        return sum(count for classes in self.by_room.values() for count, _ in classes)
+
     def put(self, length: int, rank: int, count: int) -> None:
         """Best fit: each piece goes where the least room is left; new sequences when nothing fits."""
         while count:
@@ -135,8 +138,15 @@ class Bins:
             rank, count = rank + some, count - some
 
 
-def plan(histogram: dict[int, int], capacity: int = LENGTH, groups: int = GROUPS, small: float = SMALL) -> pd.DataFrame:
-    """``length, rank, sequence, offset``: from this rank on, pieces of a length go to sequences from this number on."""
+def plan(histogram: dict[int, int], capacity: int = LENGTH, groups: int = GROUPS, small: tuple[float, ...] = SMALL) -> pd.DataFrame:
+    """``length, rank, sequence, offset``: from this rank on, pieces of a length go to sequences from this number on.
+
+    A low border fits lengths that occur very often to each other; a high one has finer groups where lengths are spread.
+    """
+    return laid_out(min((filled(histogram, capacity, groups, part) for part in small), key=Bins.total))
+
+
+def filled(histogram: dict[int, int], capacity: int, groups: int, small: float) -> Bins:
     bins, taken = Bins(capacity), dict.fromkeys(histogram, 0)
     border = int(capacity * small)
     large = {n: c for n, c in histogram.items() if border < n < capacity}
@@ -157,7 +167,7 @@ def plan(histogram: dict[int, int], capacity: int = LENGTH, groups: int = GROUPS
     for n in sorted(histogram, reverse=True):
         if n <= border or n >= capacity:
             bins.put(n, taken[n], histogram[n])
-    return laid_out(bins)
+    return bins
 
 
 def place(bins: Bins, rows: list, pattern: np.ndarray, times: int, taken: dict[int, int], capacity: int) -> None:

@@ -68,6 +68,8 @@ def with_ctes(sql: str) -> str:
     if not needed:
         return sql
     heads = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in needed)
+    if sql.lstrip().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads},\n{sql.lstrip()[15:]}"
     if sql.lstrip().startswith("WITH "):
         return f"WITH {heads},\n{sql.lstrip()[5:]}"
     return f"WITH {heads}\n{sql}"

@@ -118,31 +118,20 @@ def _train_share() -> Column:
     return F.coalesce(F.try_divide(number - first, last - first), F.lit(0.0))
 
 
-def model_features(rows: DataFrame, changepoints: int = 10, knots: int = 9) -> DataFrame:
+def model_features(rows: DataFrame, changepoints: int = 10) -> DataFrame:
     """The regressors of all models as arrays of numbers.
 
     ``x_linear``: date, months, levels. ``x_trend``: broken trend, yearly and weekly waves, levels.
-    ``x_hinge``: hinges at training quantiles of the date, months, levels. ``x_fourier``: date signature, waves, dummies.
+    ``x_fourier``: date signature, waves, dummies.
     """
     df = date_signature(calendar_features(rows)).withColumn("share", _train_share())
-    shares = F.percentile(
-        F.when(F.col("is_train"), F.col("share")),
-        F.array(*[F.lit(i / (knots + 1)) for i in range(1, knots + 1)]),
-    )
-    df = df.withColumn("knots", shares.over(series_window()))
     one, months, levels = F.lit(1.0), dummies("month", range(2, 13)), dummies("lockdown_level", LEVELS)
     breaks = [F.greatest(F.col("share") - 0.8 * i / (changepoints + 1), F.lit(0.0)) for i in range(1, changepoints + 1)]
-    hinges = [
-        F.greatest(side, F.lit(0.0))
-        for i in range(knots)
-        for side in (F.col("share") - F.col("knots")[i], F.col("knots")[i] - F.col("share"))
-    ]
     parts = [F.col(c).cast("double") for c in ("year", "quarter", "mday", "yday", "week")]
     weekdays = dummies("wday", range(2, 8))
     arrays = {
         "x_linear": [one, F.col("date_num"), *months, *levels],
         "x_trend": [one, F.col("share"), *breaks, *fourier_terms(365.25, 10), *fourier_terms(7, 3), *levels],
-        "x_hinge": [one, *hinges, *months, *levels],
         "x_fourier": [one, F.col("date_num"), *parts, *fourier_terms(365, 5), *months, *weekdays, *levels],
     }
     kept = [c for c in rows.columns]
@@ -165,7 +154,8 @@ def clean_outliers(rows: DataFrame, radius: int = 7, fence: float = 3.0) -> Data
     point = F.when(good, F.struct(F.unix_date("date").alias("d"), F.col("value").alias("v")))
     df = df.withColumn("_p", point)
     before = F.last("_p", ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_p", ignorenulls=True).over(by_date.rowsBetween(0, Window.unboundedFollowing))
+    backwards = series_window().orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.last("_p", ignorenulls=True).over(backwards)
     df = df.withColumns({"_a": before, "_b": after})
     a, b, day = F.col("_a"), F.col("_b"), F.unix_date("date")
     slope = F.coalesce(F.try_divide(b["v"] - a["v"], (b["d"] - a["d"]).cast("double")), F.lit(0.0))

@@ -16,14 +16,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wardwatch.forecast import solvers
+from wardwatch.forecast import arima, ets, hinges, solvers
 from wardwatch.forecast.evaluate import LAST_VALUE
-from wardwatch.forecast.features import KEYS
+from wardwatch.forecast.features import KEYS, LEVELS
 from wardwatch.operators.reshape import rbind
 from wardwatch.session import settle
 
 ARIMA, ARIMA_BOOSTED, ETS, TREND_SEASONAL, LINEAR, HINGE = 1, 2, 3, 4, 5, 6
 TREND_BOOSTED, FOREST, ARIMA_PLAIN, ELASTIC_NET = 7, 8, 9, 10
+FACTORS = 11 + len(LEVELS)  # months but the first, and levels
 SCHEMA = "series string, variable string, model_id int, date date, pred double"
 
 Fit = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
@@ -41,21 +42,6 @@ def _regression(column: str, solve: Callable[[np.ndarray, np.ndarray], np.ndarra
     return fit
 
 
-def _arima(with_level: bool) -> Fit:
-    def fit(train: pd.DataFrame, rest: pd.DataFrame) -> np.ndarray:
-        def levels(rows: pd.DataFrame) -> np.ndarray:
-            width = 3 if with_level else 0
-            return _matrix(rows, "x_linear")[:, -3:][:, :width] if len(rows) else np.empty((0, width))
-
-        return np.concatenate(solvers.autoregression(train["value"].to_numpy(), levels(train), levels(rest)))
-
-    return fit
-
-
-def _ets(train: pd.DataFrame, rest: pd.DataFrame) -> np.ndarray:
-    return np.concatenate(solvers.smoothing(train["value"].to_numpy(), len(rest)))
-
-
 def _last_value(train: pd.DataFrame, rest: pd.DataFrame) -> np.ndarray:
     """Each day repeats the day before; the days after the last known one repeat it."""
     y = train["value"].to_numpy()
@@ -64,19 +50,15 @@ def _last_value(train: pd.DataFrame, rest: pd.DataFrame) -> np.ndarray:
 
 SOLVED: dict[int, Fit] = {
     LAST_VALUE: _last_value,
-    ARIMA: _arima(with_level=True),
-    ARIMA_PLAIN: _arima(with_level=False),
-    ETS: _ets,
     TREND_SEASONAL: _regression("x_trend", lambda x, y: solvers.least_squares(x, y, ridge=0.1)),
     LINEAR: _regression("x_linear", solvers.least_squares),
-    HINGE: _regression("x_hinge", lambda x, y: solvers.elastic_net(x, y, 0.001, 0.5)),
     ELASTIC_NET: _regression("x_fourier", lambda x, y: solvers.elastic_net(x, y, 0.01, 0.5)),
 }
 
 
 # The regressors that a model reads; no others are sent to its task.
 ARRAYS = {
-    ARIMA: "x_linear", TREND_SEASONAL: "x_trend", LINEAR: "x_linear", HINGE: "x_hinge", ELASTIC_NET: "x_fourier",
+    TREND_SEASONAL: "x_trend", LINEAR: "x_linear", ELASTIC_NET: "x_fourier",
 }
 
 
@@ -108,27 +90,18 @@ def fit_solved(rows: DataFrame, model_ids: list[int]) -> DataFrame:
 def fit_chosen(rows: DataFrame, model_ids: list[int]) -> DataFrame:
     """Predictions for the rows that are no training rows, by the one model that ``model_id`` names for the series.
 
-    ``model_ids`` are the models that may occur. Boosted models are trained on the series that chose them.
+    ``model_ids`` are the models that may occur. A model is fitted on the series that chose it.
     """
-    solved = [m for m in model_ids if m in SOLVED]
-
-    def fit_series(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("date")
-        known = series["is_train"].to_numpy(dtype=bool)
-        train, rest = series[known], series[~known]
-        model = int(series["model_id"].iloc[0])
-        pred = SOLVED[model](train, rest)[len(train) :]
-        return rest[["series", "variable", "model_id", "date"]].assign(pred=pred)
-
-    mine = rows.filter(F.col("model_id").isin(solved))
-    frames = [_needed(mine, solved, "model_id").groupBy(*KEYS).applyInPandas(fit_series, SCHEMA)]
-    ahead = F.col("is_train") == F.lit(False)
-    for model in (m for m in model_ids if m in OTHERS):
-        own = settle(rows.filter(F.col("model_id") == model).drop("model_id"))
-        if not own.isEmpty():
-            dates = own.filter(ahead).select(*KEYS, "date")
-            frames.append(OTHERS[model](own).join(dates, [*KEYS, "date"]).select(*KEYS, "model_id", "date", "pred"))
-    return rbind(*frames)
+    rows = settle(rows)
+    ahead = rows.where("NOT is_train").select(*KEYS, "date")
+    chosen = {r["model_id"] for r in rows.select("model_id").distinct().collect()}  # at most one row for each model
+    frames = []
+    for model in (m for m in model_ids if m in chosen):
+        own = rows.where(F.col("model_id") == model).drop("model_id")
+        frames.append(_fit_one(own, model).join(ahead, [*KEYS, "date"]))
+    if not frames:
+        return rows.sparkSession.createDataFrame([], SCHEMA)
+    return rbind(*frames).select("series", "variable", "model_id", "date", "pred")
 
 
 def _with_scale(rows: DataFrame) -> DataFrame:
@@ -159,7 +132,8 @@ def _fit_trees(rows: DataFrame, label: str, array: str, model) -> DataFrame:
 
 def boost_residuals(rows: DataFrame, base: DataFrame, model_id: int, rounds: int = 15, depth: int = 6) -> DataFrame:
     """Add boosted trees on the residuals of a base model."""
-    both = _with_scale(rows).join(base.select(*KEYS, "date", F.col("pred").alias("base")), [*KEYS, "date"])
+    narrow = rows.select(*KEYS, "date", "value", "is_train", "x_linear")
+    both = _with_scale(narrow).join(base.select(*KEYS, "date", F.col("pred").alias("base")), [*KEYS, "date"])
     both = both.withColumn("residual", F.col("value") - F.col("base"))
     trees = GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=0.015, minInstancesPerNode=2, seed=7)
     fitted = _fit_trees(both, "residual", "x_linear", trees)
@@ -168,8 +142,30 @@ def boost_residuals(rows: DataFrame, base: DataFrame, model_id: int, rounds: int
     )
 
 
+def _named(fitted: DataFrame, model_id: int) -> DataFrame:
+    return fitted.select(*KEYS, F.lit(model_id).alias("model_id"), "date", "pred")
+
+
+def fit_arima(rows: DataFrame) -> DataFrame:
+    """With the restriction levels as regressors, the last columns of ``x_linear``."""
+    levels = rows.withColumn("x", F.slice("x_linear", -len(LEVELS), len(LEVELS)))
+    return _named(arima.arima(levels, len(LEVELS))[0], ARIMA)
+
+
+def fit_arima_plain(rows: DataFrame) -> DataFrame:
+    return _named(arima.arima(rows.withColumn("x", F.array().cast("array<double>")))[0], ARIMA_PLAIN)
+
+
+def fit_ets(rows: DataFrame) -> DataFrame:
+    return _named(ets.smooth(rows), ETS)
+
+
+def fit_hinge(rows: DataFrame) -> DataFrame:
+    return _named(hinges.fitted(hinges.hinge_rows(rows), FACTORS), HINGE)
+
+
 def fit_arima_boosted(rows: DataFrame) -> DataFrame:
-    return boost_residuals(rows, fit_solved(rows, [ARIMA]), ARIMA_BOOSTED)
+    return boost_residuals(rows, fit_arima(rows), ARIMA_BOOSTED)
 
 
 def fit_trend_boosted(rows: DataFrame) -> DataFrame:
@@ -178,29 +174,37 @@ def fit_trend_boosted(rows: DataFrame) -> DataFrame:
 
 def fit_forest(rows: DataFrame, trees: int = 500, depth: int = 8) -> DataFrame:
     forest = RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=50, seed=7)
-    fitted = _fit_trees(_with_scale(rows), "value", "x_fourier", forest)
+    narrow = rows.select(*KEYS, "date", "value", "is_train", "x_fourier")
+    fitted = _fit_trees(_with_scale(narrow), "value", "x_fourier", forest)
     return fitted.select(*KEYS, F.lit(FOREST).alias("model_id"), "date", F.col("prediction").alias("pred"))
 
 
-OTHERS = {ARIMA_BOOSTED: fit_arima_boosted, TREND_BOOSTED: fit_trend_boosted, FOREST: fit_forest}
+OTHERS = {
+    ARIMA: fit_arima, ARIMA_PLAIN: fit_arima_plain, ETS: fit_ets, HINGE: fit_hinge,
+    ARIMA_BOOSTED: fit_arima_boosted, TREND_BOOSTED: fit_trend_boosted, FOREST: fit_forest,
+}
 BASES = {ARIMA_BOOSTED: ARIMA, TREND_BOOSTED: TREND_SEASONAL}
 
 
 def fit_models(rows: DataFrame, model_ids: list[int]) -> DataFrame:
-    """All given models as one long table. A boosted model takes its base from the solved ones, if it is among them."""
-    solved = [m for m in model_ids if m in SOLVED]
-    shared = {m: b for m, b in BASES.items() if m in model_ids and b in solved}
+    """All given models as one long table. A boosted model takes its base from the others, if it is among them."""
+    bases = {b: settle(_fit_one(rows, b)) for m, b in BASES.items() if m in model_ids and b in model_ids}
+    solved = [m for m in model_ids if m in SOLVED and m not in bases]
     frames = [fit_solved(rows, solved)] if solved else []
-    if shared:
-        frames[0] = settle(frames[0])
-    for model in (m for m in model_ids if m in OTHERS):
-        if model in shared:
-            frames.append(boost_residuals(rows, frames[0].filter(F.col("model_id") == shared[model]), model))
+    for model in (m for m in model_ids if m not in solved):
+        if model in bases:
+            frames.append(bases[model])
+        elif BASES.get(model) in bases:
+            frames.append(boost_residuals(rows, bases[BASES[model]], model))
         else:
             frames.append(OTHERS[model](rows))
     return rbind(*frames)
 
 
+def _fit_one(rows: DataFrame, model_id: int) -> DataFrame:
+    return fit_solved(rows, [model_id]) if model_id in SOLVED else OTHERS[model_id](rows)
+
+
 # --- closed forms -------------------------------------------------------------------------------
 
 

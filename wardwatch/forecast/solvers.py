@@ -58,57 +58,3 @@ def elastic_net(x: np.ndarray, y: np.ndarray, penalty: float, mixture: float) ->
     coefficients = beta / spread
     coefficients[0] = centre - coefficients[1:] @ mean[1:]
     return coefficients
-
-
-def _lags(z: np.ndarray, x: np.ndarray, order: int, start: int) -> np.ndarray:
-    past = [z[start - i : len(z) - i] for i in range(1, order + 1)]
-    return np.column_stack([np.ones(len(z) - start), *past, x[start:]])
-
-
-def autoregression(y: np.ndarray, x: np.ndarray, ahead: np.ndarray, most: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Fitted values and forecast of an autoregression with regressors ``x`` (known ahead as ``ahead``).
-
-    Differences the series once if that lowers its spread; the order comes from the corrected AIC, from 0 to ``most``
-    or, for a short series, to what a quarter of its rows can tell apart.
-    """
-    most = min(most, max(len(y) // 4 - 1, 0))
-    if len(y) < 3:
-        return y.astype(float), np.full(len(ahead), y[-1])
-    differ = np.diff(y).std() < y.std()
-    z = np.diff(y) if differ else y
-    every = np.vstack([x, ahead])
-    regressors = np.diff(every, axis=0) if differ else every
-    seen = regressors[: len(z)]
-    choices = []
-    for order in range(most + 1):
-        design = _lags(z, seen, order, most)
-        beta = least_squares(design, z[most:])
-        rest, n, k = z[most:] - design @ beta, len(z) - most, design.shape[1] + 1
-        score = n * np.log(max(rest @ rest / n, 1e-12)) + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1)
-        choices.append((score, order, beta))
-    _, order, beta = min(choices, key=lambda c: c[:2])
-    fitted_z = np.concatenate([z[:order], _lags(z, seen, order, order) @ beta])
-    fitted = np.concatenate([y[:1], y[:-1] + fitted_z]) if differ else fitted_z
-    path = list(z)
-    for row in regressors[len(z) :]:
-        path.append(beta[0] + beta[1 : order + 1] @ np.array(path[::-1][:order]) + beta[order + 1 :] @ row)
-    steps = np.array(path[len(z) :])
-    return fitted, (y[-1] + np.cumsum(steps) if differ else steps)
-
-
-def smoothing(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exponential smoothing with a damped trend; all settings of a grid run side by side, the best one counts."""
-    alpha, beta, damp = (
-        g.ravel() for g in np.meshgrid([0.1, 0.3, 0.5, 0.7, 0.9], [0.0, 0.05, 0.2, 0.5], [0.9, 0.98])
-    )
-    level, trend = np.full(alpha.size, y[0]), np.zeros(alpha.size)
-    errors, fitted = np.zeros(alpha.size), np.empty((len(y), alpha.size))
-    for n, value in enumerate(y):
-        fitted[n] = level + damp * trend
-        miss = value - fitted[n]
-        errors += miss * miss
-        level = fitted[n] + alpha * miss
-        trend = damp * trend + alpha * beta * miss
-    best = int(errors.argmin())
-    steps = np.cumsum(damp[best] ** np.arange(1, horizon + 1))
-    return fitted[:, best], level[best] + trend[best] * steps

@@ -17,9 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from wardwatch.llm.batches import text_slices
 from wardwatch.llm.common import stored, table, text_or_empty
 from wardwatch.llm.encoding import encoder
 
@@ -27,7 +29,9 @@ LENGTH = 1024
 END = 2  # id after each document
 GROUPS = 64  # of equal cardinality
 SMALL = (0.4, 0.2, 0.1)  # pieces up to this part of a sequence are small; the one with the fewest sequences counts
-COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, at long"
+PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long, part int, at long"
+PIECE = [c.split()[0] for c in PIECE_COLUMNS.split(", ")]
+PIECE_TYPES = [pa.int32() if c.endswith(" int") else pa.int64() for c in PIECE_COLUMNS.split(", ")]
 
 
 # --- the plan, on a histogram ---------------------------------------------------------------------------------------
@@ -224,27 +228,31 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end: int = END) -> DataFrame:
     """A row for each piece. ``part, at``: the task that made it, and its number among those of its length there."""
 
-    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         closing = np.array([end], dtype="<u4").tobytes()
-        for batch in batches:
-            rows = []
-            for doc, ids in zip(batch["doc_id"].array, encoder(tokenizer).ids(batch["text"].tolist())):
+        for batch, texts in text_slices(batches, "text"):
+            rows, owners = [], []
+            for number, ids in enumerate(encoder(tokenizer).ids([t.decode() for t in texts])):
                 ids += closing
                 for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-                    rows.append((None if pd.isna(doc) else doc, i, start, length, crc, part, seen[length]))
+                    rows.append((i, start, length, crc, part, seen[length]))
+                    owners.append(number)
                     seen[length] += 1
-            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            columns = [batch.column("doc_id").take(pa.array(owners))]  # ids never leave Arrow: any type, null or not
+            columns += [pa.array(values, t) for values, t in zip(np.array(rows, dtype=np.int64).T, PIECE_TYPES)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *PIECE])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(over, COLUMNS)
+    rows = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
+    return rows.mapInArrow(over, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECE_COLUMNS}")
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end: int = END, groups: int = GROUPS) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for each piece of each row.
 
-    A null text is empty and has the end token alone; repeated rows are packed as often as they occur.
+    A null text is empty and has the end token alone; repeated rows are packed as often as they occur; ids are carried along as
+    they are, null or repeated.
     """
     pieces = stored(pieces_of(docs, tokenizer, capacity, end), "pieces")
     counts = stored(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
@@ -254,20 +262,23 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end: int = E
     keys = (recipe["length"] * span + recipe["rank"]).to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast((keys, recipe["sequence"].to_numpy(), recipe["offset"].to_numpy()))
 
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sequence, offset = shared.value
         for batch in batches:
-            key = batch["length"].to_numpy() * span + batch["rank"].to_numpy()
+            key = batch.column("length").to_numpy() * span + batch.column("rank").to_numpy()
             at = np.searchsorted(keys, key, side="right") - 1
-            yield batch.drop(columns="rank").assign(sequence_id=sequence[at] + key - keys[at], offset=offset[at])
+            columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+            columns += [pa.array(sequence[at] + key - keys[at]), pa.array(offset[at])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored(counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "piece-starts")
     ranks = pieces.join(starts, ["length", "part"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("at")).alias("rank")
     )
-    return ranks.mapInPandas(
-        places, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return ranks.mapInArrow(
+        places, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
 

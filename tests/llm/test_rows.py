@@ -42,8 +42,21 @@ def whole_ids(texts):
 def test_chunked_encoding_equals_the_library():
     texts = odd_texts() + ["".join(p) for p in __import__("itertools").product([" ", "\n", "a", "'s", "1", "　"], repeat=4)]
     given = [t or "" for t in texts]
-    ids = encoding.Encoder(PATH).ids(given)
-    assert [np.frombuffer(i, "<u4").tolist() for i in ids] == whole_ids(given)
+    products = __import__("itertools").product
+    given += ["".join(p) for p in products(["a", " ", "\n", "\t", "\x1c", "\x85", "\u2028", "\u200b", ".", "é"], repeat=4)]
+    given += [f"x{a}{w}{m}{b}y" for w in ["word", "Ünï", "42", "ǅ", "日本", "a'll"] for m in ["", ".", "***", ".'s", "'", "&&&!", "…", "-_"] for a in [" ", "\n", "  ", "\n\n", " \n"] for b in [" ", "\n", "\n "]]
+    made = encoding.Encoder(PATH)
+    for _ in range(3):  # first and second sight, then from the memo
+        assert [np.frombuffer(i, "<u4").tolist() for i in made.ids(given)] == whole_ids(given)
+
+
+def test_full_memos_are_forgotten(monkeypatch):
+    monkeypatch.setattr(encoding, "NEW_CHUNKS", 5)
+    monkeypatch.setattr(encoding, "MEMO_CHUNKS", 7)
+    given = [t or "" for t in odd_texts()] * 2 + [f"w{i % 40} word{i % 11}. #{i}" for i in range(300)]
+    made = encoding.Encoder(PATH)
+    assert [np.frombuffer(i, "<u4").tolist() for t in given for i in made.ids([t])] == whole_ids(given)
+    assert len(made.memo) <= 7 and len(made.new) <= 5
 
 
 def test_other_tokenizers_encode_whole_texts():
@@ -127,6 +140,16 @@ def test_mixture_rows_have_the_taken_words(spark):
     assert mixing.mixture(docs_of(spark, [(1, None, None, None), (2, "", "en", "s")])).count() == 0
 
 
+def test_packing_keeps_any_id(spark):
+    """A null next to ids that no double holds, and ids that are text."""
+    big = 9007199254740993
+    rows = [(big, "a b c"), (None, "d"), (big + 2, None), (None, ""), (big, "a b c")]
+    found = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH).collect()
+    assert sorted(str(r["doc_id"]) for r in found) == sorted(str(i) for i, _ in rows)
+    named = packing.packed(spark.createDataFrame([("x", "a"), (None, "b")], "doc_id string, text string"), PATH).collect()
+    assert {r["doc_id"] for r in named} == {"x", None}
+
+
 def test_packing_round_trip(spark):
     texts = odd_texts()
     found = packing.packed(docs_of(spark, rows_of(texts)), PATH).collect()

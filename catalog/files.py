@@ -66,7 +66,7 @@ def report_stream(t: Tables) -> DataFrame:
     ingest_reports_stream(t.spark, incoming, store).awaitTermination()
     write_reports(raw.filter(~even | wrong), incoming, suffix="CASE WHEN unix_date(date) % 10 = 0 THEN '-2' ELSE '' END")
     ingest_reports_stream(t.spark, incoming, store).awaitTermination()
-    return t.spark.read.parquet(f"{store}/icu_reports").drop("month")
+    return tables.read_table(t.spark, store, "icu_reports")
 
 
 @query("SELECT IdBundesland, IdLandkreis, CAST(Refdatum AS TIMESTAMP) AS Refdatum, Altersgruppe, cases, deaths FROM age_daily")
@@ -147,6 +147,25 @@ def stored_table(t: Tables) -> DataFrame:
     return tables.read_table(t.spark, root, "case_history", since="1998-01").select(*columns)
 
 
+@query("SELECT gemeinde, date, FallNeu + CAST(year(date) % 4 = 1 AS BIGINT) AS FallNeu, Incidence_7d_per_100k FROM case_history")
+def replaced_months(t: Tables) -> DataFrame:
+    """The history table, then the months of some years again with other numbers; the other months stay as they were."""
+    root = scratch_path(t.spark, "tables")
+    history = s.case_history(t).select("gemeinde", "date", "FallNeu", "Incidence_7d_per_100k")
+    tables.write_table(history, root, "case_history", month_of="date")
+    again = tables.read_table(t.spark, root, "case_history").where(F.year("date") % 4 == 1).withColumn("FallNeu", F.col("FallNeu") + 1)
+    tables.write_table(again, root, "case_history", month_of="date", changed_only=True)
+    return tables.read_table(t.spark, root, "case_history")
+
+
+@query("SELECT gemeinde, date, betten_frei, betten_belegt FROM icu_clean WHERE date = (SELECT max(date) FROM icu_clean)")
+def newest_day(t: Tables) -> DataFrame:
+    """The rows of the last date of the stored ICU table, which is found in the files' footers."""
+    root = scratch_path(t.spark, "tables")
+    tables.write_table(s.icu_clean(t).select("gemeinde", "date", "betten_frei", "betten_belegt"), root, "icu_daily", month_of="date")
+    return tables.newest_day(t.spark, root, "icu_daily")
+
+
 @query(
     """SELECT position, RS, betten_frei, betten_belegt, faelle_covid_aktuell FROM features
        LEFT JOIN (SELECT * FROM icu_clean WHERE date = (SELECT max(date) FROM icu_clean)) ON gemeinde = RS"""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.base import CTES, Tables, query
-from catalog.forecasts import model_rows, rounded, split_rows
-from wardwatch.forecast import arima, ets, features as ft, hinges, models as md
+from catalog import standins as s
+from catalog.forecasts import SHIFT, VARIABLES, model_rows, national_history, rounded, split_rows
+from wardwatch.forecast import arima, ets, evaluate, features as ft, hinges, models as md, run, trend
+from wardwatch.plans import views
 from wardwatch.session import settle
 
 # --- hinges: every date of every series as a knot ------------------------------------------------------------------
@@ -205,12 +207,12 @@ FIXED = [ets.Setting(0.3, 0.1, 0.95, 0.2, ets.ADDED), ets.Setting(0.3, 0.1, 0.95
 
 def _states(season: int) -> str:
     """The recursion day by day, for all series at once."""
-    s = FIXED[season - 1]
+    w = FIXED[season - 1]
     ratio = season == ets.MULTIPLIED
     miss = "(y - b * s0)" if ratio else "(y - b - s0)"
     scaled = f"({miss} / s0)" if ratio else miss
-    damped = f"({s.damp!r}::DOUBLE * (t + {s.alpha * s.beta!r}::DOUBLE * {scaled}))"
-    later = f"s0 + {s.gamma * (1 - s.alpha)!r}::DOUBLE * {f'({miss} / b)' if ratio else miss}"
+    damped = f"({w.damp!r}::DOUBLE * (t + {w.alpha * w.beta!r}::DOUBLE * {scaled}))"
+    later = f"s0 + {w.gamma * (1 - w.alpha)!r}::DOUBLE * {f'({miss} / b)' if ratio else miss}"
     first = ", ".join(f"v[{i + 1}] {'/' if ratio else '-'} m AS s{i}" for i in range(7))
     positive = "AND bool_and(y > 0)" if ratio else ""
     return f"""
@@ -218,7 +220,7 @@ def _states(season: int) -> str:
         SELECT series, variable, 0 AS i, n, m AS b, 0.0::DOUBLE AS t, 0.0::DOUBLE AS err, {first}
         FROM (SELECT *, list_sum(v[1:7]) / 7 AS m FROM (SELECT series, variable, count(*) AS n, list(y ORDER BY date) AS v FROM ar_grid GROUP BY 1, 2 HAVING count(*) >= 21 {positive})))
       UNION ALL
-      SELECT series, variable, i + 1, n, b + {s.alpha!r}::DOUBLE * {scaled} + {damped}, {damped}, err + {miss} * {miss}, s1, s2, s3, s4, s5, s6, {later}
+      SELECT series, variable, i + 1, n, b + {w.alpha!r}::DOUBLE * {scaled} + {damped}, {damped}, err + {miss} * {miss}, s1, s2, s3, s4, s5, s6, {later}
       FROM es_state{season} JOIN es_rows USING (series, variable, i) WHERE i < n"""
 
 
@@ -237,3 +239,120 @@ def ets_states(t: Tables) -> DataFrame:
     columns = [F.col("state.base"), F.col("state.damped"), *[F.col(f"state.s{i}") for i in range(7)], (F.col("state.error") / F.col("days")).alias("error")]
     found = rows.select(*ft.KEYS, F.col("s.season").alias("season"), "days", *columns)
     return rounded(found, "base", "damped", *[f"s{i}" for i in range(7)], "error")
+
+
+# --- trend: the optimum, and bands ------------------------------------------------------------------------------------
+
+
+@query("SELECT series, variable, count(*) AS n, true AS optimal FROM fc_split WHERE is_train GROUP BY 1, 2")
+def trend_is_optimal(t: Tables) -> DataFrame:
+    """Where the most likely parameters are, what the rows pull on each of them equals what its prior holds against it."""
+    rows = settle(model_rows(t))
+    models = trend.fit_trend(rows)
+    train = rows.where("is_train").join(models, ft.KEYS)
+    miss = F.col("value") / F.col("scale") - trend.dot(F.col("beta"), F.col("x_trend"))
+    each = train.select(*ft.KEYS, "noise", "beta", "yearly", miss.alias("r"), F.posexplode("x_trend").alias("i", "x"))
+    each = each.where(F.col("yearly") | ~F.col("i").between(trend.YEARLY.start, trend.YEARLY.stop - 1))
+    pulls = each.groupBy(*ft.KEYS, "i").agg(
+        F.count(F.lit(1)).alias("n"), (F.sum(F.col("r") * F.col("x")) / F.max("noise")).alias("pull"),
+        (F.sqrt(F.sum(F.col("x") * F.col("x"))) / F.sqrt(F.max("noise"))).alias("size"), F.max(F.get("beta", F.col("i"))).alias("b"),
+    )
+    change = F.col("i").between(trend.FIRST_CHANGE, trend.FIRST_CHANGE + ft.CHANGEPOINTS - 1)
+    rounded_off = F.col("b") / (trend.SCALE_CHANGE * F.sqrt(F.col("b") * F.col("b") + trend.NEAR_ZERO**2))
+    held = F.when(change, rounded_off).otherwise(F.col("b") / trend.SCALE_OTHER**2)
+    fine = F.abs(F.col("pull") - held) <= 1e-4 * (1 + F.abs(held)) + 1e-6 * F.col("size")
+    return pulls.groupBy(*ft.KEYS).agg(F.max("n").alias("n"), F.min(fine).alias("optimal"))
+
+
+@query(
+    """SELECT series, variable, count(*) AS days, true AS inside, true AS wider FROM fc_split
+       GROUP BY series, variable, is_train HAVING NOT is_train"""
+)
+def trend_bands(t: Tables) -> DataFrame:
+    """Simulated bands hold the forecast, and in their second half are wider than in their first."""
+    rows = settle(model_rows(t))
+    bands = trend.trend_bands(rows, trend.fit_trend(rows))
+    place = F.percent_rank().over(ft.series_window().orderBy("date"))
+    width = F.col("conf_hi") - F.col("conf_lo")
+    marked = bands.withColumns({"late": place > 0.5, "width": width})
+    return marked.groupBy(*ft.KEYS).agg(
+        F.count(F.lit(1)).alias("days"), F.min((F.col("conf_lo") < F.col("value")) & (F.col("value") < F.col("conf_hi"))).alias("inside"),
+        (F.avg(F.when(F.col("late"), F.col("width"))) > F.avg(F.when(~F.col("late"), F.col("width")))).alias("wider"),
+    )
+
+
+# --- elastic net, boosted trees, forest, the national view -----------------------------------------------------------
+
+
+@query("SELECT series, variable, count(*) AS n, true AS optimal FROM fc_split WHERE is_train GROUP BY 1, 2")
+def elastic_net_is_optimal(t: Tables) -> DataFrame:
+    """At the optimum the rows pull on every coefficient in use with the sparse penalty, by its sign, and on the others with no more."""
+    rows = settle(model_rows(t))
+    train = rows.where("is_train").join(md.regression_weights(rows, md.ELASTIC_NET), ft.KEYS)
+    miss = F.col("value") - trend.dot(F.col("beta"), F.col("x_fourier"))
+    each = train.select(*ft.KEYS, "value", "beta", miss.alias("r"), F.posexplode("x_fourier").alias("i", "x")).where("i > 0")
+    sums = each.groupBy(*ft.KEYS, "i").agg(
+        F.count(F.lit(1)).alias("n"), F.covar_pop("r", "x").alias("pull"), F.stddev_pop("x").alias("sd"), F.max(F.get("beta", F.col("i"))).alias("b"),
+        F.stddev_pop("value").alias("size"), F.abs(F.avg("r")).alias("mean"),
+    )
+    pull, scaled = F.col("pull") / F.col("sd"), F.col("b") * F.col("sd")
+    sparse, ridge = md.PENALTY * md.MIXTURE, md.PENALTY * (1 - md.MIXTURE)
+    off = F.when(F.abs(scaled) > 1e-12, F.abs(pull - ridge * scaled - sparse * F.signum(scaled))).otherwise(F.greatest(F.abs(pull) - sparse, F.lit(0.0)))
+    fine = F.when(F.col("sd") > 1e-9, off <= 1e-6 * (1 + F.col("size"))).otherwise(F.lit(True)) & (F.col("mean") <= 1e-6 * (1 + F.col("size")))
+    return sums.groupBy(*ft.KEYS).agg(F.max("n").alias("n"), F.min(fine).alias("optimal"))
+
+
+@query(
+    """SELECT series, variable, count(*) FILTER (WHERE is_train) AS n_train, count(*) FILTER (WHERE NOT is_train) AS n_test, true AS bounded, true AS lower
+       FROM fc_split GROUP BY 1, 2 HAVING bool_or(is_train)"""
+)
+def boosting_corrects(t: Tables) -> DataFrame:
+    """Trees correct a base model within the sizes of its residuals, and lower the squared error of all training rows.
+
+    A leaf is a mean of residuals; the first tree counts in full, the fourteen others by their rate.
+    """
+    rows = settle(model_rows(t))
+    base = settle(md.fit_arima(rows))
+    boosted = md.boost_residuals(rows, base, md.ARIMA_BOOSTED).select(*ft.KEYS, "date", "pred")
+    both = rows.select(*ft.KEYS, "date", "value", "is_train").join(base.select(*ft.KEYS, "date", F.col("pred").alias("base")), [*ft.KEYS, "date"])
+    both = settle(both.join(boosted, [*ft.KEYS, "date"]))
+    train = both.where("is_train").select((F.col("value") - F.col("base")).alias("before"), (F.col("value") - F.col("pred")).alias("after"))
+    whole = train.agg(F.max(F.abs("before")).alias("most"), (F.sum(F.col("after") ** 2) < F.sum(F.col("before") ** 2)).alias("lower"))
+    most, lower = whole.select("most").scalar(), whole.select("lower").scalar()
+    return both.groupBy(*ft.KEYS).agg(
+        F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test"),
+        F.max(F.abs(F.col("pred") - F.col("base"))).alias("moved"),
+    ).select(*ft.KEYS, "n_train", "n_test", (F.col("moved") <= most * (1 + 14 * 0.015)).alias("bounded"), lower.alias("lower"))
+
+
+@query("SELECT series, variable, count(*) AS n, true AS inside FROM fc_split GROUP BY 1, 2")
+def forest_stays_inside(t: Tables) -> DataFrame:
+    """A leaf is a mean of training values, so every prediction lies between the least and the largest of them."""
+    rows = settle(model_rows(t))
+    fitted = settle(md.fit_forest(rows))
+    train = rows.where("is_train").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    low, high = train.select("low").scalar(), train.select("high").scalar()
+    return fitted.groupBy(*ft.KEYS).agg(F.count(F.lit(1)).alias("n"), F.min("pred").alias("a"), F.max("pred").alias("b")).select(
+        *ft.KEYS, "n", ((F.col("a") >= low) & (F.col("b") <= high)).alias("inside")
+    )
+
+
+@query(
+    f"""WITH days AS (SELECT date + {SHIFT} AS date, CASE WHEN count(faelle_covid_aktuell) = count(*) THEN sum(faelle_covid_aktuell) END AS sum_covid,
+               CASE WHEN count(faelle_covid_aktuell_beatmet) = count(*) THEN sum(faelle_covid_aktuell_beatmet) END AS sum_intub FROM icu_clean GROUP BY date),
+       new AS (SELECT date + {SHIFT} AS date, sum(AnzFallErkrankung) AS n FROM history_daily WHERE BundeslandId = 0 GROUP BY date),
+       ahead AS (SELECT CAST(max(date) + CAST(step AS INTEGER) AS DATE) AS date, true AS f FROM days, range(1, 15) AS s(step)
+                 WHERE sum_covid IS NOT NULL AND sum_intub IS NOT NULL GROUP BY step)
+       SELECT date, sum_covid, CAST(n AS BIGINT) AS new_cases, coalesce(f, false) AS has_forecast, coalesce(f, false) AS in_order
+       FROM days FULL JOIN new USING (date) FULL JOIN ahead USING (date)"""
+)
+def germany_icu_axis(t: Tables) -> DataFrame:
+    """The national view's dates: patients and new cases as they were, and forecasts whose bands hold their values on the fourteen days ahead."""
+    result = run.create_forecasts(national_history(t), VARIABLES, [md.LINEAR, md.ETS])
+    wide = evaluate.wide_forecast(result.forecast, VARIABLES).drop("series")
+    history = s.case_history(t).withColumn("date", F.date_add("date", SHIFT))
+    icu = s.icu_clean(t).withColumn("date", F.date_add("date", SHIFT))
+    rows = views.germany_icu_with_forecast(icu, history, wide)
+    value, low, high = (F.col(f"{c}_sum_covid") for c in ("value", "conf_lo", "conf_hi"))
+    ordered = (low < value) & (value < high)
+    return rows.select("date", F.col("sum_faelle_covid_aktuell").alias("sum_covid"), F.col("AnzFallErkrankung").alias("new_cases"), value.isNotNull().alias("has_forecast"), F.coalesce(ordered, F.lit(False)).alias("in_order"))

@@ -304,22 +304,49 @@ def forecast_context(t: Tables) -> DataFrame:
     return joins.forecast_context(forecast, history, future, columns)
 
 
+def _local(column: str, source: str, name: str) -> str:
+    """The line through the days around each date."""
+    return f"""SELECT *, avg({column}) OVER near + coalesce(covar_pop({column}, CASE WHEN {column} IS NOT NULL THEN day END) OVER near
+                 / nullif(var_pop(CASE WHEN {column} IS NOT NULL THEN day END) OVER near, 0), 0)
+                 * (day - avg(CASE WHEN {column} IS NOT NULL THEN day END) OVER near) AS {name}
+               FROM {source} WINDOW near AS (PARTITION BY series, variable ORDER BY day RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING)"""
+
+
+def _fence(line: str, source: str, name: str) -> str:
+    return f"""SELECT *, adjusted - {line} BETWEEN q1 - 3 * (q3 - q1) - tiny AND q3 + 3 * (q3 - q1) + tiny AS {name}
+               FROM (SELECT * EXCLUDE (q1, q3), quantile_cont(adjusted - {line}, 0.25) OVER w AS q1, quantile_cont(adjusted - {line}, 0.75) OVER w AS q3
+                     FROM {source} WINDOW w AS (PARTITION BY series, variable))"""
+
+
+CTES["co_adjusted"] = """
+  SELECT *, value - pattern AS adjusted, 0.0 AS q1, 0.0 AS q3, 1e-9::DOUBLE * (max(abs(value)) OVER (PARTITION BY series, variable) + 1) AS tiny
+  FROM (SELECT *, coalesce(quantile_cont(off, 0.5) OVER (PARTITION BY series, variable, day % 7), 0) AS pattern
+        FROM (SELECT *, CASE WHEN count(value) OVER near = 7 THEN value - avg(value) OVER near END AS off
+              FROM (SELECT *, CAST(date - DATE '1970-01-01' AS BIGINT) AS day FROM fc_rows)
+              WINDOW near AS (PARTITION BY series, variable ORDER BY day RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)))"""
+CTES["co_line"] = _local("adjusted", "co_adjusted", "line")
+CTES["co_first"] = _fence("line", "co_line", "first")
+CTES["co_again"] = _local("trusted", "(SELECT *, CASE WHEN first THEN adjusted END AS trusted FROM co_first)", "again")
+CTES["co_good"] = _fence("again", "co_again", "good")
+
+
+@query("SELECT series, variable, date, round(pattern, 6) + 0.0 AS pattern, round(line, 6) + 0.0 AS line FROM co_line")
+def local_lines(t: Tables) -> DataFrame:
+    """The weekly pattern and the line through the three weeks around each date, of the values without it."""
+    rows = ft.weekly_pattern(ft.long_rows(county_history(t), VARIABLES)).withColumn("adjusted", F.col("value") - F.col("pattern"))
+    lines = ft.local_line(rows, "adjusted", 10, "line")
+    return rounded(lines.select("series", "variable", "date", "pattern", "line"), "pattern", "line")
+
+
 @query(
-    """WITH a AS (SELECT *, value - quantile_cont(value, 0.5) OVER (PARTITION BY series, variable ORDER BY date
-                   ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS off FROM fc_rows),
-       b AS (SELECT *, quantile_cont(off, 0.25) OVER w AS q1, quantile_cont(off, 0.75) OVER w AS q3
-             FROM a WINDOW w AS (PARTITION BY series, variable)),
-       c AS (SELECT *, off BETWEEN q1 - 3 * (q3 - q1) AND q3 + 3 * (q3 - q1) AS good FROM b),
-       d AS (SELECT *, CAST(date - DATE '1970-01-01' AS BIGINT) AS day,
-               last_value(CASE WHEN good THEN date - DATE '1970-01-01' END IGNORE NULLS) OVER p AS da,
-               last_value(CASE WHEN good THEN value END IGNORE NULLS) OVER p AS va,
-               first_value(CASE WHEN good THEN date - DATE '1970-01-01' END IGNORE NULLS) OVER n AS db,
-               first_value(CASE WHEN good THEN value END IGNORE NULLS) OVER n AS vb
-             FROM c WINDOW p AS (PARTITION BY series, variable ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    """WITH d AS (SELECT *,
+               last_value(CASE WHEN good THEN day END IGNORE NULLS) OVER p AS da, last_value(CASE WHEN good THEN adjusted END IGNORE NULLS) OVER p AS va,
+               first_value(CASE WHEN good THEN day END IGNORE NULLS) OVER n AS db, first_value(CASE WHEN good THEN adjusted END IGNORE NULLS) OVER n AS vb
+             FROM co_good WINDOW p AS (PARTITION BY series, variable ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                            n AS (PARTITION BY series, variable ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
        SELECT series, variable, date, value,
               round(CASE WHEN good THEN value
-                   ELSE coalesce(va + coalesce((vb - va) / nullif(db - da, 0), 0) * (day - da), va, vb) END, 6) AS clean
+                   ELSE coalesce(va + coalesce((vb - va) / nullif(db - da, 0), 0) * (day - da), va, vb) + pattern END, 6) + 0.0 AS clean
        FROM d"""
 )
 def clean_outliers(t: Tables) -> DataFrame:
@@ -327,6 +354,31 @@ def clean_outliers(t: Tables) -> DataFrame:
     return rounded(df, "clean").select("series", "variable", "date", "value", "clean")
 
 
+CTES["fc_rolling"] = """
+  SELECT r.series, r.variable, o.origin, r.date, r.value, r.date <= o.origin AS is_train, CAST(r.date - DATE '1970-01-01' AS DOUBLE) AS day
+  FROM fc_rows r JOIN (SELECT series, variable, CAST(max(date) - CAST(14 + 7 * k AS INTEGER) AS DATE) AS origin FROM fc_rows, range(12) AS t(k) GROUP BY series, variable, k) o
+    USING (series, variable) WHERE r.date <= o.origin + 14"""
+
+
+@query(
+    """WITH line AS (SELECT series, variable, origin, regr_intercept(value, day) AS a, regr_slope(value, day) AS b FROM fc_rolling WHERE is_train GROUP BY 1, 2, 3),
+       level AS (SELECT series, variable, origin, sum(CASE WHEN i = 1 THEN 1 ELSE 0.3::DOUBLE END * pow(0.7::DOUBLE, n - i) * value) AS level
+         FROM (SELECT *, row_number() OVER (PARTITION BY series, variable, origin ORDER BY date) AS i,
+                 count(*) OVER (PARTITION BY series, variable, origin) AS n FROM fc_rolling WHERE is_train) GROUP BY 1, 2, 3),
+       missed AS (SELECT series, variable, 5 AS model_id, origin, date, value - (a + b * day) AS residual FROM fc_rolling JOIN line USING (series, variable, origin) WHERE NOT is_train
+         UNION ALL SELECT series, variable, 3, origin, date, value - level FROM fc_rolling JOIN level USING (series, variable, origin) WHERE NOT is_train)
+       SELECT series, variable, model_id, CAST(date - origin AS INTEGER) AS step, count(*) AS origins,
+         round(quantile_cont(residual, 0.975) - quantile_cont(residual, 0.025), 6) + 0.0 AS width, round(quantile_cont(residual, 0.025), 6) + 0.0 AS low
+       FROM missed WHERE residual IS NOT NULL GROUP BY 1, 2, 3, 4"""
+)
+def bands_by_step(t: Tables) -> DataFrame:
+    """How wide the band is for each step ahead, from the misses at twelve origins of the two models with a closed form."""
+    past = settle(evaluate.rolling_origins(ft.long_rows(county_history(t), VARIABLES)))
+    quantiles = evaluate.step_quantiles(evaluate.calibrate(past, two_models(past)))
+    rows = quantiles.select(*ft.KEYS, "model_id", "step", "origins", (F.col("high") - F.col("low")).alias("width"), "low")
+    return rounded(rows, "width", "low")
+
+
 # --- fitted models: no SQL twin -----------------------------------------------------------------
 
 

@@ -57,6 +57,9 @@ _SQL_COUNTY = """CASE WHEN {n} = 9 THEN CASE WHEN {i} % 2 = 0 THEN '09463' ELSE
     WHEN {n} BETWEEN 1 AND 9 THEN '0' || CAST({n} * 1000 AS VARCHAR) ELSE CAST({n} * 1000 AS VARCHAR) END"""
 
 
+COUNTY_OF_0 = "25000"
+
+
 def sql_county(nation: str, number: str) -> str:
     return _SQL_COUNTY.format(n=nation, i=number)
 
@@ -65,10 +68,9 @@ def sql_county(nation: str, number: str) -> str:
 
 
 def county(t: Tables) -> DataFrame:
-    """Counties with their people, from customers."""
-    people = t.customer.select(
-        county_key(F.col("c_nationkey"), F.col("c_custkey")).alias("key"), "c_nationkey", "c_custkey"
-    ).filter("c_nationkey <> 0")
+    """Counties with their people, from customers. In the facts the number 0 stands for the nation; its customers are a county of their own."""
+    key = F.when(F.col("c_nationkey") == 0, F.lit(COUNTY_OF_0)).otherwise(county_key(F.col("c_nationkey"), F.col("c_custkey")))
+    people = t.customer.select(key.alias("key"), "c_nationkey", "c_custkey")
     counts = people.groupBy("key").agg(
         F.max("c_nationkey").alias("nation"),
         F.count(F.lit(1)).alias("pop_all"),
@@ -97,10 +99,10 @@ def county_and_nation(t: Tables) -> DataFrame:
 CTES["county"] = f"""
   SELECT key, 'Kreis' AS type, n_name AS name, 'DE' || key AS NUTS3, CAST(nation + 1 AS DOUBLE) AS area,
          pop_all, pop_male, pop_female, pop_all / CAST(nation + 1 AS DOUBLE) AS pop_per_km2
-  FROM (SELECT {sql_county('c_nationkey', 'c_custkey')} AS key, max(c_nationkey) AS nation,
+  FROM (SELECT CASE WHEN c_nationkey = 0 THEN '{COUNTY_OF_0}' ELSE {sql_county('c_nationkey', 'c_custkey')} END AS key, max(c_nationkey) AS nation,
                count(*) AS pop_all, count(*) FILTER (WHERE c_custkey % 2 = 0) AS pop_male,
                count(*) FILTER (WHERE c_custkey % 2 = 1) AS pop_female
-        FROM customer WHERE c_nationkey <> 0 GROUP BY 1) c
+        FROM customer GROUP BY 1) c
   JOIN nation ON n_nationkey = c.nation"""
 CTES["county_and_nation"] = """
   SELECT '0' AS key, 'Land' AS type, 'Deutschland' AS name, 'DE' AS NUTS3, sum(area) AS area,

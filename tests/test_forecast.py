@@ -108,12 +108,67 @@ def test_smoothing_fold_equals_a_loop(spark):
     assert md.smoothed_level(rows).collect()[0].level == pytest.approx(level)
 
 
-def test_outliers_and_gaps_are_bridged(spark):
+def cleaned(spark, values, skip=()):
+    rows = series(spark, values).filter(~F.datediff("date", F.lit(START)).isin(list(skip)))
+    return {(r.date - START).days: r.clean for r in ft.clean_outliers(rows).collect()}
+
+
+def test_outliers_are_bridged_and_the_rest_stays(spark):
     values = [10 + n % 3 for n in range(40)]
     values[20] = 900
-    got = [r.clean for r in ft.clean_outliers(series(spark, values)).orderBy("date").collect()]
-    assert got[20] == pytest.approx((values[19] + values[21]) / 2)
-    assert got[:20] == values[:20] and got[21:] == values[21:]
+    got = cleaned(spark, values)
+    assert 9.5 < got[20] < 12.5 and all(got[n] == values[n] for n in range(40) if n != 20)
+    line = [3.0 * n for n in range(60)]
+    assert cleaned(spark, [*line[:30], -500, *line[31:]])[30] == pytest.approx(90)
+    assert cleaned(spark, [7.0] * 30) == dict.fromkeys(range(30), 7.0) and cleaned(spark, [4, 9]) == {0: 4, 1: 9}
+
+
+def test_a_weekly_pattern_is_no_outlier(spark):
+    week = [0.0, 0, 0, 50, 0, 0, -20]
+    values = [100 + 0.5 * n + week[n % 7] for n in range(90)]
+    assert cleaned(spark, values) == pytest.approx(dict(enumerate(values)))
+    spoiled = [*values[:45], 400.0, *values[46:]]  # day 45 is one with a peak
+    assert cleaned(spark, spoiled)[45] == pytest.approx(values[45], abs=4) and cleaned(spark, values, skip=(20, 21, 22)).keys() == set(range(90)) - {20, 21, 22}
+
+
+def test_local_lines_equal_a_fit_of_their_days(spark):
+    rng = np.random.default_rng(12)
+    days = sorted(rng.choice(80, 50, replace=False).tolist())
+    values = rng.normal(size=80)
+    rows = series(spark, values).filter(F.datediff("date", F.lit(START)).isin(days))
+    got = {(r.date - START).days: r.line for r in ft.local_line(rows, "value", 10, "line").collect()}
+    for d in days:
+        near = [n for n in days if abs(n - d) <= 10]
+        want = np.polyval(np.polyfit(near, values[near], 1), d) if len(near) > 1 else values[d]
+        assert got[d] == pytest.approx(want)
+
+
+def test_bands_widen_with_the_step(spark):
+    rng = np.random.default_rng(9)
+    rows = [("s", START + dt.timedelta(days=n), 0, float(v)) for n, v in enumerate(200 + np.cumsum(rng.normal(size=400)) * 3)]
+    history = spark.createDataFrame(rows, "series string, date date, lockdown_level int, v double")
+    result = run.create_forecasts(history, ["v"], [md.LINEAR, md.ETS], origins=10)
+    width = [r.conf_hi - r.conf_lo for r in result.forecast.orderBy("date").collect()]
+    assert len(width) == 14 and all(w > 0 for w in width) and np.mean(width[7:]) > np.mean(width[:7])
+    level = run.refit_rows(ft.long_rows(history, ["v"]), history, 30, level=3).filter("NOT is_train")
+    assert level.count() == 30 and {r.lockdown_level for r in level.collect()} == {3}
+
+
+def test_trend_bends_where_the_series_does(spark):
+    values = [50 + 0.4 * n - 1.2 * max(n - 150, 0) + [0, 2, 5, 1, 0, -3, -5][n % 7] for n in range(300)]
+    rows = ft.model_features(ft.time_split(series(spark, values)))
+    models = md.trend.fit_trend(rows)
+    beta = np.array(models.first()["beta"])
+    changes = beta[md.trend.FIRST_CHANGE : md.trend.FIRST_CHANGE + ft.CHANGEPOINTS]
+    strong = np.flatnonzero(np.abs(changes) > 0.1 * np.abs(changes).max())
+    assert len(strong) <= 4  # sparse
+    both = md.trend.predict_trend(rows, models).join(rows, [*ft.KEYS, "date"])
+    assert both.agg(F.max(F.abs(F.col("pred") - F.col("value")))).first()[0] < 10
+    bands = md.trend.trend_bands(rows, models).orderBy("date").collect()
+    width = [b.conf_hi - b.conf_lo for b in bands]
+    assert len(width) == 28 and width == sorted(width) and width[-1] > width[0]
+    again = md.trend.trend_bands(rows.repartition(5), models).orderBy("date").collect()
+    assert [b.conf_hi for b in again] == pytest.approx([b.conf_hi for b in bands])
 
 
 def test_solvers():

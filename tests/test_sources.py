@@ -5,6 +5,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardwatch.functions.nulls import strict_sum
 from wardwatch.plans import nightly, views
@@ -75,7 +76,7 @@ def test_stream_equals_batch_on_the_same_folder(spark, tmp_path):
     (incoming / "undated.csv").write_text("gemeindeschluessel,bundesland,betten_frei,daten_stand\n01002,1,3,NA\n")
     (incoming / "divi-intensivregister-2021-06-01-12-15.csv").write_text("kreis,bundesland,daten_stand\n01003,1,2021-06-01 12:15:00\n")
     ingest_reports_stream(spark, str(incoming), store).awaitTermination()
-    stored = spark.read.parquet(f"{store}/icu_reports").drop("month")
+    stored = tables.read_table(spark, store, "icu_reports")
     batch = reports.clean_reports(reports.latest_reports(reports.read_daily_reports(spark, str(incoming))))
     assert as_set(stored) == as_set(batch)
     beds = {(str(r.date), r.gemeinde): r.betten_frei for r in batch.collect()}
@@ -93,7 +94,7 @@ def test_stream_in_two_drops_equals_batch_and_the_reupload_wins(spark, tmp_path)
     plain = tmp_path / "plain"
     write_old(plain)
     write_new(plain, free=6)
-    stored = spark.read.parquet(f"{store}/icu_reports").drop("month")
+    stored = tables.read_table(spark, store, "icu_reports")
     batch = reports.clean_reports(reports.read_daily_reports(spark, str(plain)))
     assert as_set(stored) == as_set(batch)
 
@@ -206,14 +207,113 @@ def test_a_date_filter_prunes_months_and_the_newest_month_is_found(spark, tmp_pa
     assert [r.v for r in tables.newest_month(spark, str(tmp_path), "facts").collect()] == [12, 12]
 
 
+def rows_in(spark, root, name="facts"):
+    return sorted((str(r.date), r.v) for r in tables.read_table(spark, str(root), name).collect())
+
+
+def dated(spark, *rows):
+    return spark.createDataFrame([(dt.date(2021, m, d), v) for m, d, v in rows], "date date, v int")
+
+
+def test_changed_months_are_replaced_and_the_others_keep_their_files(spark, tmp_path):
+    root = str(tmp_path)
+    tables.write_table(dated(spark, (1, 1, 1), (2, 1, 2), (3, 1, 3)), root, "facts", month_of="date")
+    before = tables.current(spark, root, "facts").parts
+    tables.write_table(dated(spark, (2, 5, 20), (4, 1, 4)), root, "facts", month_of="date", changed_only=True)
+    after = tables.current(spark, root, "facts").parts
+    assert rows_in(spark, root) == [("2021-01-01", 1), ("2021-02-05", 20), ("2021-03-01", 3), ("2021-04-01", 4)]
+    assert [m for m in before if after[m] != before[m]] == ["2021-02"] and set(after) - set(before) == {"2021-04"}
+    tables.write_table(dated(spark, (7, 1, 7)), root, "facts", month_of="date")  # a whole version drops all other months
+    assert rows_in(spark, root) == [("2021-07-01", 7)]
+    undated = spark.createDataFrame([(None, 9)], "date date, v int")
+    tables.write_table(undated, root, "facts", month_of="date", changed_only=True)
+    assert rows_in(spark, root) == [("2021-07-01", 7), ("None", 9)]
+    with pytest.raises(ValueError):
+        tables.write_table(undated, root, "plain", changed_only=True)
+    with pytest.raises(FileNotFoundError):
+        tables.read_table(spark, root, "none")
+
+
+def test_a_write_that_dies_leaves_the_old_version(spark, tmp_path):
+    root = str(tmp_path)
+    tables.write_table(dated(spark, (1, 1, 1), (2, 1, 2)), root, "facts", month_of="date")
+    held = tables.read_table(spark, root, "facts")  # a reader that began before
+    broken = dated(spark, (1, 1, 10), (2, 1, 20)).withColumn("v", F.when(F.col("v") == 20, F.raise_error(F.lit("disk"))).otherwise(F.col("v")).cast("int"))
+    with pytest.raises(Exception, match="disk"):
+        tables.write_table(broken.repartition(2, "v"), root, "facts", month_of="date")
+    assert rows_in(spark, root) == [("2021-01-01", 1), ("2021-02-01", 2)]
+    (tmp_path / "facts" / "manifest" / "00000002.json").write_text('{"schema": {"type"')  # the writer died in its last step
+    assert rows_in(spark, root) == [("2021-01-01", 1), ("2021-02-01", 2)]
+    tables.write_table(dated(spark, (3, 1, 3)), root, "facts", month_of="date", changed_only=True)
+    assert len(rows_in(spark, root)) == 3 and tables.current(spark, root, "facts").number == 3
+    assert held.count() == 2  # its files are still there
+    tables.write_table(dated(spark, (4, 1, 4)), root, "facts", month_of="date")
+    tables.drop_old_versions(spark, root, "facts", keep=1)
+    assert rows_in(spark, root) == [("2021-04-01", 4)]
+    assert len([p for p in (tmp_path / "facts").iterdir() if p.name.startswith("version=")]) == 1
+
+
+def test_a_writer_that_was_overtaken_builds_on_the_other_one(spark, tmp_path, monkeypatch):
+    root, create, overtaken = str(tmp_path), tables.Folder.create, []
+    tables.write_table(dated(spark, (1, 1, 1)), root, "facts", month_of="date")
+
+    def late(folder, text, *parts):
+        if not overtaken:
+            overtaken.append(True)
+            tables.write_table(dated(spark, (2, 1, 2)), root, "facts", month_of="date", changed_only=True)
+        return create(folder, text, *parts)
+
+    monkeypatch.setattr(tables.Folder, "create", late)
+    tables.write_table(dated(spark, (3, 1, 3)), root, "facts", month_of="date", changed_only=True)
+    assert [v for _, v in rows_in(spark, root)] == [1, 2, 3]
+
+
+def test_the_last_date_comes_from_footers(spark, tmp_path):
+    root = str(tmp_path)
+    rows = dated(spark, *[(m, d, m * 100 + d) for m in range(1, 7) for d in (1, 9, 17)])
+    tables.write_table(rows, root, "facts", month_of="date")
+    newest = tables.footer_maximum(spark, root, "facts", "date")
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MAX(date)]" in plan and newest.collect()[0]["newest"] == dt.date(2021, 6, 17)
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false" and "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+    last = tables.newest_day(spark, root, "facts")
+    assert [r.v for r in last.collect()] == [617] and len(last.inputFiles()) == 1
+    tables.write_table(rows.limit(0), root, "empty", month_of="date")
+    assert tables.newest_day(spark, root, "empty").count() == 0 and tables.newest_month(spark, root, "empty").count() == 0
+
+
+def test_the_tenth_drop_reads_no_more_than_the_second(spark, tmp_path, monkeypatch):
+    from wardwatch.streaming import ingest
+
+    incoming, store, read = tmp_path / "incoming", str(tmp_path / "store"), []
+    incoming.mkdir()
+    original = ingest.kept_rows
+
+    def counted(spark, store, months):
+        kept = original(spark, store, months)
+        read.append(0 if kept is None else len(kept.inputFiles()))
+        return kept
+
+    monkeypatch.setattr(ingest, "kept_rows", counted)
+    for day in range(1, 11):
+        for month in (1, 2 + day % 2):
+            (incoming / f"divi-intensivregister-2021-{month:02d}-{day:02d}-12-15.csv").write_text(
+                f"kreis,bundesland,betten_frei,daten_stand\n0100{day % 4},1,{day},2021-{month:02d}-{day:02d} 12:15:00\n")
+        ingest_reports_stream(spark, str(incoming), store).awaitTermination()
+    assert len(read) == 10 and max(read[2:]) <= 2 and read[9] == read[2]
+    batch = reports.clean_reports(reports.latest_reports(reports.read_daily_reports(spark, str(incoming))))
+    assert as_set(tables.read_table(spark, store, "icu_reports")) == as_set(batch) and batch.count() == 20
+
+
 def test_nightly_tables_from_feeds(spark, tables, tmp_path):
     from catalog import standins as s
+    from wardwatch.sources import tables as stored
 
     history, icu = s.case_history(tables), s.icu_daily(tables)
     nowcast = spark.createDataFrame([(dt.date(2021, 1, 1), 1.0)], "Date date, R7d double")
     nightly.store_cases(str(tmp_path), history, s.case_age(tables), s.vaccination(tables), nowcast)
     nightly.store_icu(str(tmp_path), icu)
-    read = {n: spark.read.parquet(f"{tmp_path}/{n}").count() for n in
+    read = {n: stored.read_table(spark, str(tmp_path), n).count() for n in
             ("case_history", "case_age", "vaccination", "nowcast_r", "icu_daily", "county_names")}
     assert read["case_history"] == history.count() and read["icu_daily"] == icu.count() and read["county_names"] == icu.select("gemeinde").distinct().count()
 

@@ -71,6 +71,46 @@ def with_bands(predictions: DataFrame, calibrated: DataFrame) -> DataFrame:
     )
 
 
+def rolling_origins(rows: DataFrame, origins: int = 12, every: int = 7, days: int = 14) -> DataFrame:
+    """``rows`` as they were known at several origins, ``every`` days apart, each followed by ``days`` days to be forecast.
+
+    The last origin lies ``days`` days before the series' last date. ``series`` is the origin and the name, so that every model fits each
+    origin as a series of its own; ``of_origin`` takes the two apart. Origins without a row before them are left out.
+    """
+    back = F.transform(F.sequence(F.lit(0), F.lit(origins - 1)), lambda k: (days + k * every).cast("int"))
+    last = rows.groupBy(*KEYS).agg(F.max("date").alias("last"))
+    starts = rows.join(last, KEYS).select(*rows.columns, F.explode(F.transform(back, lambda k: F.date_sub("last", k))).alias("origin"))
+    known = starts.where(F.col("date") <= F.date_add("origin", days)).withColumn("is_train", F.col("date") <= F.col("origin"))
+    name = F.concat(F.date_format("origin", "yyyy-MM-dd"), F.lit(" "), F.col("series"))
+    return known.withColumn("series", name).drop("origin")
+
+
+def of_origin(rows: DataFrame) -> DataFrame:
+    """The rows of ``rolling_origins`` under their own names, with ``origin`` and ``step``, the days from it."""
+    named = rows.withColumns({"origin": F.to_date(F.substring("series", 1, 10)), "series": F.expr("substring(series, 12)")})
+    return named.withColumn("step", F.datediff("date", "origin"))
+
+
+def step_quantiles(calibrated: DataFrame, tail: float = 0.025) -> DataFrame:
+    """``low, high`` of the residuals of each series, model and step over all origins, of ``calibrated`` rolling rows."""
+    steps = of_origin(calibrated).groupBy(*KEYS, "model_id", "step")
+    parts = F.percentile("residual", F.array(F.lit(tail), F.lit(1 - tail)))
+    return steps.agg(F.count("residual").alias("origins"), parts.alias("q")).select(
+        *KEYS, "model_id", "step", "origins", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")
+    )
+
+
+def with_step_bands(predictions: DataFrame, quantiles: DataFrame, rows: DataFrame) -> DataFrame:
+    """Point forecast and the band of its step: the days after the last one of ``rows``. Null where no origin has that step."""
+    last = rows.groupBy(*KEYS).agg(F.max("date").alias("last"))
+    steps = predictions.join(last, KEYS).withColumn("step", F.datediff("date", "last"))
+    joined = steps.join(quantiles, [*KEYS, "model_id", "step"], "left")
+    return joined.select(
+        *KEYS, "model_id", "date", F.col("pred").alias("value"),
+        (F.col("pred") + F.col("low")).alias("conf_lo"), (F.col("pred") + F.col("high")).alias("conf_hi"),
+    )
+
+
 def select_best(forecast: DataFrame, best: DataFrame) -> DataFrame:
     return forecast.join(best, [*KEYS, "model_id"])
 

@@ -15,6 +15,7 @@ from wardwatch.operators.joins import lagged_regressors
 
 KEYS = ["series", "variable"]
 LEVELS = (1, 2, 3)
+CHANGEPOINTS = 20  # dates at which the trend's slope may change, in the first 80 % of the training span
 
 
 def series_window():
@@ -118,7 +119,7 @@ def _train_share() -> Column:
     return F.coalesce(F.try_divide(number - first, last - first), F.lit(0.0))
 
 
-def model_features(rows: DataFrame, changepoints: int = 10) -> DataFrame:
+def model_features(rows: DataFrame, changepoints: int = CHANGEPOINTS) -> DataFrame:
     """The regressors of all models as arrays of numbers.
 
     ``x_linear``: date, months, levels. ``x_trend``: broken trend, yearly and weekly waves, levels.
@@ -138,26 +139,61 @@ def model_features(rows: DataFrame, changepoints: int = 10) -> DataFrame:
     return df.select(*kept, "date_num", "month", *[F.array(*v).alias(k) for k, v in arrays.items()])
 
 
-def clean_outliers(rows: DataFrame, radius: int = 7, fence: float = 3.0) -> DataFrame:
-    """Replace outliers and gaps of ``value`` by the line between their neighbours.
+WEEKDAYS = 7
 
-    A value is an outlier if its distance to the rolling median lies outside the quartiles by ``fence`` times
-    their range.
+
+def weekly_pattern(rows: DataFrame) -> DataFrame:
+    """Add ``pattern``: the median distance of the day of the week from a centred mean of seven days; 0 where no whole week is around.
+
+    Days count, not rows: a week with a missing day gives no distance.
+    """
+    day = F.unix_date("date").cast("long")
+    near = series_window().orderBy(day).rangeBetween(-3, 3)
+    off = F.when(F.count("value").over(near) == WEEKDAYS, F.col("value") - F.avg("value").over(near))
+    weekday = F.pmod(day, F.lit(WEEKDAYS))
+    middle = F.percentile("_off", F.lit(0.5)).over(Window.partitionBy(*KEYS, "_weekday"))
+    marked = rows.withColumns({"_off": off, "_weekday": weekday})
+    return marked.withColumn("pattern", F.coalesce(middle, F.lit(0.0))).drop("_off", "_weekday")
+
+
+def local_line(rows: DataFrame, column: str, radius: int, name: str) -> DataFrame:
+    """Add the value at each date of the line through the days around it, by running moments; the mean where one day is known."""
+    day = F.unix_date("date").cast("long")
+    near = series_window().orderBy(day).rangeBetween(-radius, radius)
+    # Seen from the row's own date, so that the moments stay small: x is the distance in days.
+    own, x, y = day.cast("double"), F.when(F.col(column).isNotNull(), day.cast("double")), F.col(column)
+    n, mx, my = F.count(y).over(near), F.avg(x).over(near), F.avg(y).over(near)
+    slope = F.try_divide(F.covar_pop(x, y).over(near), F.var_pop(x).over(near))
+    return rows.withColumn(name, F.when(n > 0, my + F.coalesce(slope, F.lit(0.0)) * (own - mx)))
+
+
+def clean_outliers(rows: DataFrame, radius: int = 10, fence: float = 3.0) -> DataFrame:
+    """Replace outliers and gaps of ``value`` by the line between their neighbours, with the weekly pattern of their day.
+
+    The weekly pattern is taken out first. What remains is compared with a local line over ``radius`` days on either
+    side; values outside the quartiles of that distance by ``fence`` times their range are set aside, the line is drawn again without
+    them, and those outside the fence around it are outliers. Distances within rounding are none.
     """
-    by_date = series_window().orderBy("date")
-    near = by_date.rowsBetween(-radius, radius)
-    df = rows.withColumn("_off", F.col("value") - F.percentile("value", F.lit(0.5)).over(near))
-    quartiles = F.percentile("_off", F.array(F.lit(0.25), F.lit(0.75))).over(series_window())
-    df = df.withColumn("_q", quartiles)
-    reach = (F.col("_q")[1] - F.col("_q")[0]) * fence
-    good = F.col("_off").between(F.col("_q")[0] - reach, F.col("_q")[1] + reach)
-    point = F.when(good, F.struct(F.unix_date("date").alias("d"), F.col("value").alias("v")))
+    df = weekly_pattern(rows).withColumn("_adjusted", F.col("value") - F.col("pattern"))
+    every = series_window()
+    tiny = 1e-9 * (F.max(F.abs("value")).over(every) + 1)
+
+    def outside(frame: DataFrame, line: str, name: str) -> DataFrame:
+        frame = frame.withColumn("_off", F.col("_adjusted") - F.col(line))
+        frame = frame.withColumn("_q", F.percentile("_off", F.array(F.lit(0.25), F.lit(0.75))).over(every))
+        reach = (F.col("_q")[1] - F.col("_q")[0]) * fence + tiny
+        return frame.withColumn(name, F.col("_off").between(F.col("_q")[0] - reach, F.col("_q")[1] + reach)).drop("_off", "_q")
+
+    df = outside(local_line(df, "_adjusted", radius, "_line"), "_line", "_first")
+    df = df.withColumn("_trusted", F.when(F.col("_first"), F.col("_adjusted")))
+    df = outside(local_line(df, "_trusted", radius, "_again"), "_again", "_good")
+    point = F.when(F.col("_good"), F.struct(F.unix_date("date").alias("d"), F.col("_adjusted").alias("v")))
     df = df.withColumn("_p", point)
-    before = F.last("_p", ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, 0))
-    backwards = series_window().orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    after = F.last("_p", ignorenulls=True).over(backwards)
+    before = F.last("_p", ignorenulls=True).over(every.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("_p", ignorenulls=True).over(every.orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumns({"_a": before, "_b": after})
     a, b, day = F.col("_a"), F.col("_b"), F.unix_date("date")
     slope = F.coalesce(F.try_divide(b["v"] - a["v"], (b["d"] - a["d"]).cast("double")), F.lit(0.0))
-    line = F.coalesce(a["v"] + slope * (day - a["d"]), a["v"], b["v"])
-    return df.withColumn("clean", F.when(good, F.col("value")).otherwise(line)).drop("_off", "_q", "_p", "_a", "_b")
+    line = F.coalesce(a["v"] + slope * (day - a["d"]), a["v"], b["v"]) + F.col("pattern")
+    clean = F.when(F.col("_good"), F.col("value")).otherwise(line)
+    return df.withColumn("clean", clean).select(*rows.columns, "pattern", "clean")

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wardwatch.forecast import arima, ets, hinges, solvers
+from wardwatch.forecast import arima, ets, hinges, solvers, trend
 from wardwatch.forecast.evaluate import LAST_VALUE
 from wardwatch.forecast.features import KEYS, LEVELS
 from wardwatch.operators.reshape import rbind
@@ -48,18 +48,14 @@ def _last_value(train: pd.DataFrame, rest: pd.DataFrame) -> np.ndarray:
     return np.concatenate([y[:1], y[:-1], np.full(len(rest), y[-1])])
 
 
-SOLVED: dict[int, Fit] = {
-    LAST_VALUE: _last_value,
-    TREND_SEASONAL: _regression("x_trend", lambda x, y: solvers.least_squares(x, y, ridge=0.1)),
-    LINEAR: _regression("x_linear", solvers.least_squares),
-    ELASTIC_NET: _regression("x_fourier", lambda x, y: solvers.elastic_net(x, y, 0.01, 0.5)),
+PENALTY, MIXTURE = 0.01, 0.5  # of the elastic net
+REGRESSIONS = {
+    LINEAR: ("x_linear", solvers.least_squares),
+    ELASTIC_NET: ("x_fourier", lambda x, y: solvers.elastic_net(x, y, PENALTY, MIXTURE)),
 }
-
-
+SOLVED: dict[int, Fit] = {LAST_VALUE: _last_value} | {m: _regression(*r) for m, r in REGRESSIONS.items()}
 # The regressors that a model reads; no others are sent to its task.
-ARRAYS = {
-    TREND_SEASONAL: "x_trend", LINEAR: "x_linear", ELASTIC_NET: "x_fourier",
-}
+ARRAYS = {m: column for m, (column, _) in REGRESSIONS.items()}
 
 
 def _needed(rows: DataFrame, model_ids: list[int], *more: str) -> DataFrame:
@@ -87,6 +83,18 @@ def fit_solved(rows: DataFrame, model_ids: list[int]) -> DataFrame:
     return _needed(rows, model_ids).groupBy(*KEYS).applyInPandas(fit_series, SCHEMA)
 
 
+def regression_weights(rows: DataFrame, model_id: int) -> DataFrame:
+    """``KEYS, beta`` of a regression model: the coefficients of its regressors for each series with a training row."""
+    column, solve = REGRESSIONS[model_id]
+
+    def solve_series(series: pd.DataFrame) -> pd.DataFrame:
+        beta = solve(_matrix(series, column), series["value"].to_numpy())
+        return series[KEYS].head(1).assign(beta=[beta])
+
+    known = rows.where(F.col("is_train")).select(*KEYS, "value", column)
+    return known.groupBy(*KEYS).applyInPandas(solve_series, "series string, variable string, beta array<double>")
+
+
 def fit_chosen(rows: DataFrame, model_ids: list[int]) -> DataFrame:
     """Predictions for the rows that are no training rows, by the one model that ``model_id`` names for the series.
 
@@ -160,6 +168,10 @@ def fit_ets(rows: DataFrame) -> DataFrame:
     return _named(ets.smooth(rows), ETS)
 
 
+def fit_trend_seasonal(rows: DataFrame) -> DataFrame:
+    return _named(trend.predict_trend(rows, trend.fit_trend(rows)), TREND_SEASONAL)
+
+
 def fit_hinge(rows: DataFrame) -> DataFrame:
     return _named(hinges.fitted(hinges.hinge_rows(rows), FACTORS), HINGE)
 
@@ -169,7 +181,7 @@ def fit_arima_boosted(rows: DataFrame) -> DataFrame:
 
 
 def fit_trend_boosted(rows: DataFrame) -> DataFrame:
-    return boost_residuals(rows, fit_solved(rows, [TREND_SEASONAL]), TREND_BOOSTED)
+    return boost_residuals(rows, fit_trend_seasonal(rows), TREND_BOOSTED)
 
 
 def fit_forest(rows: DataFrame, trees: int = 500, depth: int = 8) -> DataFrame:
@@ -180,7 +192,7 @@ def fit_forest(rows: DataFrame, trees: int = 500, depth: int = 8) -> DataFrame:
 
 
 OTHERS = {
-    ARIMA: fit_arima, ARIMA_PLAIN: fit_arima_plain, ETS: fit_ets, HINGE: fit_hinge,
+    ARIMA: fit_arima, ARIMA_PLAIN: fit_arima_plain, ETS: fit_ets, TREND_SEASONAL: fit_trend_seasonal, HINGE: fit_hinge,
     ARIMA_BOOSTED: fit_arima_boosted, TREND_BOOSTED: fit_trend_boosted, FOREST: fit_forest,
 }
 BASES = {ARIMA_BOOSTED: ARIMA, TREND_BOOSTED: TREND_SEASONAL}

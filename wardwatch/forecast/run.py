@@ -22,9 +22,9 @@ class Forecast(NamedTuple):
     best: DataFrame
 
 
-def refit_rows(rows: DataFrame, history: DataFrame, days: int = 14) -> DataFrame:
+def refit_rows(rows: DataFrame, history: DataFrame, days: int = 14, level: int | None = None) -> DataFrame:
     """All known rows as training rows, followed by the rows to forecast."""
-    ahead = future_rows(rows, history, days).withColumn("is_train", F.lit(False))
+    ahead = future_rows(rows, history, days, level).withColumn("is_train", F.lit(False))
     return rbind(rows.withColumn("is_train", F.lit(True)), ahead)
 
 
@@ -34,10 +34,14 @@ def create_forecasts(
     model_ids: list[int] = NIGHTLY_MODELS,
     days: int = 14,
     weeks: int = 4,
+    origins: int = 0,
+    level: int | None = None,
 ) -> Forecast:
     """Fit, score on the last ``weeks`` weeks, refit on all rows and forecast ``days`` days with the best model.
 
-    Every series has a forecast, and only its chosen model is fitted again. The day totals are checkpointed once, so that no model reads the facts again.
+    Every series has a forecast, and only its chosen model is fitted again. The day totals are written once, so that no model reads the facts again.
+    With ``origins``, the chosen model is also fitted at so many earlier dates, and each step ahead has a band of its own; else one
+    spread of the hold-out residuals serves all steps. ``level`` is a constant restriction level of the days ahead.
     """
     history = settle(history)
     rows = long_rows(history, variables)
@@ -45,10 +49,21 @@ def create_forecasts(
     calibrated = settle(evaluate.calibrate(split, fit_models(split, model_ids)))
     scores = evaluate.accuracy(calibrated)
     best = settle(evaluate.best_model(scores, rows))
-    chosen = refit_rows(rows, history, days).join(best, KEYS)
+    chosen = refit_rows(rows, history, days, level).join(best, KEYS)
     every = model_features(spread(chosen))
     refitted = fit_chosen(every, [evaluate.LAST_VALUE, *model_ids])
-    return Forecast(evaluate.with_bands(refitted, calibrated), scores, best)
+    if not origins:
+        return Forecast(evaluate.with_bands(refitted, calibrated), scores, best)
+    quantiles = evaluate.step_quantiles(rolling_residuals(rows, best, [evaluate.LAST_VALUE, *model_ids], origins, days))
+    return Forecast(evaluate.with_step_bands(refitted, quantiles, rows), scores, best)
+
+
+def rolling_residuals(rows: DataFrame, best: DataFrame, model_ids: list[int], origins: int, days: int) -> DataFrame:
+    """Residuals of each series' chosen model at earlier origins. Origins with less than four weeks before them are left out."""
+    first = rows.groupBy(*KEYS).agg(F.min("date").alias("first")).join(best, KEYS)
+    past = evaluate.rolling_origins(rows.join(first, KEYS), origins, days=days)
+    known = settle(model_features(spread(past.where(F.to_date(F.substring("series", 1, 10)) >= F.date_add("first", 27)).drop("first"))))
+    return evaluate.calibrate(known, fit_chosen(known, model_ids))
 
 
 def forecast_with_context(forecast: DataFrame, history: DataFrame, rows: DataFrame, days: int = 14) -> DataFrame:

@@ -16,7 +16,7 @@ from wardwatch.operators.windows import (
     trailing_sum,
 )
 from wardwatch.functions.dates import restriction_level
-from wardwatch.sources.tables import write_table
+from wardwatch.sources.tables import read_table, write_table
 
 
 def case_history(cleaned: DataFrame, county: DataFrame) -> DataFrame:
@@ -110,4 +110,4 @@ def store_icu(root: str, icu: DataFrame) -> None:
     """Write the tables of the ICU load; names come from the stored facts, not from a second run of the plan."""
     spark = icu.sparkSession
     write_table(icu, root, "icu_daily", month_of="date", sort_by=("gemeinde", "date"))
-    write_table(county_names(spark.read.parquet(f"{root}/icu_daily")), root, "county_names")
+    write_table(county_names(read_table(spark, root, "icu_daily")), root, "county_names")

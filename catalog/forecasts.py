@@ -13,8 +13,9 @@ from wardwatch.forecast import evaluate, features as ft, models as md, run
 from wardwatch.functions.dates import restriction_level
 from wardwatch.operators import joins
 from wardwatch.operators.reshape import rbind
-from wardwatch.plans import nightly, views
-from wardwatch.session import settle
+from wardwatch.plans import jobs, nightly, views
+from wardwatch.session import scratch_path, settle
+from wardwatch.sources import tables
 
 SHIFT = 7300
 VARIABLES = ["sum_covid", "sum_intub"]
@@ -197,6 +198,39 @@ def refit(t: Tables) -> DataFrame:
     return rounded(md.fit_trend_line(every).join(ahead, [*ft.KEYS, "date"]).drop("model_id"), "pred")
 
 
+@query(
+    """SELECT series, variable, CAST(date AS DATE) AS date, 3 AS lockdown_level, round(a + b * CAST(CAST(date AS DATE) - DATE '1970-01-01' AS DOUBLE), 6) AS pred
+       FROM (SELECT series, variable, unnest(range(max(date) + INTERVAL 1 DAY, max(date) + INTERVAL 1 MONTH + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS date,
+                    regr_intercept(value, CAST(date - DATE '1970-01-01' AS DOUBLE)) AS a,
+                    regr_slope(value, CAST(date - DATE '1970-01-01' AS DOUBLE)) AS b
+             FROM fc_rows GROUP BY 1, 2)"""
+)
+def month_ahead(t: Tables) -> DataFrame:
+    """The refitted line over the next calendar month, under the strictest level throughout."""
+    history = settle(county_history(t))
+    every = run.refit_rows(ft.long_rows(history, VARIABLES), history, level=3, months=1)
+    ahead = every.filter(~F.col("is_train")).select(*ft.KEYS, "date", "lockdown_level")
+    return rounded(md.fit_trend_line(every).join(ahead, [*ft.KEYS, "date"]).drop("model_id"), "pred")
+
+
+_SQL_INPUT = f"""SELECT 'national' AS series, date, sum_newCases, {_LEVEL} AS lockdown_level, coalesce(m, lag(m) OVER (ORDER BY date)) AS mean_7dIncidence
+       FROM (SELECT date + {SHIFT} AS date, CAST(coalesce(sum(AnzFallErkrankung), 0) AS BIGINT) AS sum_newCases, avg(Incidence_7d_per_100k) AS m
+             FROM icu_daily GROUP BY date HAVING count(faelle_covid_aktuell) = count(*) AND count(faelle_covid_aktuell_beatmet) = count(*))"""
+
+
+@query(
+    f"""WITH days AS ({_SQL_INPUT}), ahead AS (SELECT CAST(max(date) + CAST(step AS INTEGER) AS DATE) AS date FROM days, range(1, 15) AS s(step) GROUP BY step)
+        SELECT a.date, d.sum_newCases, d.lockdown_level, round(d.mean_7dIncidence, 6) AS mean_7dIncidence, true AS has_value
+        FROM ahead a LEFT JOIN days d ON d.date + 14 = a.date"""
+)
+def stored_forecast(t: Tables) -> DataFrame:
+    """The national forecast as it is stored: next to new cases, level and incidence of fourteen days before."""
+    root = scratch_path(t.spark, "forecast")
+    jobs.store_forecast(national_history(t), root, "forecast", [md.LINEAR, md.ETS])
+    rows = tables.read_table(t.spark, root, "forecast").withColumn("has_value", F.col("value_sum_covid").isNotNull() & F.col("conf_lo_sum_intub").isNotNull())
+    return rounded(rows.select("date", *run.CONTEXT, "has_value"), "mean_7dIncidence")
+
+
 @query("SELECT series, variable, round(level, 6) AS level FROM fc_level")
 def smoothed_level(t: Tables) -> DataFrame:
     return rounded(md.smoothed_level(split_rows(t)), "level")

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from catalog import standins as s
 from catalog.base import Tables, query
 from wardwatch.operators import aggregates, clean, joins
-from wardwatch.plans import views
-from wardwatch.sources import geo, pages as web, reports, sites as st
+from wardwatch.plans import jobs, views
+from wardwatch.session import scratch_path
+from wardwatch.sources import geo, pages as web, reports, sites as st, tables
 from wardwatch.sources.reports import REPORT_MEASURES
 
 
@@ -126,6 +127,21 @@ def hospital_sections(t: Tables) -> DataFrame:
     return views.hospital_sections(located(t), s.sections(t))
 
 
+@query(
+    """SELECT CAST(conv_id AS VARCHAR) AS id, l.community_code, role || ' ' || CAST(turn AS VARCHAR) AS bezeichnung, role AS schwerpunkt, text
+       FROM conversations JOIN sites_located l ON l.id = CAST(conv_id AS VARCHAR)"""
+)
+def stored_sections(t: Tables) -> DataFrame:
+    """Sections as files of one site a line, stored next to the county of their site and read back."""
+    root = scratch_path(t.spark, "hospitals")
+    listed = s.sections(t).groupBy("id").agg(F.collect_list(F.struct(*st.SECTION_HEADINGS, "tags")).alias("sections"))
+    listed.write.json(f"{root}/sections")
+    jobs.store_sections(st.read_sections(t.spark, f"{root}/sections"), located(t), root)
+    return tables.read_table(t.spark, root, "hospital_sections").select(
+        "id", "community_code", "bezeichnung", F.col("behandlungsschwerpunktL1").alias("schwerpunkt"), F.array_join("tags", " ").alias("text")
+    )
+
+
 _SQL_PLACE = """'<b>' || bezeichnung || '</b><br />Address: ' || strasse || ' ' || hausnummer || ', ' || plz || ' ' || ort"""
 
 
@@ -165,6 +181,18 @@ def first_link_per_page(t: Tables) -> DataFrame:
     return web.first_link_per_page(t.pages, "an", "https://archive.example.org")
 
 
+@query(
+    r"""SELECT page_id, CAST(position AS INTEGER) AS position, link FROM (
+          SELECT page_id, unnest(links) AS link, unnest(range(len(links))) AS position
+          FROM (SELECT page_id, list_concat(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a\s[^>]*?href="([^"]*)"', 1), ['/inner/' || CAST(page_id AS VARCHAR)]) AS links FROM pages))"""
+)
+def section_links(t: Tables) -> DataFrame:
+    """Anchors of the menu alone. An element of the same kind inside it does not end it; anchors in front, behind and in comments are left out."""
+    inner = F.concat(F.lit('<nav><a href="/inner/'), F.col("page_id").cast("string"), F.lit('"></a></nav></nav><a href="/behind">x</a>'))
+    html = F.replace(F.replace("html", F.lit("</nav>"), inner), F.lit("<nav><ul>"), F.lit('<a href="/front">x</a><nav id="top" class="wide menu"><!-- <a href="/no"> --><ul>'))
+    return web.extract_links(t.pages.withColumn("html", html), section=".menu")
+
+
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '+49' || CAST(page_id AS VARCHAR) END AS tel FROM pages")
 def extract_contact(t: Tables) -> DataFrame:
     """Every third page gets a telephone link put behind its own text."""

@@ -5,7 +5,7 @@ import json
 
 from wardwatch.forecast.models import ETS, LINEAR
 from wardwatch.plans import views
-from wardwatch.plans.jobs import Feeds, load_cases, load_hospitals, load_icu
+from wardwatch.plans.jobs import Feeds, load_cases, load_county_forecasts, load_hospitals, load_icu
 from wardwatch.sources.tables import read_table
 
 DAYS = [dt.date(2021, 1, 1) + dt.timedelta(days=n) for n in range(80)]
@@ -61,7 +61,11 @@ def test_both_jobs(spark, tmp_path):
     forecast = read_table(spark, root, "forecast").orderBy("date").collect()
     assert len(forecast) == 14 and forecast[0].date == DAYS[-1] + dt.timedelta(days=1)
     assert abs(forecast[0].value_sum_covid - 160) < 5
+    assert [(r.sum_newCases, r.lockdown_level) for r in forecast] == [(3, 2)] * 14 and all(r.mean_7dIncidence is not None for r in forecast)
     assert read_table(spark, root, "forecast_accuracy").count() == 4
+    load_county_forecasts(spark, root, [LINEAR])
+    counties = read_table(spark, root, "county_forecast").collect()
+    assert {r.series for r in counties} == {"01001", "11000"} and len(counties) == 28 and {r.sum_newCases for r in counties} == {1, 2}
     text = "".join(p.read_text() for p in sorted((tmp_path / "out" / "map_geojson").glob("part-*")))
     assert json.loads(text)["features"][0]["properties"]["betten_belegt"] == 89.0
     card = views.county_stats(read_table(spark, root, "icu_daily"), read_table(spark, root, "case_history"), "01001").collect()
@@ -73,9 +77,14 @@ def test_hospital_job(spark, tmp_path):
             "maxBettenStatusEinschaetzungLowCare": "BEGRENZT", "meldebereiche": [{"meldebereichId": "u1"}, {"meldebereichId": "u2"}]}
     (tmp_path / "sites.json").write_text(json.dumps(site) + "\n" + json.dumps({"krankenhausStandort": {"id": "8", "plz": "9"}}))
     (tmp_path / "zips.csv").write_text("zipcode,community_code,line\n1,01001,1\n1,01002,2\n")
-    load_hospitals(spark, str(tmp_path / "sites.json"), str(tmp_path / "zips.csv"), str(tmp_path / "out"))
+    section = {"bezeichnung": "ICU", "tags": ["a", "b"], "ansprechpartner": []}
+    (tmp_path / "sections.json").write_text(
+        json.dumps({"id": "7", "sections": [section, section | {"bezeichnung": "Covid"}]}) + "\n" + json.dumps({"id": "8", "sections": []}))
+    load_hospitals(spark, str(tmp_path / "sites.json"), str(tmp_path / "zips.csv"), str(tmp_path / "out"), sections=str(tmp_path / "sections.json"))
     sites = {r.id: r for r in read_table(spark, str(tmp_path / "out"), "hospital_sites").collect()}
     assert (sites["7"].community_code, sites["7"].maxBettenStatusEinschaetzungLowCare) == ("01001", "Begrenzt")
     assert sites["8"].community_code is None
+    sections = read_table(spark, str(tmp_path / "out"), "hospital_sections").collect()
+    assert sorted((r.id, r.community_code, r.bezeichnung, len(r.tags)) for r in sections) == [("7", "01001", "Covid", 2), ("7", "01001", "ICU", 2)]
     units = read_table(spark, str(tmp_path / "out"), "hospital_units")
     assert sorted((r.id, r.unitId) for r in units.collect() if r.unitId) == [("7", "u1"), ("7", "u2")] and units.count() == 3

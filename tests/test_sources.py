@@ -152,6 +152,15 @@ def test_page_links(spark):
     assert [r.tel for r in pages.extract_contact(df).collect()] == ["030", None]
 
 
+def test_links_of_one_page_section(spark):
+    html = ('<a href="/0">x</a><DIV Class="list ds-item"><div><a href="/1">a</a><br><img src="x"/></div><p><a class="y" href="/2">b</a></p></DIV>'
+            '<a href="/3">c</a><!-- <div class="ds-item"><a href="/4">d</a> --><div id="t"><span class="ds-item"><a href="/5"></a></span><a href="/6">e</a>')
+    df = spark.createDataFrame([(1, html), (2, "<p>none</p>"), (3, None)], "page_id long, html string")
+    found = {s: [r.link for r in pages.extract_links(df, section=s).collect()] for s in (".ds-item", "#t", "p", ".ds", "#none")}
+    assert found == {".ds-item": ["/1", "/2", "/5"], "#t": ["/5", "/6"], "p": ["/2"], ".ds": [], "#none": []}
+    assert [(r.page_id, r.link) for r in pages.first_link_per_page(df, host="http://h", section=".ds-item").collect()] == [(1, "http://h/1")]
+
+
 def test_only_new_csv_files(spark):
     offered = spark.createDataFrame([("a.csv",), ("b.csv",), ("c.pdf",)], "file_name string")
     stored = spark.createDataFrame([("a.csv",)], "file_name string")

@@ -44,11 +44,11 @@ def time_split(rows: DataFrame, weeks: int = 4) -> DataFrame:
     return rows.withColumn("is_train", F.col("date") <= first_test)
 
 
-def future_dates(rows: DataFrame, days: int = 14) -> DataFrame:
-    """The ``days`` days after each series' last date."""
+def future_dates(rows: DataFrame, days: int = 14, months: int | None = None) -> DataFrame:
+    """The ``days`` days, or the days of so many calendar ``months``, after each series' last date."""
     last = rows.groupBy(*KEYS).agg(F.max("date").alias("last"))
-    ahead = F.sequence(F.date_add("last", 1), F.date_add("last", days))
-    return last.select(*KEYS, F.explode(ahead).alias("date"))
+    end = F.date_add("last", days) if months is None else F.add_months("last", months)
+    return last.select(*KEYS, F.explode(F.sequence(F.date_add("last", 1), end)).alias("date"))
 
 
 def future_dates_by_gap(rows: DataFrame, steps: int = 10) -> DataFrame:
@@ -62,12 +62,12 @@ def future_dates_by_gap(rows: DataFrame, steps: int = 10) -> DataFrame:
     )
 
 
-def future_rows(rows: DataFrame, history: DataFrame, days: int = 14, level: int | None = None) -> DataFrame:
+def future_rows(rows: DataFrame, history: DataFrame, days: int = 14, level: int | None = None, months: int | None = None) -> DataFrame:
     """Rows to forecast, with the restriction level in force ``days`` days before, or a given constant one."""
+    dates = future_dates(rows, days, months)
     if level is not None:
-        ahead = future_dates(rows, days).withColumn("lockdown_level", F.lit(level))
-        return ahead.withColumn("value", F.lit(None).cast("double"))
-    ahead = lagged_regressors(future_dates(rows, days), history, ["lockdown_level"], days)
+        return dates.withColumns({"lockdown_level": F.lit(level), "value": F.lit(None).cast("double")})
+    ahead = lagged_regressors(dates, history, ["lockdown_level"], days)
     known = F.coalesce("lockdown_level", restriction_level(F.date_sub("date", days)))
     return ahead.select(*KEYS, "date", known.alias("lockdown_level"), F.lit(None).cast("double").alias("value"))
 

@@ -43,6 +43,16 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SITE_SCHEMA).json(path)
 
 
+SECTION_SCHEMA = """id string, sections array<struct<bezeichnung string, letzteMeldung string, behandlungsschwerpunktL1 string,
+    behandlungsschwerpunktL2 string, ansprechpartner array<string>, tags array<string>>>"""
+
+
+def read_sections(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each reporting section, from JSON files with one site per line."""
+    sites = spark.read.schema(SECTION_SCHEMA).json(path)
+    return sites.select("id", F.explode("sections").alias("s")).select("id", "s.*")
+
+
 def flatten_sites(sites: DataFrame) -> DataFrame:
     """One flat row per site."""
     place = "krankenhausStandort"

@@ -67,6 +67,24 @@ def test_exact_duplicates(spark, bits, bucket_keys):
     assert all(sum(k) == 1 for k in kept.values()) and len(kept) == len(groups)
 
 
+@pytest.mark.parametrize("hasher", [lambda t: F.xxhash64(t), lambda t: F.length(t).cast("long"), lambda t: F.lit(7).cast("long")])
+def test_bytes_decide_and_not_digests(spark, hasher):
+    """All texts share one digest, and some or all share a hash: sizes and winners still follow the texts."""
+    rows = odd_rows()
+    found = exact.duplicates(docs_of(spark, rows), hasher=hasher, digest=lambda t: F.lit("same")).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(bare(t), []).append((len(t or ""), i))
+    want = []
+    for i, t in rows:
+        group = groups[bare(t)]
+        want.append((i, min(group, key=lambda g: (-g[0], g[1] is None, g[1] or 0))[1], len(group), "same"))
+    assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"])) for r in found) == sorted(map(str, want))
+    assert sum(r["kept"] for r in found) == len(groups)
+    kept = exact.deduplicated(docs_of(spark, rows), hasher=hasher, digest=lambda t: F.lit("same")).collect()
+    assert sorted(bare(r["text"]) for r in kept) == sorted(groups)
+
+
 def test_directory_doubles_until_buckets_fit_and_chains_what_cannot_be_split(spark):
     docs = docs_of(spark, [(i, f"text {i}") for i in range(400)])
     index = exact.build_index(docs, bucket_keys=16)

@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from wardwatch.llm.common import BLANKS, one_of_each, stored, table, text_or_empty
+from wardwatch.llm.common import BLANKS, stored, table, text_or_empty
 from wardwatch.session import scratch_path
 
 BUCKET_KEYS = 65_536  # a bucket with more distinct texts is split
@@ -14,9 +14,10 @@ MAX_DEPTH = 16  # bits of the hash that the directory may use: at most 65,536 sl
 
 
 class Index(NamedTuple):
-    keys: DataFrame  # a row for each document: doc_id, n, h, sha, row
+    rows: DataFrame  # a row for each document: doc (the columns to keep), doc_id, n, h, bare, row
     directory: DataFrame  # slot (the first ``depth`` bits of the hash), bucket, local_depth
-    entries: DataFrame  # a row for each distinct text: bucket, h, chain, sha, group_size, keep_id, keep_n, keep_row, copies
+    entries: DataFrame  # a row for each distinct text: bucket, h, chain, sha, group_size, keep_id, keep_row
+    places: DataFrame  # a row for each document: doc_id, row, bucket, h, chain
     path: str  # the entries' files, one folder for each bucket
     depth: int  # bits of the directory
 
@@ -29,12 +30,6 @@ def hash_of(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def digests(docs: DataFrame, hasher) -> DataFrame:
-    return docs.select(
-        "doc_id", F.char_length(text_or_empty()).cast("long").alias("n"), bare_text().alias("bare")
-    ).select("doc_id", "n", hasher(F.col("bare")).alias("h"), F.sha2("bare", 256).alias("sha"), "bare")
-
-
 def slot_of(h: Column, depth: int) -> Column:
     """The first ``depth`` bits of a hash."""
     return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
@@ -43,18 +38,19 @@ def slot_of(h: Column, depth: int) -> Column:
 def directory_of(hashes: DataFrame, bucket_keys: int, max_depth: int) -> tuple[DataFrame, int]:
     """Double the directory until no bucket is overfull, or ``max_depth`` is reached; later keys then stay in the bucket.
 
-    Keys are counted once for each slot of the deepest directory; a slot's bucket is the shortest prefix that holds at
-    most ``bucket_keys`` keys. The counts have at most 2 ** ``max_depth`` rows, whatever the input, and ``max_depth`` + 1
-    levels of them are compared.
+    Keys are counted once for each slot of the deepest directory, and added up for each shorter prefix. A slot's bucket is split as
+    often as a prefix of it is overfull. The counts have at most 2 ** ``max_depth`` rows, the overfull prefixes fewer than that in
+    all, whatever the input; so they are broadcast.
     """
     cells = stored(hashes.groupBy(slot_of(F.col("h"), max_depth).alias("cell")).agg(F.count(F.lit(1)).alias("keys")), "cells")
-    levels = cells.select("cell", "keys", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("level")).withColumn(
+    levels = cells.select("cell", "keys", F.explode(F.sequence(F.lit(0), F.lit(max_depth - 1))).alias("level")).withColumn(
         "prefix", F.expr(f"shiftright(cell, {max_depth} - level)")
     )
     held = levels.groupBy("level", "prefix").agg(F.sum("keys").alias("held"))
-    local = F.coalesce(F.min(F.when(F.col("held") <= bucket_keys, F.col("level"))), F.lit(max_depth))
+    overfull = stored(held.where(F.col("held") > bucket_keys).select("level", "prefix"), "overfull")
+    splits = levels.join(F.broadcast(overfull), ["level", "prefix"]).groupBy("cell").agg(F.count(F.lit(1)).cast("int").alias("local_depth"))
     leaves = stored(
-        levels.join(held, ["level", "prefix"]).groupBy("cell").agg(local.alias("local_depth")).select(
+        cells.select("cell").join(splits, "cell", "left").select("cell", F.coalesce("local_depth", F.lit(0)).alias("local_depth")).select(
             "cell", "local_depth", F.expr(f"shiftleft(shiftright(cell, {max_depth} - local_depth), {max_depth} - local_depth)").alias("bucket")
         ),
         "leaves",
@@ -64,53 +60,76 @@ def directory_of(hashes: DataFrame, bucket_keys: int, max_depth: int) -> tuple[D
     return stored(slots, "directory"), depth
 
 
-def build_index(docs: DataFrame, hasher=hash_of, bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH) -> Index:
-    """Index ``docs(doc_id, text, …)`` by their text without white space.
+def digest_of(text: Column) -> Column:
+    return F.sha2(text, 256)
+
 
-    Grouping by hash and text compares the bytes of texts with equal hashes; copies are combined before the shuffle.
-    An owner task has a range of keys: texts that share a hash are numbered as its chain. Of equal texts the row with
-    the most code points stays, then the smallest ``doc_id`` (null last), then any one of the equal rows.
+def build_index(
+    docs: DataFrame, hasher=hash_of, digest=digest_of, bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH, keep: list[str] | None = None
+) -> Index:
+    """Index ``docs(doc_id, text, …)`` by their text without white space; a null text is empty.
+
+    Texts are read once, and written without white space next to their hash. Grouping by hash and text compares bytes, and
+    combines copies before the shuffle. An owner task has a range of keys: different texts that share a hash are numbered as its chain,
+    and a document finds its text by slot, bucket, hash and, where a hash has a chain, its bytes. Of equal texts the row
+    with the most code points stays, then the smallest ``doc_id`` (null last), then any one of the equal rows. ``keep``: columns
+    of ``docs`` that ``rows`` carry along, none unless asked for.
     """
     spark = docs.sparkSession
-    made = digests(docs, hasher)
-    keys = stored(made.drop("bare").withColumn("row", F.monotonically_increasing_id()), "keys")
-    texts = stored(made.groupBy("h", "bare").agg(F.count(F.lit(1)).alias("rows")).select("h", F.sha2("bare", 256).alias("sha"), "rows"), "texts")
+    named = docs.select(F.struct(*(keep or ["doc_id"])).alias("doc"), "doc_id", F.char_length(text_or_empty()).cast("long").alias("n"), bare_text().alias("bare"))
+    rows = stored(named.select("doc", "doc_id", "n", hasher(F.col("bare")).alias("h"), "bare", F.monotonically_increasing_id().alias("row")), "bare-texts")
+    texts = rows.groupBy("h", "bare").agg(F.count(F.lit(1)).alias("group_size"), F.min("row").alias("first"))
+    texts = stored(texts.select("h", digest(F.col("bare")).alias("sha"), "group_size", "first"), "texts")
     directory, depth = directory_of(texts, bucket_keys, max_depth)
 
-    counted = keys.groupBy("h", "sha", "n", "doc_id").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"))
-    best = F.max(F.struct("n", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("row").alias("not_row"), "copies"))
-    groups = stored(counted.groupBy("h", "sha").agg(F.sum("copies").alias("group_size"), best.alias("best")), "groups")
-
-    owned = texts.withColumn("slot", slot_of(F.col("h"), depth)).join(F.broadcast(directory), "slot")
-    chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha")) - 1
-    chained = owned.repartitionByRange("bucket", "h").withColumn("chain", chain)
-    entries = chained.select("bucket", "h", "chain", "sha").join(groups, ["h", "sha"]).select(
-        "bucket", "h", "chain", "sha", "group_size", F.bitwise_not("best.not_id").alias("keep_id"),
-        F.col("best.n").alias("keep_n"), F.bitwise_not("best.not_row").alias("keep_row"), F.col("best.copies").alias("copies"),
+    def housed(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("slot", slot_of(F.col("h"), depth)).join(F.broadcast(directory.select("slot", "bucket")), "slot").drop("slot")
+
+    chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha", "first")) - 1
+    chained = stored(housed(texts).repartitionByRange("bucket", "h").withColumn("chain", chain), "chained")
+    places = stored(housed(links_of(rows, chained)), "places")
+    counted = places.groupBy("h", "chain", "n", "doc_id").agg(F.min("row").alias("row"))
+    best = F.max(F.struct("n", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("row").alias("not_row")))
+    winners = stored(counted.groupBy("h", "chain").agg(best.alias("best")), "winners")
+    entries = chained.join(winners, ["h", "chain"]).select(
+        "bucket", "h", "chain", "sha", "group_size", F.bitwise_not("best.not_id").alias("keep_id"), F.bitwise_not("best.not_row").alias("keep_row")
     )
     path = scratch_path(spark, "hash-index")
     entries.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "chain").write.partitionBy("bucket").parquet(path)
-    return Index(keys, directory, spark.read.schema(entries.schema).parquet(path), path, depth)
+    return Index(rows, directory, spark.read.schema(entries.schema).parquet(path), places, path, depth)
+
+
+def links_of(rows: DataFrame, chained: DataFrame) -> DataFrame:
+    """``doc_id, n, row, h, chain`` of each document. Only documents whose hash several texts share are compared with these."""
+    keys = rows.select("doc_id", "n", "row", "h")
+    shared = stored(chained.where("chain = 1").select("h"), "shared-hashes")
+    if shared.isEmpty():
+        return keys.withColumn("chain", F.lit(0))
+    alone = keys.join(shared, "h", "left_anti").withColumn("chain", F.lit(0))
+    mixed = rows.join(shared, "h", "left_semi")
+    firsts = stored(mixed.groupBy("h", "bare").agg(F.min("row").alias("first")), "shared-texts")
+    known = firsts.join(chained.select("h", "first", "chain"), ["h", "first"])
+    found = mixed.join(known, ["h", "bare"]).select("doc_id", "n", "row", "h", "chain")
+    return alone.select("doc_id", "n", "row", "h", "chain").unionAll(found)
 
 
 def duplicates(docs: DataFrame, **options) -> DataFrame:
-    """A row for each document: ``doc_id, keep_id, group_size, kept, text_sha256``; repeated rows keep one of them."""
+    """A row for each document: ``doc_id, keep_id, group_size, kept, text_sha256``; of rows that repeat an id one is kept.
+
+    A null text counts as empty, and is equal to all texts of nothing but white space; a null ``doc_id`` is kept only if no equal row has
+    an id.
+    """
     index = build_index(docs, **options)
-    return index.keys.join(index.entries, ["h", "sha"]).select(
+    return index.places.drop("n").join(index.entries, ["bucket", "h", "chain"]).select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns."""
-    index = build_index(docs, **options)
-    hasher = options.get("hasher", hash_of)
-    named = docs.select(F.struct("*").alias("__doc"), "doc_id", "text")
-    rows = named.select(
-        "__doc", F.col("doc_id").alias("__id"), F.char_length(text_or_empty()).cast("long").alias("__n"), bare_text().alias("__bare")
-    ).select("__doc", "__id", "__n", hasher(F.col("__bare")).alias("__h"), F.sha2("__bare", 256).alias("__sha"))
-    winners = index.entries.selectExpr("keep_id AS __id", "keep_n AS __n", "h AS __h", "sha AS __sha", "copies")
-    return one_of_each(rows, winners, ["__id", "__n", "__h", "__sha"]).select("__doc.*")
+    index = build_index(docs, keep=docs.columns, **options)
+    winners = index.entries.select(F.col("keep_row").alias("row"))
+    return index.rows.select("doc", "row").join(winners, "row", "left_semi").select("doc.*")
 
 
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,27 +12,37 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null or empty text is judged by its host and path alone; null and repeated ids are rows like any other, and rows that repeat an
+    id share a verdict only if they share all that decides it.
+    """
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space one stays."""
+    """Of texts that are equal without white space one row stays: the one with the most code points, then the smallest id (null last).
+
+    Null and empty texts are equal.
+    """
     return exact.deduplicated(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    """One row of each group of near-duplicates stays, one with the smallest id (null last). Texts without words are one group with those whose bits agree."""
     return simhash.one_per_group(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of sources below their target occur more than once, others are sampled; one a source may be cut."""
+    """Documents of sources below their target occur more than once, others are sampled; one a source may be cut.
+
+    Null texts have no words and are not taken; a null source is a source of its own.
+    """
     return mixing.mixture(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their place in a training sequence."""
+    """The pieces of all documents with their place in a training sequence. A null text is the end token alone; ids may be null or repeat."""
     return packing.packed(docs, public_tokenizers.path(TOKENIZER))
 
 

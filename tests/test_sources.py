@@ -65,6 +65,46 @@ def test_headers_without_a_mark_are_headers_and_files_without_one_fail(spark):
         parse("1,2\n3,4\n").collect()
 
 
+def report_file(rows, quote=""):
+    lines = ["kreis,bundesland,betten_frei,daten_stand"]
+    for i in range(rows):
+        stand = f"2021-05-01 12:{i % 60:02d}:00"
+        field = f'"two\r\nlines ""{i}"", and\n\nmore"' if quote and i % 97 == 5 else stand
+        lines.append(f"{i % 100000:05d},1,{i},{field}")
+    return "\n".join(lines) + "\n"
+
+
+@pytest.mark.parametrize("quoted", ["", "breaks"])
+def test_large_files_are_read_by_several_tasks_with_the_same_rows(spark, tmp_path, quoted):
+    (tmp_path / "divi-intensivregister-2021-05-01-12-15.csv").write_text(report_file(9000, quoted), newline="")
+    (tmp_path / "divi-intensivregister-2021-05-02-12-15.csv").write_text("\n\r\n" + report_file(5000).replace("\n", "\r\n"), newline="")
+    (tmp_path / "divi-intensivregister-2021-05-03-12-15.csv").write_text("kreis,betten_frei\n01001,7\n")
+    whole = reports.read_daily_reports(spark, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        lines = reports.large_report_lines(spark, str(tmp_path), 1000)
+        assert lines.select("file", "block").distinct().count() > 15
+        split = reports.read_daily_reports(spark, str(tmp_path), whole=1000)
+        assert as_set(split) == as_set(whole) and split.count() == whole.count() == 14001
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    if quoted:
+        fields = {r.betten_frei: r.daten_stand for r in whole.collect() if r.file_name.endswith("05-01-12-15.csv")}
+        assert fields["5"] == 'two\nlines "5", and\n\nmore' and len(fields) == 9000
+    (tmp_path / "headless.csv").write_text("1,2\n" * 1000)
+    with pytest.raises(Exception, match="no header in"):
+        reports.read_daily_reports(spark, str(tmp_path), whole=1000).collect()
+
+
+def test_a_stray_quote_costs_no_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('kreis,betten_frei\n01001,"7\n01002,8\n')
+    for whole in (1 << 20, 1):
+        rows = reports.read_daily_reports(spark, str(tmp_path), whole=whole).collect()
+        assert len(rows) == 2 and "01002" in {r.kreis for r in rows}
+
+
 def test_stream_equals_batch_on_the_same_folder(spark, tmp_path):
     """Re-uploads with and without a padded key, a file without a date, one without bed counts."""
     incoming, store = tmp_path / "incoming", str(tmp_path / "store")
@@ -185,6 +225,24 @@ def test_geojson_parts_join_to_valid_json(spark, tmp_path):
     assert "betten_frei" not in result[1]["properties"] and result[2]["geometry"]["coordinates"] == [2, 1]
 
 
+def test_nested_and_escaped_properties_come_out_as_they_went_in(spark, tmp_path):
+    odd = {"RS": "01001", "name": 'a "quoted" \\ back\nslash é', "deep": {"list": [1, 2.5, None, {"x": []}], "flag": True}, "betten_frei": "old", "none": None}
+    shape = {"type": "Polygon", "coordinates": [[[8.123456789012, 50], [9, -1e-7], [8.5, 49.25]]]}
+    source = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": odd, "geometry": shape}, {"type": "Feature", "properties": {}, "geometry": None},
+        {"type": "Feature", "properties": None, "geometry": {"type": "Point", "coordinates": []}}]}
+    (tmp_path / "in.geojson").write_text(json.dumps(source))
+    measures = ", ".join(f"{m} double" for m in reports.REPORT_MEASURES)
+    icu = spark.createDataFrame([(dt.date(2021, 1, 2), "01001", 3.5, *[None] * 7)], f"date date, gemeinde string, {measures}")
+    enriched = geo.enrich_features(geo.read_features(spark, str(tmp_path / "in.geojson")), icu)
+    geo.write_geojson(geo.feature_json(enriched), str(tmp_path / "out"))
+    found = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))))["features"]
+    known = reports.REPORT_MEASURES[0]
+    assert found[0]["properties"] == (odd | {known: 3.5}) and found[0]["geometry"] == shape
+    assert found[1] == {"type": "Feature", "properties": {}, "geometry": None}
+    assert found[2] == {"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": []}}
+
+
 def test_two_collections_and_two_stamps_give_valid_json_and_one_feature_each(spark, tmp_path):
     for n in (1, 2):
         feature = {"type": "Feature", "properties": {"RS": "01001"}, "geometry": None}

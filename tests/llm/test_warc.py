@@ -187,3 +187,87 @@ def test_damage_in_a_member_of_several_records(spark, tmp_path, level, plain_nex
     path.write_bytes(bytes(member) + after)
     found, gaps = read(spark, path)
     assert len(found) == len(set(found)) and found[:2] == ids(range(2)) and ids([8])[0] in found and gaps
+
+
+class Counted:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.at, self.total = data, 0, 0
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, count):
+        out = self.data[self.at : self.at + count]
+        self.at, self.total = self.at + len(out), self.total + len(out)
+        return out
+
+
+def peak_of(work):
+    import tracemalloc
+
+    tracemalloc.start()
+    out = work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def many_records(count, size):
+    payload = b"x" * size
+    return [warc.record_bytes(i, None, payload + str(i).encode(), digest((payload + str(i).encode()).decode()), None, True) for i in range(count)]
+
+
+def kinds(data):
+    file = Counted(data)
+    found = [(k, r.headers["warc-record-id"] if r else why) for k, _, _, why, r in warc.salvage(warc.Window(file, len(data)))]
+    return found, file.total
+
+
+def test_damaged_lengths_do_not_read_the_rest_of_the_file():
+    records = many_records(60, 100_000)
+    spoiled = [r.replace(b"Content-Length: 1000", b"Content-Length: 3999", 2) if i % 2 else r for i, r in enumerate(records)]
+    data = b"".join(spoiled)
+    (found, read), peak = peak_of(lambda: kinds(data))
+    assert [i for k, i in found if k == "record"] == ids(range(0, 60, 2)) and sum(k == "gap" for k, _ in found) == 30
+    assert read < 4 * len(data) + 60 * warc.PIECE and peak < 8 * warc.PIECE
+
+
+@pytest.mark.parametrize("damage", [None, "cut", "inside", "bytes"])
+def test_large_members_pass_through_a_window(damage):
+    """60 MB in one member of some kilobytes: all records come out in a few megabytes, whatever is damaged."""
+    records = many_records(60, 1_000_000)
+    whole, lost = b"".join(records), []
+    if damage == "inside":
+        whole = b"".join(r.replace(b"WARC/1.1", b"WARC/x.1") if i in (3, 40) else r for i, r in enumerate(records))
+        lost = [3, 40]
+    packed = gzip.compress(whole, 1)
+    if damage == "cut":
+        packed = packed[: len(packed) // 2]
+    if damage == "bytes":
+        at = len(packed) // 2
+        packed = packed[:at] + bytes(b ^ 255 for b in packed[at : at + 40]) + packed[at + 40 :]
+    tail = gzip.compress(many_records(1, 10)[0].replace(b"page:0>", b"page:99>"))
+    del whole, records
+    (found, _), peak = peak_of(lambda: kinds(packed + tail))
+    known = [i for k, i in found if k == "record"]
+    if damage in (None, "inside"):
+        assert known == ids([*[i for i in range(60) if i not in lost], 99]) and sum(k == "gap" for k, _ in found) == len(lost)
+    else:
+        kept = len(known) - 1
+        assert known == ids([*range(kept), 99]) and 20 <= kept < 60 and found[0][0] == "gap"
+    assert peak < 16 * warc.PIECE
+
+
+def test_small_and_large_members_are_read_alike(monkeypatch):
+    rng = random.Random(8)
+    records = many_records(12, 3_000)
+    joined = [b"".join(rng.sample(records, 6)) for _ in range(3)]
+    joined[1] = joined[1].replace(b"sha1:", b"sha1:A", 3)
+    data = b"".join(gzip.compress(j) for j in joined)
+    data = data[:100] + b"junk" + data[100:]
+    want = kinds(data)[0]
+    monkeypatch.setattr(warc, "SMALL", 1)
+    monkeypatch.setattr(warc, "PIECE", 700)
+    assert kinds(data)[0] == want and any(k == "record" for k, _ in want)

@@ -13,7 +13,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -26,6 +26,7 @@ from wardwatch.session import scratch_path
 
 SEGMENT = 64 << 20  # bytes after which a task begins a new file
 PIECE = 1 << 20  # bytes read or inflated at once
+SMALL = 4 * PIECE  # inflated bytes of a member that is held; larger ones pass through a window
 HEADER = 1 << 16  # bytes of a record read at first; more as long as its header goes on
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 DATE = "2020-01-01T00:00:00Z"
@@ -134,8 +135,11 @@ class Failed(Exception):
 
 class Record(NamedTuple):
     headers: dict[str, str]
-    block: bytes
     end: int  # in the bytes that were parsed
+    size: int  # of the payload
+    digest: str  # of the payload
+    lead: bytes  # the first bytes of a block that is an HTTP message
+    payload: bytes | None  # if it was asked for
 
 
 class Window:
@@ -145,15 +149,23 @@ class Window:
         self.file, self.size, self.start, self.data = file, size, 0, b""
 
     def read(self, at: int, count: int) -> bytes:
+        count = max(0, min(count, self.size - at))
         if not (self.start <= at and at + count <= self.start + len(self.data)):
             self.file.seek(at)
             self.start, self.data = at, self.file.read(max(count, PIECE))
         return self.data[at - self.start : at - self.start + count]
 
+    def peek(self, at: int, count: int) -> bytes:
+        """As ``read``, but the piece at hand stays."""
+        if self.start <= at and at + count <= self.start + len(self.data):
+            return self.data[at - self.start : at - self.start + count]
+        self.file.seek(at)
+        return self.file.read(count)
+
     def some(self, at: int, most: int) -> bytes:
         """At least one and at most so many bytes, unless the file ends."""
         if not self.start <= at < self.start + len(self.data):
-            return self.read(at, min(most, self.size - at))
+            return self.read(at, most)
         return self.data[at - self.start : at - self.start + most]
 
     def find(self, at: int) -> int:
@@ -169,6 +181,106 @@ class Window:
         return self.size
 
 
+class Held:
+    """Bytes in memory, with a window's access."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def read(self, at: int, count: int) -> bytes:
+        return self.data[at : at + count]
+
+    peek = read
+
+    def mark(self, at: int) -> None:
+        pass
+
+    def find(self, at: int) -> int:
+        place = self.data.find(VERSION, at)
+        return self.size if place < 0 else place
+
+
+class Inflater:
+    """The bytes of a member in order, as far as they can be inflated, in bounded pieces."""
+
+    def __init__(self, window: Window, at: int):
+        self.window, self.place, self.step = window, at, 1 << 12
+        self.unpack, self.failure = zlib.decompressobj(31), None
+
+    def copy(self) -> Inflater:
+        other = Inflater(self.window, self.place)
+        other.unpack, other.failure, other.step = self.unpack.copy(), self.failure, self.step
+        return other
+
+    def more(self, most: int | None = None) -> bytes:
+        """The next bytes, ``PIECE`` or ``most`` at most; none at the member's end or where it fails (``failure`` then says why)."""
+        while not self.unpack.eof and self.failure is None:
+            data = self.window.some(self.place, self.step) if self.place < self.window.size else b""
+            before = self.unpack.copy()
+            try:
+                out = self.unpack.decompress(data, most or PIECE)
+            except zlib.error:  # too far: halve the step, so that all sound bytes come out
+                self.unpack, self.step = before, len(data) // 2
+                if not self.step:
+                    self.failure = "member checksum or data"
+                continue
+            rest = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+            self.place += len(data) - len(rest)
+            self.step = min(2 * self.step, PIECE)
+            if out:
+                return out
+            if not data and not self.unpack.eof:
+                self.failure = "member cut short"
+        return b""
+
+
+class Inflated:
+    """The first ``size`` inflated bytes of a member, from the mark on, through a bounded window.
+
+    Going back starts at the mark again, with the inflater as it was there. ``peek`` can't jump: it has to inflate.
+    """
+
+    def __init__(self, window: Window, at: int, size: int):
+        self.size = size
+        self.marked = (Inflater(window, at), 0, b"")
+        self._return()
+
+    def _return(self) -> None:
+        inflater, self.start, self.data = self.marked
+        self.inflater = inflater.copy()
+
+    def mark(self, at: int) -> None:
+        """Nothing before ``at`` is read again."""
+        self.read(at, 1)
+        self.data, self.start = self.data[at - self.start :], at
+        self.marked = (self.inflater.copy(), self.start, self.data)
+
+    def read(self, at: int, count: int) -> bytes:
+        if at < self.start:
+            self._return()
+        count = max(0, min(count, self.size - at))
+        while self.start + len(self.data) < at + count:
+            more = self.inflater.more()
+            if not more:
+                break
+            if at > self.start:  # what lies before it is not needed again, but from the mark
+                gone = min(at - self.start, len(self.data))
+                self.start, self.data = self.start + gone, self.data[gone:]
+            self.data += more
+        return self.data[max(at - self.start, 0) : max(at - self.start, 0) + count]
+
+    def find(self, at: int) -> int:
+        while at < self.size:
+            data = self.read(at, PIECE)
+            place = data.find(VERSION)
+            if place >= 0:
+                return at + place
+            if at + len(data) >= self.size or not data:
+                return self.size
+            at += len(data) - len(VERSION) + 1
+        return self.size
+
+
 def parse_header(head: bytes) -> dict[str, str]:
     lines = head.split(b"\r\n")
     if not re.fullmatch(rb"WARC/1\.\d", lines[0]):
@@ -179,128 +291,155 @@ def parse_header(head: bytes) -> dict[str, str]:
         if not colon or not name.strip():
             raise Failed("header line")
         headers.setdefault(name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace"))
-    if not headers.get("content-length", "").isdigit() or "warc-type" not in headers:
+    if not re.fullmatch(r"[0-9]{1,18}", headers.get("content-length", "")) or "warc-type" not in headers:
         raise Failed("header fields")
     return headers
 
 
-def check(headers: dict[str, str], block: bytes) -> None:
+def base32(digest) -> str:
+    return base64.b32encode(digest.digest()).decode()
+
+
+def scan_block(source, headers: dict[str, str], start: int, size: int, end: int, keep: bool) -> Record:
+    """The record whose block lies there, read in pieces; digests that the header declares must agree."""
+    http = headers.get("content-type", "").startswith("application/http")
+    block, body, held, length, lead, last, inside, at = hashlib.sha1(), hashlib.sha1(), [], 0, b"", b"", not http, start
+    while at < start + size:
+        data = source.read(at, min(PIECE, start + size - at))
+        if not data:
+            raise Failed("record end")
+        block.update(data)
+        at += len(data)
+        if not inside:
+            lead += data[: max(0, HEADER - len(lead))]
+            joined = last + data
+            split = joined.find(b"\r\n\r\n")
+            if split < 0:
+                last = joined[-3:]
+                continue
+            inside, data = True, joined[split + 4 :]
+        body.update(data)
+        length += len(data)
+        if keep:
+            held.append(data)
     declared = headers.get("warc-block-digest", "")
-    if declared.startswith("sha1:") and declared[5:] != digest_of(block):
+    if declared.startswith("sha1:") and declared[5:] != base32(block):
         raise Failed("block digest")
     declared = headers.get("warc-payload-digest", "")
-    if declared.startswith("sha1:") and headers["warc-type"] in ("response", "resource") and declared[5:] != digest_of(body(headers, block)):
+    if declared.startswith("sha1:") and headers["warc-type"] in ("response", "resource") and declared[5:] != base32(body):
         raise Failed("payload digest")
+    return Record(headers, end, length, base32(body), lead, b"".join(held) if keep else None)
 
 
-def body(headers: dict[str, str], block: bytes) -> bytes:
-    if not headers.get("content-type", "").startswith("application/http"):
-        return block
-    head, blank, rest = block.partition(b"\r\n\r\n")
-    return rest if blank else b""
-
-
-def parse(read, at: int) -> Record:
-    """The record at a place of anything that ``read(at, count)`` gives bytes of."""
-    head = read(at, HEADER)
+def parse(source, at: int, keep: bool = False) -> Record:
+    """The record at a place of a window, of inflated or of held bytes. Its block is not read if it does not end as it should."""
+    head = source.read(at, HEADER)
     if not re.match(rb"WARC/1\.\d\r\n", head):
         raise Failed("version line")
     while (split := head.find(b"\r\n\r\n")) < 0:
         if not all(re.match(rb"[^:]*[^:\s][^:]*:", line) for line in head.split(b"\r\n")[1:-1]):
             raise Failed("header line")
-        more = read(at + len(head), len(head))
+        more = source.read(at + len(head), len(head))
         if not more:
             raise Failed("header end")
         head += more
     headers = parse_header(head[:split])
     size, start = int(headers["content-length"]), at + split + 4
-    block = read(start, size + 4)
-    if len(block) < size + 4 or block[size:] != b"\r\n\r\n":
+    if start + size + 4 > source.size:
         raise Failed("record end")
-    check(headers, block[:size])
-    return Record(headers, block[:size], start + size + 4)
-
-
-class Member(NamedTuple):
-    data: bytes
-    end: int  # in the file
-    failure: str | None  # why it ends there, if it is not its own end
-
-
-def inflate(window: Window, at: int, most: int | None = None) -> Member:
-    """A member's content, as far as it can be inflated and until it has ``most`` bytes."""
-    unpack, out, place, step, failure = zlib.decompressobj(31), bytearray(), at, 1 << 12, None
-    while not unpack.eof and (most is None or len(out) < most):
-        data = window.some(place, step)
-        if not data:
-            failure = "member cut short"
-            break
-        before = unpack.copy()
-        try:
-            more = unpack.decompress(data)
-        except zlib.error:
-            more = None
-        if more is None or most is not None and len(out) + len(more) > most and len(data) > 1:  # too far: halve the step
-            unpack, step = before, len(data) // 2
-            if step:
-                continue
-            failure = "member checksum or data"
-            break
-        out += more
-        place += len(data)
-        step = min(2 * step, PIECE)
-    return Member(bytes(out), place - len(unpack.unused_data), failure)
+    if isinstance(source, Inflated):
+        record = scan_block(source, headers, start, size, start + size + 4, keep)
+        if source.read(start + size, 4) != b"\r\n\r\n":
+            raise Failed("record end")
+        return record
+    if source.peek(start + size, 4) != b"\r\n\r\n":
+        raise Failed("record end")
+    return scan_block(source, headers, start, size, start + size + 4, keep)
 
 
-def records_in(data: bytes, doubtful: bool) -> tuple[list[Record], list[tuple[int, int, str]]]:
-    """The records of inflated bytes that pass, and ``start, length, reason`` of the gaps between them.
+def walk(source, doubtful: bool, keep: bool) -> Iterator[Record | str]:
+    """The records of inflated bytes that pass, and what the gaps between them are.
 
     Of doubtful bytes only records with a block digest can pass.
     """
-    records, gaps, at, gap, why = [], [], 0, None, ""
-    while at < len(data):
+    at, gap, why = 0, None, ""
+    while at < source.size:
+        source.mark(at)
         try:
-            record = parse(lambda i, n: data[i : i + n], at)
+            record = parse(source, at, keep)
             if doubtful and not record.headers.get("warc-block-digest", "").startswith("sha1:"):
                 raise Failed("no digest in a damaged member")
         except Failed as failure:
             if gap is None:
                 gap, why = at, str(failure)
-            at = data.find(VERSION, at + 1)
-            at = len(data) if at < 0 else at
+            at = source.find(at + 1)
             continue
         if gap is not None:
-            gaps.append((gap, at - gap, why))
+            yield f"{why}, bytes {gap} to {at} of the member"
             gap = None
-        records.append(record)
+        yield record
         at = record.end
     if gap is not None:
-        gaps.append((gap, len(data) - gap, why))
-    return records, gaps
+        yield f"{why}, bytes {gap} to {source.size} of the member"
 
 
 class Found(NamedTuple):
-    records: list[Record]
-    gaps: list[str]  # inside a member
+    items: Callable[[], Iterator[Record | str]]  # records, and reasons of gaps inside a member
     end: int  # of the member or record; of the last record that passed, if the member fails
     failure: str | None
 
 
-def records_at(window: Window, at: int) -> Found:
-    """The records of the member or plain record at a place. It fails if it has bytes and no record in them passes."""
-    if window.read(at, min(3, window.size - at)) != MEMBER:
-        record = parse(lambda i, n: window.read(i, max(0, min(n, window.size - i))), at)
-        return Found([record], [], record.end, None)
-    data, end, failure = inflate(window, at)
-    records, gaps = records_in(data, failure == "member checksum or data")
-    if not records and (failure or gaps):
-        raise Failed(failure or f"no record in member: {gaps[0][2]}")
+def records_at(window: Window, at: int, keep: bool) -> Found:
+    """The records of the member or plain record at a place. It fails if it has bytes and no record in them passes.
+
+    A member of up to ``SMALL`` bytes is inflated once; of a larger one first its end is found, then its records are read
+    from it, each time they are asked for.
+    """
+    if window.read(at, 3) != MEMBER:
+        record = parse(window, at, keep)
+        return Found(lambda: iter([record]), record.end, None)
+    inflater, parts, size = Inflater(window, at), [], 0
+    while more := inflater.more():
+        size += len(more)
+        if size <= SMALL:
+            parts.append(more)
+    failure, end = inflater.failure, inflater.place
+    doubtful = failure == "member checksum or data"
+    if size <= SMALL:
+        listed = list(walk(Held(b"".join(parts)), doubtful, keep))
+
+        def items() -> Iterator[Record | str]:
+            return iter(listed)
+    else:
+        parts.clear()
+
+        def items() -> Iterator[Record | str]:
+            return walk(Inflated(window, at, size), doubtful, keep)
+
+    seen = sound = None
+    for item in items():
+        if isinstance(item, Record):
+            sound = item.end
+            if not failure:
+                break
+        else:
+            seen = item
+    if sound is None and (failure or seen):
+        raise Failed(failure or f"no record in member: {seen.split(', bytes')[0]}")
     if failure:
-        end = inflate(window, at, records[-1].end).end
-    return Found(records, [f"{why}, bytes {start} to {start + n} of the member" for start, n, why in gaps], end, failure)
+        end = place_of(window, at, sound)
+    return Found(items, end, failure)
+
+
+def place_of(window: Window, at: int, size: int) -> int:
+    """The place in the file that a member's first ``size`` bytes come from, up to its end."""
+    inflater, made = Inflater(window, at), 0
+    while made < size and (more := inflater.more(min(PIECE, size - made))):
+        made += len(more)
+    return inflater.place
 
 
-def salvage(window: Window) -> Iterator[tuple[str, int, int, str | None, Record | None]]:
+def salvage(window: Window, keep: bool = False) -> Iterator[tuple[str, int, int, str | None, Record | None]]:
     """``kind, offset, length, reason, record`` of a file, without holes: each byte belongs to a record or a gap.
 
     The records of a member and the gaps between them have the place of the member. A member that fails is a gap up
@@ -309,14 +448,15 @@ def salvage(window: Window) -> Iterator[tuple[str, int, int, str | None, Record
     at, gap, why, held = 0, None, None, None
 
     def rows(offset: int, end: int, found: Found) -> Iterator[tuple[str, int, int, str | None, Record | None]]:
-        for reason in found.gaps:
-            yield "gap", offset, end - offset, reason, None
-        for record in found.records:
-            yield "record", offset, end - offset, None, record
+        for item in found.items():
+            if isinstance(item, Record):
+                yield "record", offset, end - offset, None, item
+            else:
+                yield "gap", offset, end - offset, item, None
 
     while at < window.size:
         try:
-            found = records_at(window, at)
+            found = records_at(window, at, keep)
         except Failed as failure:
             if gap is None:
                 gap, why = at, str(failure)
@@ -329,7 +469,7 @@ def salvage(window: Window) -> Iterator[tuple[str, int, int, str | None, Record
             gap = held = None
         if found.failure:
             gap, why, held = at, found.failure, found
-            at = window.find(found.end)
+            at = window.find(max(found.end, at + 1))
             continue
         yield from rows(at, found.end, found)
         at = found.end
@@ -339,23 +479,25 @@ def salvage(window: Window) -> Iterator[tuple[str, int, int, str | None, Record
             yield from rows(gap, window.size, held)
 
 
-def found_row(path: str, kind: str, offset: int, length: int, reason: str | None, record: Record | None, payloads: bool) -> tuple:
+def found_row(path: str, kind: str, offset: int, length: int, reason: str | None, record: Record | None) -> tuple:
     if record is None:
         return kind, path, offset, length, reason, *[None] * 7
-    headers, revisit = record.headers, record.headers["warc-type"] == "revisit"
-    payload = body(headers, record.block)
-    size = len(payload)
-    if revisit and (told := re.search(rb"(?im)^content-length:\s*(\d+)", record.block)):
+    headers, size = record.headers, record.size
+    revisit = headers["warc-type"] == "revisit"
+    if revisit and (told := re.search(rb"(?im)^content-length:\s*(\d+)", record.lead)):
         size = int(told[1])
-    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") or digest_of(payload)
+    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") or record.digest
     return (
         kind, path, offset, length, reason, headers["warc-type"], headers.get("warc-record-id"), headers.get("warc-target-uri"),
-        headers.get("warc-refers-to"), digest, size, payload if payloads and not revisit else None,
+        headers.get("warc-refers-to"), digest, size, None if revisit else record.payload,
     )
 
 
 def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records and gaps of the files in ``paths(path)``, one file to a task. Gaps have ``kind = 'gap'`` and a ``reason``."""
+    """All records and gaps of the files in ``paths(path)``, one file to a task. Gaps have ``kind = 'gap'`` and a ``reason``.
+
+    A task holds a few pieces of its file, whatever the size of files, members and records, besides ``payloads`` if they are asked for.
+    """
     names = [c.split()[0] for c in FOUND.split(",")]
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -364,8 +506,8 @@ def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
                 store, inside = open_store(path)
                 with store.open_input_file(inside) as file:
                     rows, held = [], 0
-                    for kind, offset, length, reason, record in salvage(Window(file, file.size())):
-                        rows.append(found_row(path, kind, offset, length, reason, record, payloads))
+                    for found in salvage(Window(file, file.size()), payloads):
+                        rows.append(found_row(path, *found))
                         held += len(rows[-1][-1] or b"") + 500
                         if held >= 8 * PIECE:
                             yield pd.DataFrame(rows, columns=names)

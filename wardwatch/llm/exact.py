@@ -14,7 +14,7 @@ MAX_DEPTH = 16  # bits of the hash that the directory may use: at most 65,536 sl
 
 
 class Index(NamedTuple):
-    rows: DataFrame  # a row for each document: doc (the columns to keep), doc_id, n, h, bare, row
+    rows: DataFrame  # a row for each document: doc (the columns to keep), doc_id, n, h, row
     directory: DataFrame  # slot (the first ``depth`` bits of the hash), bucket, local_depth
     entries: DataFrame  # a row for each distinct text: bucket, h, chain, sha, group_size, keep_id, keep_row
     places: DataFrame  # a row for each document: doc_id, row, bucket, h, chain
@@ -22,8 +22,8 @@ class Index(NamedTuple):
     depth: int  # bits of the directory
 
 
-def bare_text() -> Column:
-    return F.regexp_replace(text_or_empty(), BLANKS, "")
+def bare_text(name: str = "text") -> Column:
+    return F.regexp_replace(text_or_empty(name), BLANKS, "")
 
 
 def hash_of(text: Column) -> Column:
@@ -69,15 +69,19 @@ def build_index(
 ) -> Index:
     """Index ``docs(doc_id, text, …)`` by their text without white space; a null text is empty.
 
-    Texts are read once, and written without white space next to their hash. Grouping by hash and text compares bytes, and
+    Texts are read once, and written without white space next to their hash; where ``rows`` carry the whole documents, these are written instead,
+    and white space is taken out again. Grouping by hash and text compares bytes, and
     combines copies before the shuffle. An owner task has a range of keys: different texts that share a hash are numbered as its chain,
     and a document finds its text by slot, bucket, hash and, where a hash has a chain, its bytes. Of equal texts the row
     with the most code points stays, then the smallest ``doc_id`` (null last), then any one of the equal rows. ``keep``: columns
-    of ``docs`` that ``rows`` carry along, none unless asked for.
+    of ``docs``, ``text`` among them, that ``rows`` carry along; none unless asked for.
     """
     spark = docs.sparkSession
     named = docs.select(F.struct(*(keep or ["doc_id"])).alias("doc"), "doc_id", F.char_length(text_or_empty()).cast("long").alias("n"), bare_text().alias("bare"))
-    rows = stored(named.select("doc", "doc_id", "n", hasher(F.col("bare")).alias("h"), "bare", F.monotonically_increasing_id().alias("row")), "bare-texts")
+    held = [] if keep else ["bare"]
+    rows = stored(named.select("doc", "doc_id", "n", hasher(F.col("bare")).alias("h"), *held, F.monotonically_increasing_id().alias("row")), "bare-texts")
+    if keep:
+        rows = rows.withColumn("bare", bare_text("doc.text"))
     texts = rows.groupBy("h", "bare").agg(F.count(F.lit(1)).alias("group_size"), F.min("row").alias("first"))
     texts = stored(texts.select("h", digest(F.col("bare")).alias("sha"), "group_size", "first"), "texts")
     directory, depth = directory_of(texts, bucket_keys, max_depth)
@@ -96,7 +100,7 @@ def build_index(
     )
     path = scratch_path(spark, "hash-index")
     entries.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "chain").write.partitionBy("bucket").parquet(path)
-    return Index(rows, directory, spark.read.schema(entries.schema).parquet(path), places, path, depth)
+    return Index(rows.drop("bare"), directory, spark.read.schema(entries.schema).parquet(path), places, path, depth)
 
 
 def links_of(rows: DataFrame, chained: DataFrame) -> DataFrame:

@@ -1,140 +1,83 @@
 """Licence scan by sentence rules. DataFrame functions only.
 
-A text is cut into sentences, which are normalised (letters and digits in lower case, one blank between words) and
-looked up in a table of known licence sentences. A document's identifiers, in the order of the text, are then matched
-against ordered rules: the first rule whose sequence occurs takes those sentences out, and later rules see what is left.
+A text is normalised (letters and digits in lower case, one separator between words, another one where a sentence or line ends)
+and known licence sentences are found in it at any word, whatever breaks lie between their words; short ones count only as a whole
+line or sentence. A document's identifiers, in the order of the text, are then matched against ordered rules: the
+first rule whose sequence occurs takes those sentences out, and later rules see what is left.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardwatch.llm.common import table, text_or_empty
+from wardwatch.llm.licence_table import RULES, SENTENCES
 
-# Sentences of public licence texts and notices. Identifier, sentence.
-SENTENCES = [
-    ("all-rights", "All rights reserved"),
-    ("mit-notice", "Released under the MIT License"),
-    ("mit-notice", "Licensed under the MIT License"),
-    ("mit-notice", "This project is licensed under the MIT License"),
-    ("mit-notice", "This software is released under the MIT License"),
-    ("mit-title", "The MIT License"),
-    ("mit-title", "MIT License"),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
-    ("mit-condition", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
-    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("as-is", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
-    ("apache-notice", "Licensed under the Apache License, Version 2.0"),
-    ("apache-notice", "Licensed under the Apache License, Version 2.0 (the \"License\")"),
-    ("apache-obey", "you may not use this file except in compliance with the License"),
-    ("apache-obtain", "You may obtain a copy of the License at"),
-    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
-    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
-    ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("gpl3-notice", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl3-notice", "Licensed under the GNU General Public License, version 3"),
-    ("gpl-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("gpl-hope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
-    ("mpl-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("by-notice", "Licensed under CC BY 4.0"),
-    ("by-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("by-sa-notice", "Licensed under CC BY-SA 4.0"),
-    ("by-nc-notice", "Licensed under CC BY-NC 4.0"),
-    ("by-nc-notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("public-domain", "This is free and unencumbered software released into the public domain"),
-]
-
-# In this order; a sequence matches where its identifiers follow each other among a document's known sentences.
-RULES = [
-    ("MIT", ["mit-title", "mit-grant", "mit-condition", "as-is"]),
-    ("MIT", ["mit-grant", "mit-condition", "as-is"]),
-    ("MIT", ["mit-grant", "mit-condition"]),
-    ("ISC", ["isc-grant"]),
-    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("Apache-2.0", ["apache-notice", "apache-obey", "apache-obtain"]),
-    ("Apache-2.0", ["apache-notice"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
-    ("GPL-3.0-or-later", ["gpl-free"]),
-    ("GPL-3.0-only", ["gpl3-notice"]),
-    ("MPL-2.0", ["mpl-notice"]),
-    ("MIT", ["mit-notice"]),
-    ("MIT", ["mit-title"]),
-    ("CC-BY-4.0", ["by-notice"]),
-    ("CC-BY-SA-4.0", ["by-sa-notice"]),
-    ("CC-BY-NC-4.0", ["by-nc-notice"]),
-    ("Unlicense", ["public-domain"]),
-    ("all-rights-reserved", ["all-rights"]),
-]
-
-ENDS = r"(?<=[.;:!?])[\x20\x09-\x0D]+|[\r\n]+"  # sentences of lines
-WRAPPED = r"(?<=[.;:!?])[\x20\x09-\x0D]+|(?:\r?\n[\x20\x09]*){2,}"  # sentences over the lines of a paragraph
-OTHER = r"[^\p{L}\p{N}]+"
-UNKNOWN = "."  # a piece of no known sentence
+ENDS = r"(?<=[.;:!?])[\x20\x09-\x0D]+|[\r\n]+"
+BREAK = "\uE000"  # stands for the end of a sentence or line
+FIRST_CODE = 0xE100  # of identifiers: one character each, which no normalised text has
+SHORT = 4  # sentences with fewer words must be a whole line or sentence
 
 
 def normal(text: str) -> str:
-    """As ``normalised``, for the fixed table."""
+    """As ``normalised``, without breaks, for the fixed table."""
     return re.sub(r"[^0-9a-z]+", " ", text.lower()).strip()
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), OTHER, " "))
+def normalised(text: Column) -> Column:
+    """Words with two blanks between them, or two breaks where a sentence or line ends, and at both ends of the text.
 
-
-def triggers(sentences: list[tuple[str, str]]) -> str:
-    """A pattern of one long word of each sentence, in whatever case; a text without any of them has no known sentence."""
-    words = {max(normal(s).split(), key=lambda w: (len(w), w)) for _, s in sentences}
-    return "(?i)" + "|".join(sorted(words))
-
-
-def code_of(identifiers: list[str]) -> dict[str, str]:
-    """A letter for each identifier, so that sequences are strings."""
-    return {name: chr(0x4E00 + i) for i, name in enumerate(dict.fromkeys(identifiers))}
-
-
-def pieces_and_sentences(sentences: list[tuple[str, str]]) -> tuple[dict[str, str], list[tuple[str, str]], str]:
-    """Codes of normalised pieces; ``(pieces, code)`` of sentences that a cut breaks; the codes that only such pieces have.
-
-    A sentence with a break of its own never is one piece of a text: it is known where its pieces follow each other.
+    A separator is written twice, so that a sentence can have one half of it on either side and its neighbour the other.
     """
-    codes = code_of([name for name, _ in sentences])
-    cut = [(codes[name], [n for part in re.split(ENDS, text) if (n := normal(part))]) for name, text in sentences]
-    pieces = {"": ""} | {parts[0]: code for code, parts in cut if len(parts) == 1}
-    own = [part for part in dict.fromkeys(p for _, parts in cut for p in parts) if part not in pieces]
-    pieces |= {part: chr(0x5E00 + i) for i, part in enumerate(own)}
-    broken = [("".join(pieces[p] for p in parts), code) for code, parts in cut if len(parts) > 1]
-    return pieces, sorted(broken, key=lambda b: -len(b[0])), "".join(pieces[p] for p in own)
+    broken = F.regexp_replace(F.lower(text), ENDS, BREAK)
+    words = F.concat(F.lit(BREAK), F.regexp_replace(broken, rf"[^\p{{L}}\p{{N}}{BREAK}]+", " "), F.lit(BREAK))
+    single = F.regexp_replace(words, rf" ?{BREAK}[ {BREAK}]*", BREAK)
+    return F.replace(F.replace(single, F.lit(" "), F.lit("  ")), F.lit(BREAK), F.lit(BREAK * 2))
 
 
-def found_sequences(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES) -> DataFrame:
-    """``doc_id, sequence``: the codes of each text's known sentences, in the order of the text.
+def triggers(sentences: list[tuple[str, str]]) -> list[str]:
+    """A few long words of which each sentence has one; a text without any of them has no known sentence. Short words are in any text."""
+    every, chosen = [set(normal(s).split()) for _, s in sentences], []
+    left = [{w for w in words if len(w) >= 7} or {max(words, key=lambda w: (len(w), w))} for words in every]
+    while left:
+        words = {w for some in left for w in some}
+        best = max(words, key=lambda w: (sum(w in some for some in left), len(w), w))
+        chosen.append(best)
+        left = [some for some in left if best not in some]
+    return chosen
 
-    Each break of paragraphs is one of lines too. So a piece of a paragraph that is no known sentence is cut into its
-    lines in its place, and no span counts twice.
-    """
-    pieces, broken, own = pieces_and_sentences(sentences)
-    table_of = F.create_map(*[F.lit(x) for pair in pieces.items() for x in pair])
-    some = docs.select("doc_id", text_or_empty().alias("text")).where(F.col("text").rlike(triggers(sentences)))
 
-    def known(piece: Column) -> Column:
-        return F.element_at(table_of, normalised(piece))
+def code_of(identifiers: list[str]) -> dict[str, str]:
+    """A character for each identifier, so that sequences are strings."""
+    return {name: chr(FIRST_CODE + i) for i, name in enumerate(dict.fromkeys(identifiers))}
 
-    def lines(piece: Column) -> Column:
-        return F.array_join(F.transform(F.split(piece, ENDS), lambda s: F.coalesce(known(s), F.lit(UNKNOWN))), "")
 
-    each = F.transform(F.split("text", WRAPPED), lambda s: F.coalesce(known(s), lines(s)))
-    return some.select("doc_id", sentences_of(F.array_join(each, ""), broken, own).alias("sequence"))
+def patterns(sentences: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """``(pattern, code)`` of each sentence, the longest first. The halves of the separators around it are its two groups."""
+    codes, out = code_of([name for name, _ in sentences]), {}
+    for name, text in sentences:
+        words = normal(text).split()
+        if len(words) < SHORT:
+            out[f"({BREAK}){'  '.join(words)}({BREAK})"] = len(words), codes[name]
+        else:
+            out[f"([ {BREAK}]){f'(?:  |{BREAK * 2})'.join(words)}([ {BREAK}])"] = len(words), codes[name]
+    return [(p, code) for p, (_, code) in sorted(out.items(), key=lambda x: (-x[1][0], x[0]))]
 
 
-def sentences_of(sequence: Column, broken: list[tuple[str, str]], own: str) -> Column:
-    """The codes of known sentences in a sequence of pieces; what is left of unknown and incomplete ones goes."""
-    for want, code in broken:
-        sequence = F.replace(sequence, F.lit(want), F.lit(code))
-    return F.translate(sequence, UNKNOWN + own, "")
+def found_sequences(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES) -> DataFrame:
+    """``doc_id, sequence``: the codes of each text's known sentences, in the order of the text. No word counts twice."""
+    low = F.lower(text_or_empty())
+    some = docs.select("doc_id", text_or_empty().alias("text")).where(reduce(or_, [low.contains(w) for w in triggers(sentences)]))
+    steps = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(f"$1{code}$2").alias("r")) for p, code in patterns(sentences)])
+    named = F.aggregate(steps, F.col("x"), lambda x, s: F.regexp_replace(x, s["p"], s["r"]))
+    last = chr(FIRST_CODE + len(sentences))
+    return some.select("doc_id", normalised(F.col("text")).alias("x")).select(
+        "doc_id", F.regexp_replace(named, f"[^{chr(FIRST_CODE)}-{last}]+", "").alias("sequence")
+    )
 
 
 def matched(sequence: Column, sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> Column:
@@ -158,7 +101,8 @@ def matched(sequence: Column, sentences: list[tuple[str, str]] = SENTENCES, rule
 def licences(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """``doc_id, licence, rule, times, n_known``: a row for each licence rule that matches in a document.
 
-    Sentences of lines and of paragraphs both count. Null and empty texts have no rows; repeated rows have theirs each.
+    Sentences count wherever they stand, over the breaks of lines and paragraphs. Null and empty texts have no rows; repeated rows
+    have theirs each, and null ids are carried along.
     """
     found = found_sequences(docs, sentences)
     return found.where("sequence <> ''").select(
@@ -171,38 +115,29 @@ def op8_license_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same scan for DuckDB, with a step for each rule."""
+    """The same scan for DuckDB, with a replacement for each sentence and a step for each rule."""
     codes = code_of([name for name, _ in SENTENCES])
-    known = ", ".join(f"('{normal(text)}', '{codes[name]}')" for name, text in SENTENCES)
-
-    def sequences(name: str, breaks: str) -> str:
-        return f"""{name} AS (
-  SELECT doc_id, string_agg(code, '' ORDER BY place) AS {name}
-  FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place
-        FROM (SELECT doc_id, string_split({breaks}, chr(1)) AS parts FROM documents WHERE text IS NOT NULL))
-  JOIN (SELECT DISTINCT * FROM (VALUES {known}) AS k(normal, code)) k
-    ON k.normal = trim(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))
-  GROUP BY doc_id)"""
-
-    ends = "regexp_replace(text, '([.;:!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g')"
-    lines = f"regexp_replace({ends}, '[\\r\\n]+', chr(1), 'g')"
-    wrapped = f"regexp_replace({ends}, '(\\r?\\n[\\x20\\x09]*){{2,}}', chr(1), 'g')"
-    steps = [
-        """r AS (
-  SELECT doc_id, CASE WHEN length(coalesce(wrapped, '')) > length(coalesce(lines, '')) THEN wrapped ELSE lines END AS sequence
-  FROM lines FULL JOIN wrapped USING (doc_id))""",
-        "r0 AS (SELECT doc_id, length(sequence) AS n_known, sequence AS seen FROM r)",
-    ]
-    found = []
+    ends = f"regexp_replace(regexp_replace(lower(text), '([.;:!?])[\\x20\\x09-\\x0D]+', '\\1{BREAK}', 'g'), '[\\r\\n]+', '{BREAK}', 'g')"
+    words = f"'{BREAK}' || regexp_replace({ends}, '[^\\p{{L}}\\p{{N}}{BREAK}]+', ' ', 'g') || '{BREAK}'"
+    found = f"replace(replace(regexp_replace({words}, ' ?{BREAK}[ {BREAK}]*', '{BREAK}', 'g'), ' ', '  '), '{BREAK}', '{BREAK * 2}')"
+    steps = [f"x0 AS (SELECT doc_id, {found} AS x FROM documents WHERE text IS NOT NULL)"]
+    size = 20  # sentences to a step
+    listed = patterns(SENTENCES)
+    for i in range(0, len(listed), size):
+        x = "x"
+        for pattern, code in listed[i : i + size]:
+            x = f"regexp_replace({x}, '{pattern}', '\\1{code}\\2', 'g')"
+        steps.append(f"x{i // size + 1} AS MATERIALIZED (SELECT doc_id, {x} AS x FROM x{i // size})")
+    last = chr(FIRST_CODE + len(SENTENCES))
+    steps.append(f"r AS (SELECT doc_id, regexp_replace(x, '[^{chr(FIRST_CODE)}-{last}]+', '', 'g') AS sequence FROM x{-(-len(listed) // size)})")
+    steps.append("r0 AS (SELECT doc_id, length(sequence) AS n_known, sequence AS seen FROM r WHERE sequence <> '')")
+    rows = []
     for n, (name, ids) in enumerate(RULES):
         want = "".join(codes[i] for i in ids)
         steps.append(f"r{n + 1} AS (SELECT doc_id, n_known, replace(seen, '{want}', '.') AS seen FROM r{n})")
         gone = f"(length(seen) - length(replace(seen, '{want}', ''))) // {len(want)}"
-        found.append(f"SELECT doc_id, '{name}' AS licence, CAST({n} AS BIGINT) AS rule, CAST({gone} AS BIGINT) AS times, n_known FROM r{n}")
-    return (
-        "WITH " + ",\n".join([sequences("lines", lines), sequences("wrapped", wrapped), *steps])
-        + "\nSELECT * FROM (" + "\nUNION ALL ".join(found) + ") WHERE times > 0"
-    )
+        rows.append(f"SELECT doc_id, '{name}' AS licence, CAST({n} AS BIGINT) AS rule, CAST({gone} AS BIGINT) AS times, n_known FROM r{n}")
+    return "WITH " + ",\n".join(steps) + "\nSELECT * FROM (" + "\nUNION ALL ".join(rows) + ") WHERE times > 0"
 
 
 OP8_SQL = _sql()

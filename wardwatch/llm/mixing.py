@@ -34,13 +34,18 @@ def uniform_of() -> Column:
     return (F.conv(F.substring(F.md5(content), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns to ``keep`` as a struct ``doc``, with ``size, key`` and the source as two columns without nulls."""
+def measured(docs: DataFrame, keep: list[str], quality: str | None = None) -> DataFrame:
+    """The columns to ``keep`` as a struct ``doc``, with ``size, key`` and the source as two columns without nulls.
+
+    ``quality`` names a column with a weight between 0 and 1, such as a classifier's probability (null: 1); without one, symbols decide.
+    """
     rows = docs.select(
         F.struct(*keep).alias("doc"), F.col("doc_id").alias("id"), F.col("source").isNull().alias("nameless"),
         F.coalesce("source", F.lit("")).alias("source"), size_of().alias("size"), uniform_of().alias("u"), "text",
+        (F.lit(None) if quality is None else F.col(quality)).cast("double").alias("given"),
     )
-    return rows.withColumn("key", -F.log("u") / quality_of(F.col("size"))).drop("u", "text")
+    weight = quality_of(F.col("size")) if quality is None else F.least(F.greatest(F.coalesce("given", F.lit(1.0)), F.lit(LEAST_QUALITY)), F.lit(1.0))
+    return rows.withColumn("key", -F.log("u") / weight).drop("u", "text", "given")
 
 
 def targets_of(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -68,7 +73,8 @@ def targets_of(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 
 def mixed(
-    docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST
+    docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST,
+    quality: str | None = None,
 ) -> DataFrame:
     """``doc`` (a struct of the input's columns, or of those to ``keep``) with ``size, source_size, target, taken``.
 
@@ -77,7 +83,9 @@ def mixed(
     ranges of keys, whose sums are added up.
     """
     order = [F.col(c) for c in ("nameless", "source", "key", "id", "size")]
-    named = measured(docs, docs.columns if keep is None else keep)
+    named = measured(docs, docs.columns if keep is None else keep, quality)
+    if keep is not None:  # dealing by range reads twice; narrow rows are cheaper written than measured again, whole documents are not
+        named = stored(named, "measured")
     dealt = named.repartitionByRange(*order, F.monotonically_increasing_id())
     placed = stored(dealt.withColumn("part", F.spark_partition_id()), "placed")
     parts = stored(placed.groupBy("nameless", "source", "part").agg(F.sum("size").alias("words")), "part-sums")

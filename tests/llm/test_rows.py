@@ -70,7 +70,7 @@ def test_other_tokenizers_encode_whole_texts():
     assert not other.by_chunk and len(other.ids(["two words"])[0]) >= 8
 
 
-def test_token_counts_and_cache(spark, tmp_path):
+def test_token_counts_and_cache(spark, tmp_path, monkeypatch):
     texts = odd_texts()
     docs, cache = docs_of(spark, rows_of(texts)), str(tmp_path / "cache")
     found = tokencount.token_counts(docs, PATH, cache).collect()
@@ -86,6 +86,9 @@ def test_token_counts_and_cache(spark, tmp_path):
     spark.createDataFrame([(encoding.version_digest(PATH), __import__("hashlib").sha256(b"told").hexdigest(), 77)], tokencount.CACHE).write.mode("append").parquet(cache)
     assert tokencount.token_counts(docs_of(spark, [(1, "told", "en", "s")]), PATH, cache).first()["n_tokens"] == 77
     assert tokencount.token_counts(docs.limit(0), PATH, str(tmp_path / "none")).count() == 0
+    monkeypatch.setattr(tokencount, "FEW", 3)  # more misses than are broadcast
+    many = tokencount.token_counts(docs, PATH, str(tmp_path / "other")).collect()
+    assert sorted(map(str, map(tuple, many))) == sorted(map(str, want))
 
 
 def mixed_plain(rows, weights=(3, 1, 2)):
@@ -126,6 +129,14 @@ def test_mix_prefers_better_documents(spark):
     assert good > 2 * (sum(r["taken"] for r in found) - good) > 0
 
 
+def test_mix_takes_a_classifiers_probability_as_weight(spark):
+    rows = [(i, "w " * 20, "en", "a") for i in range(600)] + [(5000 + i, "z " * 20, "en", "b") for i in range(1200)]
+    docs = docs_of(spark, rows).withColumn("p", F.when(F.col("doc_id") == 3, None).when(F.col("doc_id") % 2 == 1, 0.9).otherwise(0.0))
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mixed(docs, keep=["doc_id"], quality="p").select("doc.doc_id", "taken").collect()}
+    odd, even = (sum(taken[5000 + i] - 20 for i in range(k, 1200, 2)) for k in (1, 0))  # beyond the complete epoch
+    assert odd > 5 * even and odd + even == 6_000 and sum(taken.values()) == 54_000
+
+
 def test_mixture_rows_have_the_taken_words(spark):
     rows = rows_of(odd_texts())
     docs = docs_of(spark, rows)
@@ -320,36 +331,53 @@ def test_licences(spark):
 def test_every_rule_uses_known_identifiers_and_every_sentence_has_a_trigger():
     known = {name for name, _ in licences.SENTENCES}
     assert all(set(ids) <= known for _, ids in licences.RULES)
-    assert json.dumps(licences.triggers(licences.SENTENCES))
-    assert all(re.search(licences.triggers(licences.SENTENCES), s) for _, s in licences.SENTENCES)
+    words = licences.triggers(licences.SENTENCES)
+    assert len(words) < 15 and all(any(w in s.lower() for w in words) for _, s in licences.SENTENCES)
 
 
 def licences_of(spark, texts):
     found = licences.licences(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
-    return {(r["doc_id"], r["rule"]): (r["licence"], r["times"], r["n_known"]) for r in found}
+    out = {}
+    for r in sorted(found, key=lambda r: r["rule"]):
+        out.setdefault(r["doc_id"], []).append((r["licence"], r["times"], r["n_known"]))
+    return out
 
 
-@pytest.mark.parametrize("join", [" ", "\n"])  # as lines, and wrapped
+@pytest.mark.parametrize("join", [" ", "\n", "\n * "])  # as lines, wrapped, and in a comment
 def test_every_sentence_and_every_rule_of_the_table_is_found(spark, join):
     by_name = {}
     for name, text in licences.SENTENCES:
-        by_name.setdefault(name, []).append(join.join(text.split(" ")) + ".")
+        by_name.setdefault(name, []).append((" " if len(text.split()) < 4 else join).join(text.split(" ")) + ".")
     texts = [text for name in by_name for text in by_name[name]]
-    rules = [(n, text) for n, (_, ids) in enumerate(licences.RULES) if len(ids) == 1 for text in by_name[ids[0]]]
-    rules += [(n, "\n\n".join(by_name[i][0] for i in ids)) for n, (_, ids) in enumerate(licences.RULES) if len(ids) > 1]
-    found = licences_of(spark, [text for _, text in rules])
-    assert found == {(i, n): (licences.RULES[n][0], 1, len(licences.RULES[n][1])) for i, (n, _) in enumerate(rules)}
     single = [(name.upper(), [name]) for name in by_name]
     frame = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
     got = {r["doc_id"]: (r["licence"], r["n_known"]) for r in licences.licences(frame, rules=single).collect()}
     assert got == dict(enumerate((name.upper(), 1) for name in by_name for _ in by_name[name]))
+    rules = [(name, "\n\n".join(by_name[i][0] for i in ids), len(ids)) for name, ids in licences.RULES]
+    found = licences_of(spark, [text for _, text, _ in rules])
+    assert found == {i: [(name, 1, n)] for i, (name, _, n) in enumerate(rules)}
+
+
+@pytest.mark.parametrize("above", ["Copyright (c) 2020, X\n", "Copyright (c) 2020, X\n\n", "/* some words in front of it, ", ""])
+def test_headers_are_found_below_any_line(spark, above):
+    by_name = dict(reversed(licences.SENTENCES))
+    wrap = lambda ids, every=7: re.sub(rf"((?:\S+ ){{{every}}}\S+) ", r"\1\n", ". ".join(by_name[i] for i in ids) + ".")
+    wanted = {
+        "BSD-2-Clause": ["bsd-grant", "bsd-source", "bsd-binary"], "MIT": ["mit-grant", "mit-condition", "as-is"], "GPL-2.0-or-later": ["gpl2-free", "gpl-hope", "gpl-copy"],
+        "LGPL-2.1-or-later": ["lgpl21-free", "lgpl-hope", "lgpl-copy"], "AGPL-3.0-or-later": ["agpl-free", "gpl-hope", "agpl-copy"], "CC0-1.0": ["cc0-notice", "cc0-warranty"],
+        "Zlib": ["zlib-as-is", "zlib-liable", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice"], "EPL-2.0": ["epl2-notice"],
+    }
+    found = licences_of(spark, [above + wrap(ids) + " And more." for ids in wanted.values()])
+    assert found == {i: [(name, 1, len(ids))] for i, (name, ids) in enumerate(wanted.items())}
 
 
-def test_incomplete_sentences_are_not_known(spark):
-    gpl = dict(licences.SENTENCES)["gpl-free"]
-    head, tail = gpl.split(": ")
-    found = licences_of(spark, [f"{head}:\nnot at all.\n{tail}", "2.0", f"All rights reserved.\n2.0\n{tail}", f"x\n\n# {head}:\n\n# {tail}.\n2.0"])
-    assert found == {(2, 18): ("all-rights-reserved", 1, 1), (3, 9): ("GPL-3.0-or-later", 1, 1)}
+def test_incomplete_and_short_sentences_are_not_known(spark):
+    head, tail = dict(licences.SENTENCES)["gpl-free"].split(": ")
+    found = licences_of(spark, [
+        f"{head}:\nnot at all.\n{tail}", "2.0", f"All rights reserved.\n2.0\n{tail}", f"x\n\n# {head}:\n\n# {tail}.\n2.0", "nearly all rights reserved by nobody",
+        "the MIT License is short", "MIT License\nMIT License", "xMIT License", f"\uE000{head}\uE100 {tail}", f"{head}s {tail}",
+    ])
+    assert found == {2: [("all-rights-reserved", 1, 1)], 3: [("GPL-3.0-or-later", 1, 1)], 6: [("MIT", 2, 2)], 8: [("GPL-3.0-or-later", 1, 1)]}
 
 
 def test_sentences_of_lines_and_of_paragraphs_count_together(spark):
@@ -359,7 +387,7 @@ def test_sentences_of_lines_and_of_paragraphs_count_together(spark):
     texts = [f"Licensed under CC BY 4.0\npage footer\n\n{grant}", f"{grant}\n\npage\nAll rights reserved\nfooter\n\n{grant}",
              'Licensed under the Apache License, Version 2.0\n(the "License")']
     assert licences_of(spark, texts) == {
-        (0, 2): ("MIT", 1, 3), (0, 14): ("CC-BY-4.0", 1, 3), (1, 2): ("MIT", 2, 5), (1, 18): ("all-rights-reserved", 1, 5), (2, 7): ("Apache-2.0", 1, 1)}
+        0: [("MIT", 1, 3), ("CC-BY-4.0", 1, 3)], 1: [("MIT", 2, 5), ("all-rights-reserved", 1, 5)], 2: [("Apache-2.0", 1, 1)]}
 
 
 @pytest.mark.parametrize(("histogram", "best"), [

@@ -15,6 +15,7 @@ from wardwatch.llm.encoding import encoder, version_digest
 from wardwatch.session import scratch_path
 
 LIMIT = 512
+FEW = 100_000  # digests of 64 characters that are broadcast
 CACHE = StructType().add("tokenizer", "string").add("digest", "string").add("n_tokens", "long")
 
 
@@ -35,9 +36,10 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def fill_cache(docs: DataFrame, tokenizer: str, cache: str) -> None:
     """Encode the distinct texts that the cache does not know and append their counts.
 
-    Texts are combined by digest before the shuffle, so a text with very many copies moves once for each task. Files
-    appear when the whole job has ended; a lost executor repeats its part. Two runs at once may both append a text;
-    their counts are equal, and readers take one.
+    The cache is asked by digests alone. Up to ``FEW`` misses are broadcast, so that only their texts move, and none if there is no
+    miss; if there are more, most texts have to move, and are combined by digest before they are compared with the misses. Files
+    appear when the whole job has ended; a lost executor repeats its part. Two runs at once may both append a text; their counts are
+    equal, and readers take one. A null text is the empty one.
     """
     version = version_digest(tokenizer)
 
@@ -48,12 +50,22 @@ def fill_cache(docs: DataFrame, tokenizer: str, cache: str) -> None:
 
     known = read_cache(docs.sparkSession, cache).where(F.col("tokenizer") == version).select("digest").distinct()
     texts = docs.select(content_digest().alias("digest"), text_or_empty().alias("text"))
-    misses = texts.dropDuplicates(["digest"]).join(known, "digest", "left_anti")
+    missing = stored(texts.select("digest").distinct().join(known, "digest", "left_anti"), "missing-digests")
+    number = missing.count()
+    if not number:
+        return
+    if number <= FEW:
+        misses = texts.join(F.broadcast(missing), "digest", "left_semi").dropDuplicates(["digest"])
+    else:
+        misses = texts.dropDuplicates(["digest"]).join(missing, "digest", "left_semi")
     misses.mapInPandas(count, CACHE).write.mode("append").parquet(cache)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` for each row; only texts that the cache misses are encoded."""
+    """``doc_id, n_bytes, n_tokens, over_limit`` for each row; only texts that the cache misses are encoded.
+
+    Null and empty texts have no bytes; null and repeated ids are carried along, each row has its own.
+    """
     fill_cache(docs, tokenizer, cache)
     counts = read_cache(docs.sparkSession, cache).where(F.col("tokenizer") == version_digest(tokenizer))
     counts = stored(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")

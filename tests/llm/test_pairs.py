@@ -211,6 +211,35 @@ def test_links_of_vectors(spark, tile, dimensions):
     assert found == {ids[i]: (links[i], lowest[roots[i]], ids[i] == lowest[roots[i]]) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("tile", [8192, 12])
+def test_cells_along_several_axes_leave_out_most_pairs(spark, tile, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(700, 3)), rng.normal(size=(700, 5)) * 0.01], axis=1)
+    x[600:] = x[:100] + rng.normal(size=(100, 8)) * 0.03
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = []
+    plain = vectors.worth_it
+
+    def told(counts):
+        asked.append((counts, plain(counts)))
+        return asked[-1][1]
+
+    monkeypatch.setattr(vectors, "worth_it", told)
+    found = {r["vec_id"]: r["n_links"] for r in vectors.similar(frame, cosine=0.99, dimensions=8, tile=tile).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.99).sum(axis=1) - 1
+    assert found == dict(enumerate(near.tolist())) and near.sum() > 500
+    counts, pruned = asked[0]
+    assert pruned == {8: [0]} and vectors.planned_pairs(counts[8][0]) < 700 * 699 / 2 / 10
+
+
+def test_neighbours_meet_once():
+    cells = [(x, y) for x in range(4) for y in range(4)]
+    pairs = [frozenset([c, o]) for c in cells for o in vectors.neighbours(c) if o in cells]
+    assert len(pairs) == len(set(pairs)) == sum(max(abs(a - c), abs(b - d)) == 1 for a, b in cells for c, d in cells) / 2
+    assert vectors.planned_pairs({(0, 0): 3, (1, 1): 2, (3, 3): 5}) == 3 + 1 + 6 + 10
+
+
 def test_vectors_of_an_empty_table_or_without_any_direction(spark):
     frame = spark.createDataFrame([(1, None), (None, [0.0])], "vec_id long, embedding array<float>")
     assert sorted(map(str, vectors.similar(frame).collect())) == [

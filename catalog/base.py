@@ -30,6 +30,7 @@ class Tables:
 class Query(NamedTuple):
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    module: str
 
 
 REGISTRY: dict[str, Query] = {}
@@ -41,7 +42,7 @@ def query(sql: str | None = None) -> Callable:
 
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         REGISTRY[build.__name__] = Query(
-            lambda spark, folder: build(Tables(spark, folder)), None if sql is None else with_ctes(sql)
+            lambda spark, folder: build(Tables(spark, folder)), None if sql is None else with_ctes(sql), build.__module__
         )
         return build
 

@@ -1,4 +1,4 @@
-"""Forecast models. Spark builds the regressors and spreads the series; a task fits one series at a time.
+"""Forecast models over all series at once. Independent models are fitted side by side.
 
 A model takes rows with ``is_train`` and the arrays of ``model_features`` and returns a long table
 (series, variable, model_id, date, pred) with fitted values on training rows and predictions elsewhere.
@@ -7,6 +7,7 @@ A model takes rows with ``is_train`` and the arrays of ``model_features`` and re
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from wardwatch.forecast import arima, ets, hinges, solvers, trend
 from wardwatch.forecast.evaluate import LAST_VALUE
 from wardwatch.forecast.features import KEYS, LEVELS
 from wardwatch.operators.reshape import rbind
-from wardwatch.session import settle
+from wardwatch.session import settle, together
 
 ARIMA, ARIMA_BOOSTED, ETS, TREND_SEASONAL, LINEAR, HINGE = 1, 2, 3, 4, 5, 6
 TREND_BOOSTED, FOREST, ARIMA_PLAIN, ELASTIC_NET = 7, 8, 9, 10
@@ -103,10 +104,12 @@ def fit_chosen(rows: DataFrame, model_ids: list[int]) -> DataFrame:
     rows = settle(rows)
     ahead = rows.where("NOT is_train").select(*KEYS, "date")
     chosen = {r["model_id"] for r in rows.select("model_id").distinct().collect()}  # at most one row for each model
-    frames = []
-    for model in (m for m in model_ids if m in chosen):
+
+    def ahead_of(model: int) -> DataFrame:
         own = rows.where(F.col("model_id") == model).drop("model_id")
-        frames.append(_fit_one(own, model).join(ahead, [*KEYS, "date"]))
+        return settle(_fit_one(own, model).join(ahead, [*KEYS, "date"]))
+
+    frames = together(*[partial(ahead_of, m) for m in model_ids if m in chosen])
     if not frames:
         return rows.sparkSession.createDataFrame([], SCHEMA)
     return rbind(*frames).select("series", "variable", "model_id", "date", "pred")
@@ -199,18 +202,22 @@ BASES = {ARIMA_BOOSTED: ARIMA, TREND_BOOSTED: TREND_SEASONAL}
 
 
 def fit_models(rows: DataFrame, model_ids: list[int]) -> DataFrame:
-    """All given models as one long table. A boosted model takes its base from the others, if it is among them."""
-    bases = {b: settle(_fit_one(rows, b)) for m, b in BASES.items() if m in model_ids and b in model_ids}
-    solved = [m for m in model_ids if m in SOLVED and m not in bases]
-    frames = [fit_solved(rows, solved)] if solved else []
-    for model in (m for m in model_ids if m not in solved):
-        if model in bases:
-            frames.append(bases[model])
-        elif BASES.get(model) in bases:
-            frames.append(boost_residuals(rows, bases[BASES[model]], model))
-        else:
-            frames.append(OTHERS[model](rows))
-    return rbind(*frames)
+    """All given models as one long table. A boosted model takes its base from the others, if it is among them.
+
+    Models do not depend on each other, but for a boosted one on its base: they are fitted side by side.
+    """
+    boosted = {m: b for m, b in BASES.items() if m in model_ids and b in model_ids}
+    solved = [m for m in model_ids if m in SOLVED]
+    rest = [m for m in model_ids if m not in solved and m not in boosted and m not in boosted.values()]
+
+    def with_base(model: int) -> list[DataFrame]:
+        base = settle(_fit_one(rows, boosted[model]))
+        return [base, settle(boost_residuals(rows, base, model))]
+
+    tasks = [partial(with_base, m) for m in boosted] + [lambda m=m: [settle(_fit_one(rows, m))] for m in rest]
+    if solved:
+        tasks.append(lambda: [settle(fit_solved(rows, solved))])
+    return rbind(*[frame for frames in together(*tasks) for frame in frames])
 
 
 def _fit_one(rows: DataFrame, model_id: int) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Report views over the stored tables. ``county=None`` gives the rows of all counties."""
+"""Report views over the stored tables. ``county=None`` gives the rows of all counties.
+
+Fixed values: the German labels on cards and maps, which must read as users know them.
+"""
 
 from __future__ import annotations
 

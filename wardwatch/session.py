@@ -5,10 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -71,3 +77,15 @@ def settle(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(*tasks: Callable[[], T]) -> list[T]:
+    """Results of tasks that do not depend on each other, in order; their Spark jobs share the cluster.
+
+    Fits are chains of many small jobs, and most of a chain's time is planning and waiting.
+    """
+    if len(tasks) < 2:
+        return [task() for task in tasks]
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return list(pool.map(lambda run: run(), [inherit(task) for task in tasks]))

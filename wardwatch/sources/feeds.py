@@ -8,6 +8,7 @@ from wardwatch.functions.dates import date_from_epoch_ms, parse_date, parse_germ
 from wardwatch.functions.keys import BAVARIAN_MERGERS, BERLIN_BOROUGHS, merge_county_key, pad_county_key
 from wardwatch.operators.aggregates import resum
 
+# The columns of the feeds.
 COUNTY_COLUMNS = ["key", "type", "name", "NUTS3", "area", "pop_all", "pop_male", "pop_female", "pop_per_km2"]
 COUNTY_SCHEMA = (
     "key string, type string, name string, NUTS3 string, area double, "
@@ -20,6 +21,7 @@ CASE_SCHEMA = (
     "IdBundesland int, IdLandkreis string, Altersgruppe string, AnzahlFall long, AnzahlTodesfall long, "
     "Meldedatum string, Refdatum string, Datenstand string"
 )
+# The columns of the nowcast feed, by position.
 NOWCAST_COLUMNS = [
     "Date",
     "PredictedNew",
@@ -32,6 +34,7 @@ NOWCAST_COLUMNS = [
     "R7d_Low",
     "R7d_High",
 ]
+# The attributes of the history feed.
 HISTORY_SCHEMA = T.StructType(
     [
         T.StructField("ObjectId", T.LongType()),

@@ -32,7 +32,7 @@ AXES = 3  # of a block that have cells, at most
 CELLS = 4_000  # that a block may have, or it has cells along fewer axes
 WORTH = 0.35  # part of all pairs that a block may compare through its cells; if it is more, they are not used
 OPEN = -1  # stands for the blocks without cells
-TILE = 8192  # a cell with more vectors is split into parts of about this size, and each pair of parts is compared
+TILE, LEAST_TILE = 8192, 1024  # vectors of a part, at most and at least; a cell with more is split, and each pair of parts is compared
 ROWS = 1024  # rows of a distance matrix
 PAIRS = 1 << 16  # pairs verified at once
 SLACK = 1e-4  # single precision may place a pair this far from a block's squared radius
@@ -157,6 +157,11 @@ def worth_it(counts: dict[int, dict[int, dict[tuple[int, ...], int]]]) -> dict[i
     return chosen
 
 
+def tile_size(rows: int, tasks: int) -> int:
+    """Parts small enough that their pairs keep all tasks busy, and large enough that a vector is not sent more often than that needs."""
+    return int(min(TILE, max(LEAST_TILE, rows / np.ceil(np.sqrt(4 * tasks)))))
+
+
 def seats_of(cells: DataFrame, counts: dict[int, dict[int, dict[tuple[int, ...], int]]], pruned: dict[int, list[int]], tile: int) -> DataFrame:
     """Each vector once for each tile it takes part in: ``size, block, a, b, i, j, part, side``.
 
@@ -273,7 +278,7 @@ def tile_links(blocks: dict[int, Blocks], pruned: dict[int, list[int]], cosine:
     return over
 
 
-def similar(vectors: DataFrame, cosine: float = COSINE, dimensions: int = DIMENSIONS, tile: int = TILE) -> DataFrame:
+def similar(vectors: DataFrame, cosine: float = COSINE, dimensions: int = DIMENSIONS, tile: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors(vec_id, embedding)``.
 
     Rows are compared, copies and rows that repeat an id included. Vectors without a direction, and vectors of other
@@ -290,9 +295,10 @@ def similar(vectors: DataFrame, cosine: float = COSINE, dimensions: int = DIMENS
     for r in counted.collect():  # a row for each cell
         counts.setdefault(r["size"], {}).setdefault(r["block"], {})[tuple(map(int, r["cell"].split()))] = r["n"]
     pruned = worth_it(counts)
-    seats = seats_of(cells, counts, pruned, tile)
-    tiles = ["size", "block", "a", "b", "i", "j"]
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work goes by pairs, not by bytes
+    every = sum(n for blocks_of_size in counts.values() for n in next(iter(blocks_of_size.values())).values())
+    seats = seats_of(cells, counts, pruned, tile or tile_size(every, tasks))
+    tiles = ["size", "block", "a", "b", "i", "j"]
     links = seats.repartition(tasks, *tiles).groupBy(*tiles).applyInPandas(tile_links(blocks, pruned, cosine), "a long, b long, links long")
     found = stored(links, "tile-links")
     numbers = stored(found.groupBy("a").agg(F.sum("links").alias("n_links")).withColumnRenamed("a", "row"), "link-counts")
